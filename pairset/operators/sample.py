@@ -10,7 +10,7 @@ import bisect
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -223,14 +223,15 @@ FAMILY_WEIGHT, SOURCE_WEIGHT = 0.35, 0.15
 
 def diverse_subset(
     df: DataFrame, n: int, id_col: str = "id", hue: str = "hue", seed_by: str = "sat",
-    categories: Mapping[str, float] | None = None, seed: int = 4242, rounds_per_cut: int = 16,
+    categories: Mapping[str, float] | None = None, seed: int = 4242, driver_rows: int = 200_000,
 ) -> DataFrame:
     """Greedy max-min draw: each pick is the row farthest from everything chosen so far.
 
     The distance is circular in ``hue`` plus a weight per differing category; the first pick has the largest
-    ``seed_by``, ties go to the smallest ``(shuffle key, id)``. Rows without a hue are left out. Rows of equal profile are at distance zero,
-    so the rounds run over one row per profile and pass only the last picks as literals. The result has the
-    input rows plus ``pick``, the 1-based order of choice.
+    ``seed_by``, ties go to the smallest ``(shuffle key, id)``. Rows without a hue are left out. Rows of equal
+    profile are at distance zero, so the search runs over one row per distinct profile: in the driver for up
+    to ``driver_rows`` profiles, else as one aggregation per pick that passes only the last picks as literals.
+    The result has the input rows plus ``pick``, the 1-based order of choice.
     """
     weights = dict(categories) if categories is not None else {"fabric_family": FAMILY_WEIGHT, "source": SOURCE_WEIGHT}
     names = [hue, *weights]
@@ -239,34 +240,68 @@ def diverse_subset(
     first = keyed.orderBy(F.col(seed_by).desc_nulls_last(), "_k", id_col).first()
     if first is None:
         return df.limit(0).withColumn("pick", F.lit(None).cast("int"))
-    profiles = keyed.groupBy(*names).agg(F.min(F.struct("_k", F.col(id_col).alias("id"))).alias("_head"))
-    profiles = checkpointed(profiles.withColumn("_d", F.lit(float("inf"))))
-    chosen, pending, last = [first[id_col]], 0, first
+    profiles = checkpointed(
+        keyed.groupBy(*names).agg(F.min(F.struct("_k", F.col(id_col).alias("id"))).alias("_head")))
+    search = _farthest_local if profiles.count() <= driver_rows else _farthest_distributed
+    chosen = [first[id_col], *search(profiles, first, n - 1, hue, weights)]
+    spark = df.sparkSession
+    id_type = df.schema[id_col].dataType.simpleString()
+    picks = spark.createDataFrame([(x, i) for i, x in enumerate(chosen, 1)], f"{id_col} {id_type}, pick int")
+    if len(chosen) < n:
+        # Every profile is represented; the rest follows in hash order.
+        rest = keyed.join(F.broadcast(picks), id_col, "left_anti").orderBy("_k", id_col).limit(n - len(chosen))
+        place = F.row_number().over(W.orderBy("_k", id_col)) + len(chosen)
+        picks = picks.unionByName(rest.select(id_col, place.alias("pick")))
+    # The picks number at most n.
+    return df.join(F.broadcast(picks), id_col)
+
+
+def _farthest_local(profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float]) -> list:
+    rows = profiles.orderBy("_head").toPandas()
+    if rows.empty:
+        return []
+    around = rows[hue].to_numpy(dtype=float)
+    codes = {c: rows[c].astype("string").fillna("\u0000").to_numpy() for c in weights}
+    heads = [h["id"] for h in rows["_head"]]
+    last = {hue: float(first[hue]), **{c: _as_level(first[c]) for c in weights}}
+    nearest, chosen = np.full(len(rows), np.inf), []
+    while len(chosen) < n:
+        gap = np.abs(around - last[hue])
+        d = np.minimum(gap, 1.0 - gap)
+        for c, weight in weights.items():
+            d = d + np.where(codes[c] != last[c], weight, 0.0)
+        nearest = np.minimum(nearest, d)
+        far = int(nearest.argmax())
+        if nearest[far] <= 0:
+            break
+        chosen.append(heads[far])
+        last = {hue: around[far], **{c: codes[c][far] for c in weights}}
+    return chosen
+
+
+def _as_level(value: object) -> str:
+    return "\u0000" if value is None else str(value)
+
+
+def _farthest_distributed(
+    profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float], rounds_per_cut: int = 16,
+) -> list:
+    state = profiles.withColumn("_d", F.lit(float("inf")))
+    chosen: list = []
+    last = first
     while len(chosen) < n:
         d = circular_distance(hue, last[hue])
         for c, weight in weights.items():
             d = d + F.when(~F.col(c).eqNullSafe(F.lit(last[c])), F.lit(weight)).otherwise(F.lit(0.0))
-        profiles = profiles.withColumn("_d", F.least(F.col("_d"), d))
-        pending += 1
-        if pending == rounds_per_cut:
-            profiles, pending = checkpointed(profiles), 0
-        far = profiles.where(F.col("_d") > 0).orderBy(F.col("_d").desc(), "_head").first()
+        state = state.withColumn("_d", F.least(F.col("_d"), d))
+        if (len(chosen) + 1) % rounds_per_cut == 0:
+            state = checkpointed(state)
+        far = state.where(F.col("_d") > 0).orderBy(F.col("_d").desc(), "_head").first()
         if far is None:
             break
         chosen.append(far["_head"]["id"])
         last = far
-    spark = df.sparkSession
-    id_type = df.schema[id_col].dataType.simpleString()
-    picks = spark.createDataFrame([(x, i) for i, x in enumerate(chosen, 1)], f"{id_col} {id_type}, pick int")
-    if len(chosen) < n:
-        # Every profile is represented; the rest follows in hash order.
-        rest = (
-            keyed.join(F.broadcast(picks), id_col, "left_anti").orderBy("_k", id_col).limit(n - len(chosen))
-            .select(id_col, (F.row_number().over(W.orderBy("_k", id_col)) + len(chosen)).alias("pick"))
-        )
-        picks = picks.unionByName(rest)
-    # The picks number at most n.
-    return df.join(F.broadcast(picks), id_col)
+    return chosen
 
 
 def contact_listing(df: DataFrame, axis: str, id_col: str = "id", per_row: int = 6, **blocks: int) -> DataFrame:

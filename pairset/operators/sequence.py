@@ -104,12 +104,13 @@ def step_time(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, total_steps: int, step: str,
     window: int = 50, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Seconds since the previous row, their mean over the last ``window`` rows and the time left.
+    """Time since the previous row, its mean over the last ``window`` rows and the time left.
 
-    ``at`` is the row's time in seconds. ``eta`` is ``max(0, total_steps - step) * sec_per_step``; the
-    first row of a series has no predecessor, so its step time is NULL and its ETA zero.
+    ``at`` is the row's time as a number, whole microseconds or seconds; results are in its unit. ``eta``
+    is ``max(0, total_steps - step)`` times the mean; the first row of a series has no predecessor, so its
+    step time is NULL and its ETA zero.
     """
-    rows = df.withColumn("_at", at.cast("double"))
+    rows = df.withColumn("_at", at)
     longest, total = longest_series(rows, keys)
     part: list[str] = list(keys)
     by: list[str] = list(order)
@@ -119,9 +120,9 @@ def step_time(
         part, by = ["_in", *keys], [POS]
     w = W.partitionBy(*part).orderBy(*by)
     timed = rows.withColumn("step_time", F.col("_at") - F.lag("_at").over(w))
-    timed = timed.withColumn("sec_per_step", F.avg("step_time").over(w.rowsBetween(-(window - 1), 0)))
+    timed = timed.withColumn("mean_step_time", F.avg("step_time").over(w.rowsBetween(-(window - 1), 0)))
     left = F.greatest(F.lit(total_steps) - F.col(step), F.lit(0))
-    timed = timed.withColumn("eta", left * F.coalesce(F.col("sec_per_step"), F.lit(0.0))).drop("_at")
+    timed = timed.withColumn("eta", left * F.coalesce(F.col("mean_step_time"), F.lit(0.0))).drop("_at")
     return _finish(timed) if blocked else timed
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairset.operators import runlog, sequence
-from pairset.plans.catalogue.common import Registry, r6, rounded, table
+from pairset.plans.catalogue.common import Registry, rounded, table
 from pairset.session import checkpoint_root
 
 _r = Registry()
@@ -30,16 +30,16 @@ def rolling_mean_100(spark, sf):
 
 
 @_r.query("""
-WITH d AS (SELECT user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 AS dt FROM events),
+WITH d AS (SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS dt FROM events),
 m AS (SELECT *, avg(dt) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean FROM d)
-SELECT user_id, event_id, round(dt, 3) AS step_time, round(mean, 3) AS sec_per_step,
-       round(greatest(0, 2000000 - event_id) * coalesce(mean, 0), 0) AS eta FROM m
+SELECT user_id, event_id, dt AS step_time, round(mean, 3) AS mean_step_time, round(greatest(0, 2000000 - event_id) * coalesce(mean, 0), 0) AS eta FROM m
 """)
 def step_time_eta(spark, sf):
+    """Step times in whole microseconds, so their means do not depend on summation order."""
     events = table(spark, sf, "events").select("user_id", "event_id", "ts")
-    out = sequence.step_time(events, ["user_id"], ["event_id"], F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6), 2_000_000, "event_id")
-    return out.select("user_id", "event_id", F.round("step_time", 3).alias("step_time"),
-                      F.round("sec_per_step", 3).alias("sec_per_step"), F.round("eta", 0).alias("eta"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    out = sequence.step_time(events, ["user_id"], ["event_id"], at, 2_000_000, "event_id").drop("ts")
+    return out.withColumns({"mean_step_time": F.round("mean_step_time", 3), "eta": F.round("eta", 0)})
 
 
 _BEST = """
@@ -203,7 +203,7 @@ def metrics_follow(spark, sf):
         from_, to = i * (last + 1) // 3, (i + 1) * (last + 1) // 3
         part = events.where((F.col("event_id") >= from_) & (F.col("event_id") < to))
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
-        follow_metrics(stream, f"{root}/out", f"{root}/checkpoint", ["user_id"], "event_id", "value").awaitTermination()
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    follow_metrics(stream, f"{root}/out", f"{root}/checkpoint", ["user_id"], "event_id", "value").awaitTermination()
     rows = spark.read.parquet(f"{root}/out/rows").drop("batch", "value")
     return rows.withColumn("rolling_mean", F.round("rolling_mean", 9))
