@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,13 +33,16 @@ def _col(c: Column | str) -> Column:
 
 
 def keyword_family(title: Column | str, rules: Rules = FABRIC_RULES, default: str = "other") -> Column:
-    """The first family one of whose keywords occurs in the lower-cased, blank-padded title."""
+    """The first family one of whose keywords occurs in the lower-cased, blank-padded title.
+
+    Plain substring search on the bytes; on whole texts it is several times faster than one alternation.
+    """
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(_col(title).cast("string"), F.lit(""))), F.lit(" "))
-    out: Column | None = None
-    for family, words in rules:
-        hit = padded.rlike("|".join(re.escape(w) for w in words))
-        out = F.when(hit, family) if out is None else out.when(hit, family)
-    return F.lit(default) if out is None else out.otherwise(default)
+    family = F.lit(default)
+    for name, words in reversed(rules):
+        hit = reduce(or_, (padded.contains(w) for w in words))
+        family = F.when(hit, name).otherwise(family)
+    return family
 
 
 def minimum_side(width: Column | str, height: Column | str) -> Column:

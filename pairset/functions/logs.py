@@ -18,13 +18,20 @@ GRAD_NORM = r"gnorm (\S+)"
 
 
 def plain(line: Column | str) -> Column:
-    return F.regexp_replace(line, ANSI, "")
+    """The line without colour codes; lines that have none are not searched."""
+    c = F.col(line) if isinstance(line, str) else line
+    return F.when(c.contains("\x1b["), F.regexp_replace(c, ANSI, "")).otherwise(c)
 
 
-def fields(line: Column, pattern: str, groups: int) -> Column:
-    """All groups of the first match in one regex pass, as an array; NULL without a match."""
-    found = "\t".join(f"${i}" for i in range(1, groups + 1))
-    return F.when(line.rlike(pattern), F.split(F.regexp_replace(line, f"(?s)^.*?{pattern}.*$", found), "\t"))
+def first_match(line: Column, pattern: str) -> Column:
+    """The matching part of a line as an array of one element, empty without a match."""
+    return F.slice(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), 1, 1)
+
+
+def groups(match: Column, pattern: str, count: int) -> Column:
+    """All groups of a matched part, as an array; NULL for an empty match."""
+    order = "\t".join(f"${i}" for i in range(1, count + 1))
+    return F.when(match != "", F.split(F.regexp_replace(match, pattern, order), "\t"))
 
 
 def number(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairset.session import checkpointed
+from pairset.session import checkpointed, keyed
 
 # Detector and keypoint thresholds.
 PRE_SCORE, POST_SCORE, NMS_IOU = 0.1, 0.3, 0.45
@@ -43,17 +43,27 @@ def overlap(a: str, b: str) -> Column:
     return (w * h) / (area(a) + area(b) - w * h)
 
 
-def _suppress(boxes: np.ndarray, limit: float) -> np.ndarray:
-    """Kept positions of boxes that are already in order of preference."""
-    area = (boxes[:, 2] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 1] + 1)
+def _ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    area_a, area_b = ((m[:, 2] - m[:, 0] + 1) * (m[:, 3] - m[:, 1] + 1) for m in (a, b))
+    span_x = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]) + 1
+    span_y = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]) + 1
+    inter = np.maximum(span_x, 0.0) * np.maximum(span_y, 0.0)
+    return inter / (area_a[:, None] + area_b[None, :] - inter)
+
+
+def _suppress(boxes: np.ndarray, limit: float, slab: int = 256) -> np.ndarray:
+    """Kept positions of boxes that are already in order of preference, a slab of them at a time."""
     alive = np.ones(len(boxes), dtype=bool)
-    for i in range(len(boxes)):
-        if not alive[i]:
-            continue
-        rest = boxes[i + 1:]
-        span = np.minimum(boxes[i, 2:], rest[:, 2:]) - np.maximum(boxes[i, :2], rest[:, :2]) + 1
-        inter = np.maximum(span, 0.0).prod(axis=1)
-        alive[i + 1:] &= inter / (area[i] + area[i + 1:] - inter) <= limit
+    for start in range(0, len(boxes), slab):
+        own = start + np.flatnonzero(alive[start:start + slab])
+        hits = np.triu(_ious(boxes[own], boxes[own]) > limit, 1)
+        for i in np.flatnonzero(hits.any(axis=1)):
+            if alive[own[i]]:
+                alive[own[hits[i]]] = False
+        kept = own[alive[own]]
+        later = start + slab + np.flatnonzero(alive[start + slab:])
+        if len(kept) and len(later):
+            alive[later] &= ~(_ious(boxes[kept], boxes[later]) > limit).any(axis=0)
     return np.flatnonzero(alive)
 
 
@@ -76,9 +86,9 @@ def suppress_overlaps(
     sizes = dets.groupBy(*key).agg(F.count("*").alias("_n"))
     large = sizes.where(F.col("_n") > group_boxes).select(*key)
     if large.isEmpty():
-        return dets.groupBy(*key).applyInPandas(settle, dets.schema)
+        return keyed(dets, key).groupBy(*key).applyInPandas(settle, dets.schema)
     large = checkpointed(large)
-    kept = dets.join(large, key, "left_anti").groupBy(*key).applyInPandas(settle, dets.schema)
+    kept = keyed(dets.join(large, key, "left_anti"), key).groupBy(*key).applyInPandas(settle, dets.schema)
     rest = checkpointed(dets.join(large, key, "left_semi"))
     order = W.partitionBy(*key).orderBy(F.col("score").desc(), F.col(id_col))
     while not rest.isEmpty():
@@ -89,7 +99,7 @@ def suppress_overlaps(
             .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= group_boxes).drop("_rn")
         )
         best = checkpointed(best)
-        settled = checkpointed(best.groupBy(*key).applyInPandas(settle, dets.schema))
+        settled = checkpointed(keyed(best, key).groupBy(*key).applyInPandas(settle, dets.schema))
         kept = kept.unionByName(settled)
         loser = rest.join(best.select(*key, id_col), [*key, id_col], "left_anti").alias("a")
         hit = (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col("a.cls") == F.col("b.cls")) & (overlap("a", "b") > limit)

@@ -13,14 +13,20 @@ from pairset.schema import null_if_nan
 
 
 def parse_steps(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Step rows of a log; the optional parts of a line are NULL where absent."""
+    """Step rows of a log; the optional parts of a line are NULL where absent.
+
+    The step pattern is searched once per line: the match is exploded, so lines without one drop out without
+    a filter that would search them again.
+    """
     keep = [c for c in lines.columns if c != line]
-    text = lines.withColumn("_t", logs.plain(line)).where(F.col("_t").contains("| step "))
-    split = text.select(
-        *keep,
-        logs.fields(F.col("_t"), logs.STEP, 6).alias("_s"), logs.fields(F.col("_t"), logs.VRAM, 2).alias("_v"),
-        logs.fields(F.col("_t"), logs.GPU, 2).alias("_g"), logs.fields(F.col("_t"), logs.GRAD_NORM, 1).alias("_n"),
-    ).where(F.col("_s").isNotNull())
+    text = lines.select(*keep, logs.plain(line).alias("_t"))
+    found = text.select(*keep, "_t", F.explode(logs.first_match(F.col("_t"), logs.STEP)).alias("_m"))
+    optional = {"_v": (logs.VRAM, 2), "_g": (logs.GPU, 2), "_n": (logs.GRAD_NORM, 1)}
+    matched = found.select(*keep, "_m", *[F.regexp_extract("_t", p, 0).alias(c) for c, (p, _) in optional.items()])
+    split = matched.select(
+        *keep, logs.groups(F.col("_m"), logs.STEP, 6).alias("_s"),
+        *[logs.groups(F.col(c), p, n).alias(c) for c, (p, n) in optional.items()],
+    )
 
     def part(array: str, i: int) -> Column:
         return F.get(array, F.lit(i))
@@ -39,8 +45,9 @@ def parse_steps(lines: DataFrame, line: str = "value") -> DataFrame:
 def parse_validations(lines: DataFrame, line: str = "value") -> DataFrame:
     """Validation rows of a log."""
     keep = [c for c in lines.columns if c != line]
-    text = lines.withColumn("_t", logs.plain(line)).where(F.col("_t").contains("[validation]"))
-    split = text.select(*keep, logs.fields(F.col("_t"), logs.VALIDATION, 3).alias("_s")).where(F.col("_s").isNotNull())
+    text = lines.select(*keep, logs.plain(line).alias("_t"))
+    found = text.select(*keep, F.explode(logs.first_match(F.col("_t"), logs.VALIDATION)).alias("_m"))
+    split = found.select(*keep, logs.groups(F.col("_m"), logs.VALIDATION, 3).alias("_s"))
     at = [F.get("_s", F.lit(i)) for i in range(3)]
     return split.select(*keep, logs.whole(at[0]).alias("epoch"), logs.whole(at[1]).alias("step"),
                         logs.number(at[2]).alias("val_loss"))

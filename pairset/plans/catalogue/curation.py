@@ -14,6 +14,7 @@ from pairset.operators.runlog import violations
 from pairset.operators.sample import candidate_pool, listed, without_listed
 from pairset.plans.catalogue.common import Registry, r6, rounded, table
 from pairset.schema import as_flag
+from pairset.session import spread
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -186,7 +187,8 @@ SELECT doc_id, CASE
 """)
 def fabric_family(spark, sf):
     """The standard keyword families over whole document texts."""
-    return table(spark, sf, "documents").select("doc_id", C.keyword_family("text").alias("family"))
+    texts = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return texts.select("doc_id", C.keyword_family("text").alias("family"))
 
 
 @_r.query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairset.functions.keys import chosen_with_probability
 from pairset.operators import evaluate, raster
 from pairset.plans.catalogue.common import Registry, rounded, table
+from pairset.session import spread
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -24,7 +25,7 @@ def _bytes_of(vector: str) -> Column:
 
 
 def rasters(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "embeddings").select("vec_id", _bytes_of("embedding").alias("b"))
+    b = spread(table(spark, sf, "embeddings")).select("vec_id", _bytes_of("embedding").alias("b"))
     at = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
 
     def shifted(i: Column, by: int) -> Column:

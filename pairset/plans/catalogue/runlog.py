@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pairset.operators import runlog, sequence
 from pairset.plans.catalogue.common import Registry, rounded, table
-from pairset.session import checkpoint_root
+from pairset.session import checkpoint_root, spread
+from pairset.sources.tables import read_log
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -153,9 +154,31 @@ steps AS (SELECT run, CAST(regexp_extract(line, 'epoch (\d+)', 1) AS INTEGER) AS
 """
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def log_folder(spark: SparkSession, sf: str) -> str:
+    """The events rendered as text log files, once per application, in the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FOLDERS:
+        path = f"{checkpoint_root(spark)}/logs-{uuid.uuid4().hex}"
+        text = log_lines(spark, sf).select(F.concat(F.format_string("run=%d ", "run"), F.col("value")))
+        spread(text).write.text(path)
+        _FOLDERS[key] = path
+    return _FOLDERS[key]
+
+
+def with_run(lines: DataFrame) -> DataFrame:
+    return lines.select(F.regexp_extract("value", r"run=(\d+) ", 1).cast("bigint").alias("run"), "value")
+
+
+def read_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return with_run(read_log(spark, log_folder(spark, sf)))
+
+
 @_r.query(_LINES + "SELECT * FROM steps")
 def log_parse(spark, sf):
-    return runlog.parse_steps(log_lines(spark, sf))
+    return runlog.parse_steps(read_lines(spark, sf))
 
 
 @_r.query(_LINES + r"""
@@ -163,7 +186,7 @@ SELECT run, CAST(regexp_extract(line, 'epoch (\d+)', 1) AS INTEGER) AS epoch, CA
        CAST(regexp_extract(line, 'val_loss (\S+)', 1) AS DOUBLE) AS val_loss FROM lines WHERE kind = 'signup'
 """)
 def log_validations(spark, sf):
-    return runlog.parse_validations(log_lines(spark, sf))
+    return runlog.parse_validations(read_lines(spark, sf))
 
 
 @_r.query(_LINES + """
@@ -172,7 +195,7 @@ SELECT run, count(*) AS n_steps, arg_min(avg, step) AS first_avg, arg_max(avg, s
 FROM steps GROUP BY run
 """)
 def log_summary(spark, sf):
-    return rounded(runlog.summarise(runlog.parse_steps(log_lines(spark, sf)), ["run"]), "reduction_pct")
+    return rounded(runlog.summarise(runlog.parse_steps(read_lines(spark, sf)), ["run"]), "reduction_pct")
 
 
 @_r.query(_LINES + "SELECT * FROM steps")
@@ -181,10 +204,8 @@ def log_follow(spark, sf):
     from pairset.streaming.follow import follow_log
 
     root = f"{checkpoint_root(spark)}/follow-{uuid.uuid4().hex}"
-    log_lines(spark, sf).write.partitionBy("run").text(f"{root}/logs")
-    follow_log(spark, f"{root}/logs", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    steps = spark.read.parquet(f"{root}/out/steps").drop("batch")
-    return steps.withColumn("run", F.regexp_extract("run", r"/run=(\d+)/", 1).cast("bigint"))
+    follow_log(spark, log_folder(spark, sf), f"{root}/out", f"{root}/checkpoint", max_files=4, prepare=with_run).awaitTermination()
+    return spark.read.parquet(f"{root}/out/steps").drop("batch")
 
 
 @_r.query("""

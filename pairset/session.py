@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores before CPU-heavy row work.
+
+    A table of few files yields fewer tasks than there are cores. Larger tables already have more, and are
+    returned as they are, without a shuffle. Meant for plain scans: the number of partitions is read from
+    the plan, which must not contain a shuffle yet.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle by key into the configured number of partitions before CPU-heavy grouped Python work.
+
+    An explicit number keeps adaptive execution from merging partitions by their bytes, which say little
+    about the work in them; the grouped operator that follows reuses this shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

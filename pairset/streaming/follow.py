@@ -26,12 +26,18 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 def follow_log(
     spark: SparkSession, source: str, out: str, checkpoint: str, once: bool = True, max_files: int | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Parse new log lines into ``<out>/steps`` and ``<out>/validations``; a run is a source file."""
+    """Parse new log lines into ``<out>/steps`` and ``<out>/validations``.
+
+    A run is a source file; ``prepare`` may set another ``run`` column on the lines.
+    """
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.load(source).select("value", F.col("_metadata.file_path").alias("run"))
+    if prepare is not None:
+        lines = prepare(lines)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
