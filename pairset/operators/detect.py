@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairset.session import checkpointed, keyed
+from pairset.operators.sequence import top_k
+from pairset.session import checkpointed, keyed, map_batches
 
 # Detector and keypoint thresholds.
 PRE_SCORE, POST_SCORE, NMS_IOU = 0.1, 0.3, 0.45
@@ -67,6 +68,36 @@ def _suppress(boxes: np.ndarray, limit: float, slab: int = 256) -> np.ndarray:
     return np.flatnonzero(alive)
 
 
+def _settled(dets: DataFrame, key: Sequence[str], id_col: str, limit: float) -> DataFrame:
+    """Suppression within each (image, class), over batches of a partition sorted by group and score.
+
+    Spark sorts, so a task holds one batch and the group that runs past its end.
+    """
+    columns, coords = dets.columns, ["x1", "y1", "x2", "y2"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            new_group = np.zeros(len(rows), dtype=bool)
+            for c in key:
+                values = rows[c].to_numpy()
+                new_group[1:] |= values[1:] != values[:-1]
+            starts = [0, *np.flatnonzero(new_group)]
+            corners = rows[coords].to_numpy(dtype=float)
+            kept = [s + _suppress(corners[s:e], limit) for s, e in zip(starts, starts[1:])]
+            if kept:
+                yield rows.iloc[np.concatenate(kept)][columns]
+            held = rows.iloc[starts[-1]:]
+        if held is not None:
+            yield held.iloc[_suppress(held[coords].to_numpy(dtype=float), limit)][columns]
+
+    ordered = keyed(dets, key).sortWithinPartitions(*key, F.col("score").desc(), F.col(id_col))
+    return map_batches(ordered, run, dets.schema)
+
+
 def suppress_overlaps(
     dets: DataFrame, image: str = "image_id", id_col: str = "det_id", limit: float = NMS_IOU,
     group_boxes: int = 20_000,
@@ -77,33 +108,22 @@ def suppress_overlaps(
     its best ``group_boxes`` boxes are settled as a group, everything they suppress leaves the table, and
     the remainder goes into the next round. The result is that of the full greedy pass.
     """
-    columns, key = dets.columns, [image, "cls"]
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", id_col], ascending=[False, True], kind="mergesort")
-        return pdf.iloc[_suppress(pdf[["x1", "y1", "x2", "y2"]].to_numpy(dtype=float), limit)][columns]
-
+    key = [image, "cls"]
     sizes = dets.groupBy(*key).agg(F.count("*").alias("_n"))
     large = sizes.where(F.col("_n") > group_boxes).select(*key)
     if large.isEmpty():
-        return keyed(dets, key).groupBy(*key).applyInPandas(settle, dets.schema)
+        return _settled(dets, key, id_col, limit)
     large = checkpointed(large)
-    kept = keyed(dets.join(large, key, "left_anti"), key).groupBy(*key).applyInPandas(settle, dets.schema)
+    kept = _settled(dets.join(large, key, "left_anti"), key, id_col, limit)
     rest = checkpointed(dets.join(large, key, "left_semi"))
-    order = W.partitionBy(*key).orderBy(F.col("score").desc(), F.col(id_col))
+    best_first = [F.col("score").desc(), F.col(id_col)]
     while not rest.isEmpty():
-        sliced = W.partitionBy(*key, "_salt").orderBy(F.col("score").desc(), F.col(id_col))
-        best = (
-            rest.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(64)))
-            .withColumn("_rn", F.row_number().over(sliced)).where(F.col("_rn") <= group_boxes).drop("_rn", "_salt")
-            .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= group_boxes).drop("_rn")
-        )
-        best = checkpointed(best)
-        settled = checkpointed(keyed(best, key).groupBy(*key).applyInPandas(settle, dets.schema))
+        best = checkpointed(top_k(rest, key, best_first, group_boxes, salt=F.col(id_col)))
+        settled = checkpointed(_settled(best, key, id_col, limit))
         kept = kept.unionByName(settled)
-        loser = rest.join(best.select(*key, id_col), [*key, id_col], "left_anti").alias("a")
-        hit = (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col("a.cls") == F.col("b.cls")) & (overlap("a", "b") > limit)
-        rest = checkpointed(loser.join(settled.alias("b"), hit, "left_anti"))
+        later = rest.join(best.select(*key, id_col), [*key, id_col], "left_anti").alias("a")
+        same = (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col("a.cls") == F.col("b.cls"))
+        rest = checkpointed(later.join(settled.alias("b"), same & (overlap("a", "b") > limit), "left_anti"))
     return kept
 
 

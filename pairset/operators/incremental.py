@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
 from pairset.schema import as_flag
+from pairset.session import map_batches
 
 RowFn = Callable[[dict], dict]
 # The five artefacts of a sample and their file types.
@@ -52,7 +53,7 @@ def map_rows(
                 rows.append(out)
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields], dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return map_batches(df, run, schema)
 
 
 def read_cache(spark, path: str, schema: T.StructType) -> DataFrame:

@@ -19,6 +19,7 @@ from pairset.functions.columns import fit_geometry
 from pairset.operators import pixels
 from pairset.operators.incremental import map_rows
 from pairset.schema import struct_of
+from pairset.session import map_batches
 
 # The named label sets that the shares are built from.
 BODY_LABELS = ("face", "hair", "arms", "hands", "legs", "feet", "torso")
@@ -62,7 +63,7 @@ def label_counts(maps: DataFrame, id_col: str = "id") -> DataFrame:
                 yield pd.DataFrame({id_col: [key] * len(labels), "label_id": labels.astype("int32"),
                                     "n_pixels": counts.astype("int64")})
 
-    return maps.mapInPandas(run, schema)
+    return map_batches(maps, run, schema)
 
 
 def label_shares(
@@ -97,7 +98,7 @@ def pixel_table(images: DataFrame, id_col: str = "id") -> DataFrame:
                                     "g": colours[:, 1].astype("int32"), "b": colours[:, 2].astype("int32"),
                                     "n": counts.astype("int64")})
 
-    return images.mapInPandas(run, schema)
+    return map_batches(images, run, schema)
 
 
 def with_hsv(colours: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def flipped(images: DataFrame, chosen: Column, id_col: str = "id", columns: Sequ
                     batch.iat[i, batch.columns.get_loc(c)] = np.ascontiguousarray(data[:, ::-1]).tobytes()
             yield batch[names]
 
-    return marked.mapInPandas(run, images.schema)
+    return map_batches(marked, run, images.schema)
 
 
 def keep_labels(images: DataFrame, keep: Sequence[int], id_col: str = "id", fill: int = 127) -> DataFrame:
