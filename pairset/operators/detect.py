@@ -114,14 +114,14 @@ def suppress_overlaps(
     if large.isEmpty():
         return _settled(dets, key, id_col, limit)
     large = checkpointed(large)
-    kept = _settled(dets.join(large, key, "left_anti"), key, id_col, limit)
-    rest = checkpointed(dets.join(large, key, "left_semi"))
+    kept = _settled(dets.join(large, key, "left_anti").select(dets.columns), key, id_col, limit)
+    rest = checkpointed(dets.join(large, key, "left_semi").select(dets.columns))
     best_first = [F.col("score").desc(), F.col(id_col)]
     while not rest.isEmpty():
         best = checkpointed(top_k(rest, key, best_first, group_boxes, salt=F.col(id_col)))
         settled = checkpointed(_settled(best, key, id_col, limit))
         kept = kept.unionByName(settled)
-        later = rest.join(best.select(*key, id_col), [*key, id_col], "left_anti").alias("a")
+        later = rest.join(best.select(*key, id_col), [*key, id_col], "left_anti").select(dets.columns).alias("a")
         same = (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col("a.cls") == F.col("b.cls"))
         rest = checkpointed(later.join(settled.alias("b"), same & (overlap("a", "b") > limit), "left_anti"))
     return kept

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
+from pairset.operators.joins import missing_ids
 from pairset.schema import as_flag
 from pairset.session import map_batches
 
@@ -86,7 +87,7 @@ def refresh_stats(
                            T.StructField(error, T.StringType())])
     cached = read_cache(spark, cache_path, schema)
     done = cached.where(as_flag(ok)) if retry_failed else cached
-    todo = index.join(done.select(id_col), id_col, "left_anti")
+    todo = missing_ids(index, done, [id_col])
     map_rows(todo, fn, result, [id_col], ok, error, load).write.mode("append").parquet(cache_path)
     return usable(spark.read.schema(schema).parquet(cache_path), ok, id_col)
 
@@ -107,7 +108,7 @@ def worklist(samples: DataFrame, modes: DataFrame, id_col: str = "id", mode: str
 def pending(work: DataFrame, run_log: DataFrame, keys: Sequence[str] = ("mode", "id"), ok: str | None = None) -> DataFrame:
     """Work not yet in the run log; with ``ok``, failed attempts count as not done."""
     done = run_log if ok is None else run_log.where(as_flag(ok))
-    return work.join(done.select(*keys), list(keys), "left_anti")
+    return missing_ids(work, done, keys)
 
 
 def keep_latest(log: DataFrame, keys: Sequence[str], attempt: Sequence[str]) -> DataFrame:
@@ -153,7 +154,7 @@ def todo(manifest: DataFrame, listing: DataFrame, id_col: str = "id", force: boo
     """Samples whose artefacts are incomplete, or all of them with ``force``."""
     if force:
         return manifest
-    return manifest.join(complete_ids(listing, id_col), id_col, "left_anti")
+    return missing_ids(manifest, complete_ids(listing, id_col), [id_col])
 
 
 def progress(manifest: DataFrame, attempts: DataFrame, id_col: str = "id", ok: str = "ok") -> DataFrame:
@@ -167,7 +168,7 @@ def progress(manifest: DataFrame, attempts: DataFrame, id_col: str = "id", ok: s
 
 
 def substitute_failed(
-    df: DataFrame, order: Sequence[str], valid: str, id_col: str, stride: int = 7919, attempts: int = 5,
+    df: DataFrame, order: Sequence[str], valid: str, id_col: str = "id", stride: int = 7919, attempts: int = 5,
     **blocks: int,
 ) -> DataFrame:
     """For each row the first valid row among positions ``i, i + stride, i + 2 * stride, ...`` mod n.

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairset.schema import as_flag
 
 
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of a table, once each, for semi and anti joins.
+
+    A key may fill a large part of a log; merged before the shuffle it costs one row per task. The join
+    reuses the shuffle of this aggregation.
+    """
+    return df.select(*keys).distinct()
+
+
 def index_with_stats(index: DataFrame, stats: DataFrame, id_col: str = "id", ok: str | None = "probe_ok") -> DataFrame:
     """Index rows that have statistics, limited to successful probes where ``ok`` names the flag."""
     good = stats if ok is None else stats.where(as_flag(ok))
@@ -18,17 +27,17 @@ def index_with_stats(index: DataFrame, stats: DataFrame, id_col: str = "id", ok:
 
 def missing_ids(wanted: DataFrame, have: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Rows of ``wanted`` whose key does not occur in ``have``."""
-    return wanted.join(have.select(*keys), list(keys), "left_anti")
+    return wanted.join(distinct_keys(have, keys), list(keys), "left_anti")
 
 
 def complete_rows(manifest: DataFrame, complete: DataFrame, id_col: str = "id") -> DataFrame:
     """Manifest rows whose artefact set is complete."""
-    return manifest.join(complete.select(id_col), id_col, "left_semi")
+    return manifest.join(distinct_keys(complete, [id_col]), id_col, "left_semi")
 
 
 def completeness(manifest: DataFrame, complete: DataFrame, id_col: str = "id") -> DataFrame:
     """``(n_total, n_present, n_missing)`` of a manifest against the complete ids."""
-    flags = complete.select(id_col).distinct().withColumn("_here", F.lit(1))
+    flags = distinct_keys(complete, [id_col]).withColumn("_here", F.lit(1))
     joined = manifest.select(id_col).join(flags, id_col, "left")
     here = F.count("_here")
     return joined.agg(F.count("*").alias("n_total"), here.alias("n_present"),
@@ -85,7 +94,3 @@ def in_listed_order(df: DataFrame, ids: DataFrame, id_col: str, list_col: str) -
 def category_labels(df: DataFrame, labels: DataFrame, category: str) -> DataFrame:
     """Each row with the label names its category covers: ``labels(category, role, label)``."""
     return df.join(labels.withColumnRenamed("category", category), category)
-
-
-def flagged(column: Column) -> Column:
-    return F.coalesce(column, F.lit(False))

@@ -21,9 +21,12 @@ def white_fraction(img: np.ndarray, threshold: int = 235) -> float:
     return float((img.min(axis=2) >= threshold).mean())
 
 
-def colorfulness_abs(img: np.ndarray) -> float:
-    """Spread and strength of the two opponent channels, taken as magnitudes."""
-    r, g, b = np.moveaxis(img.astype(np.float64), 2, 0)
+def colorfulness_abs(img: np.ndarray, swapped: bool = False) -> float:
+    """Spread and strength of the two opponent channels, taken as magnitudes.
+
+    ``swapped`` reads the channels in reverse order, which is how published thresholds were measured.
+    """
+    r, g, b = np.moveaxis(img[..., ::-1 if swapped else 1].astype(np.float64), 2, 0)
     opponents = np.abs(np.stack([r - g, (r + g) / 2 - b]))
     spread = np.hypot(*opponents.std(axis=(1, 2)))
     strength = np.hypot(*opponents.mean(axis=(1, 2)))

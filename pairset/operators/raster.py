@@ -6,16 +6,16 @@ pixel bytes are not carried through later shuffles. Label maps travel as ``(id,
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairset.functions.columns import fit_geometry
+from pairset.functions.columns import CATEGORY_COVERAGE, fit_geometry
 from pairset.operators import pixels
 from pairset.operators.incremental import map_rows
 from pairset.schema import struct_of
@@ -32,19 +32,41 @@ SHARE_SETS = {
     "pants_frac": ("pants",),
 }
 
+# Body parts masked along with a garment, and parts kept visible, per body coverage.
+MASKED_LIMBS = {"full": ("arms", "torso", "legs"), "upper": ("arms", "torso"), "lower": ("legs",)}
+KEPT_PARTS = {"full": ("hands", "feet"), "upper": ("legs", "hands"), "lower": ("arms", "feet")}
+
+
+def category_roles(
+    spark: SparkSession, garments: Mapping[str, Sequence[str]], identity: Sequence[str],
+    coverage: Mapping[str, str] = CATEGORY_COVERAGE,
+) -> DataFrame:
+    """``(category, role, label)``: what each category masks and what it keeps.
+
+    ``garments`` lists the garment labels per body coverage and ``identity`` the labels that are always
+    kept; both belong to the segmentation model. Joined with its label lookup this gives label ids.
+    """
+    rows = []
+    for category, body in coverage.items():
+        rows += [(category, "mask", label) for label in (*garments[body], *MASKED_LIMBS[body])]
+        rows += [(category, "keep", label) for label in (*identity, *KEPT_PARTS[body])]
+    return spark.createDataFrame(rows, "category string, role string, label string")
+
 
 def _shape(row: dict) -> tuple[int, int, int]:
     return int(row["height"]), int(row["width"]), 3
 
 
-def image_stats(images: DataFrame, id_col: str = "id", min_share: float = 0.02) -> DataFrame:
+def image_stats(
+    images: DataFrame, id_col: str = "id", min_share: float = 0.02, swapped_colours: bool = False,
+) -> DataFrame:
     """White share, colourfulness, flat share and number of large dark blobs, failures captured."""
     result = struct_of("white_frac double, colorfulness double, flat_frac double, n_components int")
 
     def probe(row: dict) -> dict:
         img = pixels.raster(row["data"], _shape(row))
         return {
-            "white_frac": pixels.white_fraction(img), "colorfulness": pixels.colorfulness_abs(img),
+            "white_frac": pixels.white_fraction(img), "colorfulness": pixels.colorfulness_abs(img, swapped_colours),
             "flat_frac": pixels.flat_fraction(img), "n_components": pixels.large_components(img, min_share),
         }
 

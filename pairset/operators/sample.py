@@ -10,13 +10,15 @@ import bisect
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairset.functions.columns import circular_distance
 from pairset.functions.keys import shuffle_key
-from pairset.operators.sequence import top_k
+from pairset.operators.joins import missing_ids
+from pairset.operators.sequence import position, top_k
 from pairset.schema import null_if_nan
 from pairset.session import checkpointed
 
@@ -101,7 +103,7 @@ def candidate_pool(
 
 def without_listed(df: DataFrame, reasons: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose id is not on the audited exclusion list."""
-    return df.join(reasons.select(id_col), id_col, "left_anti")
+    return missing_ids(df, reasons, [id_col])
 
 
 def listed(df: DataFrame, reasons: DataFrame, id_col: str = "id") -> DataFrame:
@@ -123,7 +125,7 @@ def stratified_subset(
     search runs on them in the driver; beyond that every pick is one aggregation over the strata table.
     """
     keyed = with_levels(df, axes).withColumn("_k", shuffle_key(id_col, seed))
-    targets = target_shares(df, axes, n, floor_rows)
+    targets = checkpointed(target_shares(df, axes, n, floor_rows))
     heads = top_k(keyed.select(*axes, "_k", id_col), list(axes), [F.col("_k"), F.col(id_col)], n,
                   salt=F.col(id_col))
     strata = heads.groupBy(*axes).agg(
@@ -258,31 +260,26 @@ def diverse_subset(
 
 def _farthest_local(profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float]) -> list:
     rows = profiles.orderBy("_head").toPandas()
-    if rows.empty:
-        return []
-    around = rows[hue].to_numpy(dtype=float)
-    codes = {c: rows[c].astype("string").fillna("\u0000").to_numpy() for c in weights}
-    heads = [h["id"] for h in rows["_head"]]
-    last = {hue: float(first[hue]), **{c: _as_level(first[c]) for c in weights}}
-    nearest, chosen = np.full(len(rows), np.inf), []
+    names = [hue, *weights]
+    # The first pick goes last, as a row that cannot be picked again.
+    points = pd.concat([rows[names], pd.DataFrame([[first[c] for c in names]], columns=names)], ignore_index=True)
+    around = points[hue].to_numpy(dtype=float)
+    codes = {c: pd.factorize(points[c])[0] for c in weights}
+    nearest = np.append(np.full(len(rows), np.inf), -np.inf)
+    last, chosen = len(rows), []
     while len(chosen) < n:
-        gap = np.abs(around - last[hue])
+        gap = np.abs(around - around[last])
         d = np.minimum(gap, 1.0 - gap)
         for c, weight in weights.items():
-            d = d + np.where(codes[c] != last[c], weight, 0.0)
+            d = d + np.where(codes[c] != codes[c][last], weight, 0.0)
         nearest = np.minimum(nearest, d)
-        far = int(nearest.argmax())
-        if nearest[far] <= 0:
+        last = int(nearest.argmax())
+        if nearest[last] <= 0:
             break
-        chosen.append(heads[far])
-        last = {hue: around[far], **{c: codes[c][far] for c in weights}}
+        chosen.append(rows["_head"].iat[last]["id"])
     return chosen
 
 
-def _as_level(value: object) -> str:
-    return "\u0000" if value is None else str(value)
-
-
 def _farthest_distributed(
     profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float], rounds_per_cut: int = 16,
 ) -> list:
@@ -306,8 +303,6 @@ def _farthest_distributed(
 
 def contact_listing(df: DataFrame, axis: str, id_col: str = "id", per_row: int = 6, **blocks: int) -> DataFrame:
     """Members of each level of an axis in id order, with their sheet row and column."""
-    from pairset.operators.sequence import position
-
     placed = position(df.select(axis, id_col), [axis], [id_col], "at", **blocks)
     return placed.select(
         axis, id_col, F.col("at").alias("position"),

@@ -57,7 +57,8 @@ def follow_metrics(
 
     The state of a run is its last ``window - 1`` values and its best one. A batch writes the state of the
     runs it touched; every ``compact_every`` batches the state of all runs is written afresh, so reading it
-    never goes further back than that. Rows of a run have to arrive in batches in ascending order.
+    never goes further back than that. Rows of a run have to arrive in batches in ascending order,
+    and keys must not be NULL.
     """
     state_path = f"{out}/state"
     fields = [stream.schema[c] for c in (*keys, order, value)]
