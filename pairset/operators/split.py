@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairset.functions.keys import shuffle_key
 
@@ -27,12 +28,14 @@ class Cut:
     id: object
     inside: int
     total: int
+    id_type: T.DataType
 
     def contains(self, id_col: str, seed: int) -> Column:
+        """Membership as one comparison of ``(key, id)``, so the key is hashed once per row."""
         if self.key is None:
             return F.lit(False)
-        k = shuffle_key(id_col, seed)
-        return (k < self.key) | ((k == self.key) & (F.col(id_col) <= F.lit(self.id)))
+        last = F.struct(F.lit(self.key).cast("bigint"), F.lit(self.id).cast(self.id_type))
+        return F.struct(shuffle_key(id_col, seed), F.col(id_col)) <= last
 
 
 def _find(counts: DataFrame, target: Column):
@@ -54,13 +57,14 @@ def hash_cut(
     """Find the cut that puts ``n`` rows, or ``max(at_least, int(total * fraction))`` rows, inside."""
     if (n is None) == (fraction is None):
         raise ValueError("give either n or fraction")
+    id_type = df.schema[id_col].dataType
     keys = df.select(F.col(id_col).alias("id"), shuffle_key(id_col, seed).alias("k"))
     upper = F.floor(F.col("k") / _SLICE).cast("int")
     wanted = F.lit(n) if n is not None else F.greatest(
         F.lit(at_least), (F.col("total") * F.lit(float(fraction))).cast("bigint"))
     found = _find(keys.groupBy(upper.alias("bin")).agg(F.count("*").alias("n")), wanted).first()
     if found is None:
-        return Cut(None, None, 0, 0 if n is None else df.count())
+        return Cut(None, None, 0, 0 if n is None else df.count(), id_type)
     rest = found["target"] - (found["upto"] - found["n"])
     inside = keys.where(upper == found["bin"])
     if found["n"] > bounded_rows:
@@ -68,7 +72,7 @@ def hash_cut(
         rest -= exact["upto"] - exact["n"]
         inside = inside.where(F.col("k") == exact["bin"])
     last = inside.orderBy("k", "id").limit(rest).agg(F.max(F.struct("k", "id"))).first()[0]
-    return Cut(last["k"], last["id"], found["target"], found["total"])
+    return Cut(last["k"], last["id"], found["target"], found["total"], id_type)
 
 
 def split_train_val(
