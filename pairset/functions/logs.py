@@ -23,6 +23,17 @@ def plain(line: Column | str) -> Column:
     return F.when(c.contains("\x1b["), F.regexp_replace(c, ANSI, "")).otherwise(c)
 
 
+def logged_at(line: Column) -> Column:
+    """The time stamp a line starts with, or NULL."""
+    stamp = F.regexp_extract(line, r"^(?:\x1b\[[0-9;]*m)?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1)
+    return F.try_to_timestamp(stamp)
+
+
+def run_name(prefix: str, started: Column) -> Column:
+    """A run's name from its start time."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(started, "yyyyMMdd_HHmmss"))
+
+
 def first_match(line: Column, pattern: str) -> Column:
     """The matching part of a line as an array of one element, empty without a match."""
     return F.slice(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), 1, 1)

@@ -101,6 +101,16 @@ def candidate_pool(
     return first.orderBy("_k", id_col).limit(pool)
 
 
+def first_in_hash_order(df: DataFrame, n: int, id_col: str = "id", seed: int = 1337) -> DataFrame:
+    """The first ``n`` rows in the stable pseudo-random order, as a top-n without a full sort."""
+    return df.orderBy(shuffle_key(id_col, seed), id_col).limit(n)
+
+
+def first_in_id_order(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
+    """The head of a table, made definite by ordering on the id."""
+    return df.orderBy(id_col).limit(n)
+
+
 def without_listed(df: DataFrame, reasons: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose id is not on the audited exclusion list."""
     return missing_ids(df, reasons, [id_col])

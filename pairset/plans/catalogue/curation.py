@@ -11,7 +11,7 @@ from pairset.operators import incremental, joins, split
 from pairset.operators.cascade import Stage, ledger, survivors
 from pairset.operators.quantiles import exact_median, exact_quantiles
 from pairset.operators.runlog import violations
-from pairset.operators.sample import candidate_pool, listed, without_listed
+from pairset.operators.sample import candidate_pool, first_in_hash_order, first_in_id_order, listed, without_listed
 from pairset.plans.catalogue.common import Registry, r6, rounded, table
 from pairset.schema import as_flag
 from pairset.session import spread
@@ -220,6 +220,66 @@ def threshold_median(spark, sf):
     return part.where(F.col("p_retailprice") >= exact_median(part, "p_retailprice"))
 
 
+@_r.query("""
+SELECT doc_id, lang FROM documents ORDER BY CAST('0x' || substr(md5('1337:' || doc_id), 1, 8) AS BIGINT), doc_id LIMIT 50
+""")
+def first_by_hash(spark, sf):
+    return first_in_hash_order(table(spark, sf, "documents").select("doc_id", "lang"), 50, "doc_id")
+
+
+@_r.query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
+def first_by_id(spark, sf):
+    return first_in_id_order(table(spark, sf, "documents").select("doc_id", "lang"), 50, "doc_id")
+
+
+@_r.query("""
+SELECT p_partkey, p_brand, p_size FROM part WHERE p_type = 'ECONOMY' AND least(p_size * 40, 1200) >= 768 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
+""")
+def range_filters(spark, sf):
+    side = C.minimum_side(F.col("p_size") * 40, F.lit(1200))
+    kept = table(spark, sf, "part").where((F.col("p_type") == "ECONOMY") & (side >= 768) & F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
+    return kept.select("p_partkey", "p_brand", "p_size")
+
+
+@_r.query("""
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS value_mean, max(CAST(props->>'k' AS INTEGER)) AS max_k FROM events GROUP BY event_type
+""")
+def run_metadata(spark, sf):
+    """Per-mode summaries written as JSON documents and read back with their schema."""
+    import uuid
+
+    from pairset.schema import coerced, struct_of
+    from pairset.session import checkpoint_root
+    from pairset.sources.tables import read_metadata, write_metadata
+
+    events = table(spark, sf, "events")
+    k = coerced(events.select(F.get_json_object("props", "$.k").alias("k"), "event_type", F.col("value").cast("string").alias("value")),
+                struct_of("k int, event_type string, value double"))
+    summary = k.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("value_mean"), F.max("k").alias("max_k"))
+    path = f"{checkpoint_root(spark)}/metadata-{uuid.uuid4().hex}"
+    write_metadata(summary, path)
+    return rounded(read_metadata(spark, path, summary.schema, multi_line=False), "value_mean")
+
+
+@_r.query("SELECT doc_id, length(text) AS n_text FROM documents")
+def index_follow(spark, sf):
+    """Index rows arriving in two files, English ones first; each batch probes the ids that are new."""
+    import uuid
+
+    from pairset.schema import struct_of
+    from pairset.session import checkpoint_root
+    from pairset.streaming.follow import follow_index
+
+    root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = rows.drop("lang")
+    rows.where("lang = 'en'").drop("lang").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    docs.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    follow_index(spark, f"{root}/in", docs.schema, f"{root}/cache", f"{root}/checkpoint", struct_of("n_text bigint"),
+                 lambda row: {"n_text": len(row["text"])}, max_files=1, id_col="doc_id").awaitTermination()
+    return spark.read.parquet(f"{root}/cache").select("doc_id", "n_text")
+
+
 @_r.query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def exclude_audited(spark, sf):
     reasons = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("toxic").alias("reason"))

@@ -64,8 +64,11 @@ def image_stats(spark, sf):
 
 @_r.query()
 def foreground_components(spark, sf):
-    """Number of large dark blobs; checked against a flood fill in the tests."""
-    return raster.image_stats(rasters(spark, sf), "vec_id", 0.02).select("vec_id", "n_components")
+    """Number of large dark blobs on a 48 x 48 canvas; checked against a flood fill in the tests."""
+    placed = raster.to_canvas(rasters(spark, sf).select("vec_id", "height", "width", "data"), 48, 48, id_col="vec_id")
+    canvas = placed.select("vec_id", F.col("out_height").alias("height"), F.col("out_width").alias("width"),
+                           F.col("out_data").alias("data"))
+    return raster.image_stats(canvas, "vec_id", 0.02).select("vec_id", "n_components")
 
 
 @_r.query(f"""

@@ -84,6 +84,12 @@ def as_flag(column: Column | str) -> Column:
     return F.coalesce(c.cast("boolean"), F.lit(False))
 
 
+def coerced(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns as the types of ``schema``; a text that does not fit its type becomes NULL."""
+    typed = [F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    return without_nan(df.select(*typed))
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:

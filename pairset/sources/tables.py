@@ -28,12 +28,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("run"))
 
 
-def read_metadata(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_metadata(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """JSON documents, one per file, or one per line without ``multi_line``."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def write_metadata(df: DataFrame, path: str) -> None:
-    """A one-row summary as JSON."""
+    """A summary of one row, or of one row per group, as JSON lines in one file."""
     df.coalesce(1).write.mode("overwrite").json(path)
 
 

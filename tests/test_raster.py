@@ -219,3 +219,27 @@ def test_category_roles(spark):
 def test_swapped_colours():
     img = noise(6, 6)
     assert pixels.colorfulness_abs(img, swapped=True) == pixels.colorfulness_abs(img[..., ::-1])
+
+
+def brute_foreground(img):
+    """Threshold, then opening and closing with a 9 x 9 square, pixel by pixel."""
+    g = pixels.grey(img)
+    mask = g <= pixels.otsu_threshold(g)
+
+    def each(m, pick):
+        out = np.zeros_like(m)
+        for y in range(m.shape[0]):
+            for x in range(m.shape[1]):
+                out[y, x] = pick(m[max(y - 4, 0):y + 5, max(x - 4, 0):x + 5])
+        return out
+
+    opened = each(each(mask, np.all), np.any)
+    return each(each(opened, np.any), np.all)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_component_count_equals_a_pixelwise_pass(spark, seed):
+    blocks = np.random.default_rng(seed).integers(0, 256, (6, 7, 3))
+    img = np.kron(blocks, np.ones((8, 8, 1))).astype(np.uint8)
+    want = sum(s >= 0.02 * 48 * 56 for s in flood(brute_foreground(img)))
+    assert raster.image_stats(images(spark, img)).first()["n_components"] == want

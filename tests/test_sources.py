@@ -50,3 +50,17 @@ def test_schema_helpers(spark):
     assert schema.present(df, ["x", "id"]) == ["id"]
     with pytest.raises(ValueError):
         schema.require_columns(df, ["id", "x"])
+
+
+def test_text_columns_are_coerced(spark):
+    df = spark.createDataFrame([("1", " 2.5", "true", "x"), ("one", "nan", "maybe", None)], "a string, b string, c string, d string")
+    typed = schema.coerced(df, schema.struct_of("a int, b double, c boolean, d string"))
+    assert [tuple(r) for r in typed.collect()] == [(1, 2.5, True, "x"), (None, None, None, None)]
+
+
+def test_log_times(spark):
+    from pairset.functions import logs
+
+    df = spark.createDataFrame([("2026-01-02 03:04:05 - INFO - x",), ("no time",)], "line string")
+    got = df.select(logs.run_name("overfit", logs.logged_at(F.col("line")))).collect()
+    assert [r[0] for r in got] == ["overfit_20260102_030405", None]
