@@ -1,9 +1,9 @@
 """Exact quantiles of a column of any length.
 
 A single ``percentile`` aggregate keeps one counter per distinct value in one task, so it is used only for
-columns of a checked length. Longer columns are narrowed first: ``percentile_approx`` brackets every wanted
-rank (its rank error is at most ``rows / accuracy``), each pass keeps only the values inside the bracket,
-and the exact rank is read once the bracket is small.
+columns of a checked length. Longer columns are searched rank by rank, all ranks in the same passes: two
+values that ``percentile_approx`` puts on either side of a rank are counted exactly, and the search goes on
+strictly between them. A value that many rows share settles its ranks as soon as it is one of the two.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,18 +22,19 @@ from pairset.schema import null_if_nan
 
 
 @dataclass
-class _Bracket:
-    low_rank: int          # 0-based ranks whose values are interpolated
-    high_rank: int
-    fraction: float
-    low: float
-    high: float
-    below: int             # rows strictly below ``low``
-    inside: int            # rows within [low, high]
+class _Search:
+    """The value at a 0-based rank lies strictly between ``low`` and ``high``; None is unbounded."""
 
+    rank: int
+    low: float | None
+    high: float | None
+    below: int             # rows at or below ``low``
+    inside: int            # rows strictly between
+    value: float | None = None
 
-def _interpolate(a: float, b: float, fraction: float) -> float:
-    return a if fraction == 0.0 or a == b else (1.0 - fraction) * a + fraction * b
+    def within(self) -> Column:
+        above = F.lit(True) if self.low is None else F.col("v") > self.low
+        return above if self.high is None else above & (F.col("v") < self.high)
 
 
 def exact_quantiles(
@@ -41,63 +44,81 @@ def exact_quantiles(
     """Linearly interpolated quantiles of the non-null values, one per entry of ``probs``."""
     v = null_if_nan((F.col(value) if isinstance(value, str) else value).cast("double"))
     values = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    total, least, most = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    total = values.count()
     if total == 0:
         return [None for _ in probs]
     if total <= direct_rows:
         found = values.agg(F.percentile("v", [float(p) for p in probs]).alias("q")).first()["q"]
         return [float(x) for x in found]
 
-    brackets = []
+    ranks = set()
     for p in probs:
         at = p * (total - 1)
-        lo = math.floor(at)
-        brackets.append(_Bracket(lo, min(lo + 1, total - 1), at - lo, least, most, 0, total))
+        ranks |= {math.floor(at), min(math.floor(at) + 1, total - 1)}
+    found = _values_at(values, sorted(ranks), total, bracket_rows, accuracy)
+    out = []
+    for p in probs:
+        at = p * (total - 1)
+        lower, fraction = math.floor(at), at - math.floor(at)
+        a, b = found[lower], found[min(lower + 1, total - 1)]
+        out.append(a if fraction == 0.0 or a == b else (1.0 - fraction) * a + fraction * b)
+    return out
+
+
+def _values_at(values: DataFrame, ranks: list[int], total: int, bracket_rows: int, accuracy: int) -> dict[int, float]:
+    searches = [_Search(r, None, None, 0, total) for r in ranks]
     while True:
-        open_ = [b for b in brackets if b.inside > bracket_rows and b.low < b.high]
-        if not open_ or not _narrow(values, open_, accuracy):
+        wide = [s for s in searches if s.value is None and s.inside > bracket_rows]
+        if not wide:
             break
-    return [_read(values, b) for b in brackets]
-
-
-def _narrow(values: DataFrame, brackets: list[_Bracket], accuracy: int) -> bool:
-    """Tighten every bracket in two scans; False when nothing shrank (ties fill what is left)."""
-    bounds = []
-    for i, b in enumerate(brackets):
-        inside = F.when(F.col("v").between(b.low, b.high), F.col("v"))
-        slack = 2.0 / accuracy
-        at = [(b.low_rank - b.below) / b.inside - slack, (b.high_rank - b.below) / b.inside + slack]
-        at = [min(max(x, 0.0), 1.0) for x in at]
-        bounds.append(F.percentile_approx(inside, at, accuracy).alias(f"b{i}"))
-    found = values.agg(*bounds).first()
+        _narrow(values, wide, accuracy)
+    for s in searches:
+        if s.value is None:
+            s.value = _read(values, s)
+    return {s.rank: s.value for s in searches}
+
+
+def _narrow(values: DataFrame, searches: list[_Search], accuracy: int) -> None:
+    """One step of every search: two scans, each with a few aggregates per rank."""
+    values = values.where(reduce(or_, (s.within() for s in searches)))
+    pivots = []
+    for i, s in enumerate(searches):
+        at, slack = (s.rank - s.below) / s.inside, 2.0 / accuracy
+        around = [max(at - slack, 0.0), min(at + slack, 1.0)]
+        pivots.append(F.percentile_approx(F.when(s.within(), F.col("v")), around, accuracy).alias(f"p{i}"))
+    found = values.agg(*pivots).first()
     counts = []
-    for i in range(len(brackets)):
-        lo, hi = found[f"b{i}"]
-        counts.append(F.count_if(F.col("v") < lo).alias(f"below{i}"))
-        counts.append(F.count_if(F.col("v").between(lo, hi)).alias(f"inside{i}"))
+    for i, s in enumerate(searches):
+        a, b = found[f"p{i}"]
+        v = F.col("v")
+        for name, where in (("before", s.within() & (v < a)), ("at_a", v == a), ("between", (v > a) & (v < b)), ("at_b", v == b)):
+            counts.append(F.count_if(where).alias(f"{name}{i}"))
     counted = values.agg(*counts).first()
-    shrank = False
-    for i, b in enumerate(brackets):
-        below, inside = counted[f"below{i}"], counted[f"inside{i}"]
-        if below <= b.low_rank and b.high_rank < below + inside and inside < b.inside:
-            b.low, b.high = found[f"b{i}"]
-            b.below, b.inside = below, inside
-            shrank = True
-    return shrank
-
-
-def _read(values: DataFrame, b: _Bracket) -> float:
-    """The wanted ranks of one bracket, from its distinct values and their counts."""
-    if b.low == b.high:
-        return b.low
-    distinct = values.where(F.col("v").between(b.low, b.high)).groupBy("v").agg(F.count("*").alias("n"))
+    for i, s in enumerate(searches):
+        a, b = found[f"p{i}"]
+        before, at_a, between, at_b = (counted[f"{n}{i}"] for n in ("before", "at_a", "between", "at_b"))
+        if a == b:
+            at_b = 0
+        from_a = s.below + before
+        after_a, from_b, after_b = from_a + at_a, from_a + at_a + between, from_a + at_a + between + at_b
+        if s.rank < from_a:
+            s.high, s.inside = a, before
+        elif s.rank < after_a:
+            s.value = a
+        elif s.rank < from_b:
+            s.low, s.high, s.below, s.inside = a, b, after_a, between
+        elif s.rank < after_b:
+            s.value = b
+        else:
+            s.low, s.below, s.inside = b, after_b, s.below + s.inside - after_b
+
+
+def _read(values: DataFrame, s: _Search) -> float:
+    """The value at the rank, from the few distinct values left and their counts."""
+    distinct = values.where(s.within()).groupBy("v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = distinct.withColumn("upto", upto + F.lit(b.below))
-    low, high = ranked.agg(
-        F.min(F.when(F.col("upto") > b.low_rank, F.col("v"))),
-        F.min(F.when(F.col("upto") > b.high_rank, F.col("v"))),
-    ).first()
-    return _interpolate(low, high, b.fraction)
+    ranked = distinct.select("v", (upto + s.below).alias("upto"))
+    return ranked.where(F.col("upto") > s.rank).agg(F.min("v")).first()[0]
 
 
 def exact_median(df: DataFrame, value: Column | str, **limits: int) -> float | None:

@@ -15,6 +15,8 @@ TIGHT = dict(direct_rows=0, bracket_rows=20, accuracy=50)
     ("few values", [float(i % 3) for i in range(1000)]),
     ("one", [5.0]),
     ("constant", [2.5] * 500),
+    ("ties next to many values", [0.0] * 700 + [0.001 * i for i in range(1, 701)]),
+    ("whole numbers", [float(random.Random(i).randrange(-40, 40)) for i in range(2500)]),
 ])
 def test_narrowed_quantiles_are_exact(spark, name, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
