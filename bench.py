@@ -1,8 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
-``BENCH_SF_DIR`` names the data folder and ``BENCH_CPUS`` the local cores. A few queries run first to
-warm the JVM up, then every query runs once untimed and ``BENCH_RUNS`` times (default 3); the median counts. Results are written to the no-op sink, so every
-column of every row is computed.
+``BENCH_SF_DIR`` names the data folder and ``BENCH_CPUS`` the local cores. A few queries run first to warm
+the JVM up, then every query runs once untimed and ``BENCH_RUNS`` times (default 3); the median counts.
+Results are written to the no-op sink, so every column of every row is computed.
 """
 
 from __future__ import annotations

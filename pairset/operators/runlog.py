@@ -115,9 +115,9 @@ def keep_last(
 
 
 def run_counters(events: DataFrame, kind: str, at: Column, value: str, kinds: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
-    """One counter per event kind, elapsed time between first and last event, and the peak value."""
+    """One counter per event kind, the time between first and last event in units of ``at``, and the peak value."""
     counters = [F.count_if(F.col(kind) == k).alias(out) for k, out in kinds.items()]
-    return events.groupBy(*by).agg(*counters, (F.max(at) - F.min(at)).alias("elapsed_seconds"), F.max(value).alias("peak"))
+    return events.groupBy(*by).agg(*counters, (F.max(at) - F.min(at)).alias("elapsed"), F.max(value).alias("peak"))
 
 
 def parameter_totals(

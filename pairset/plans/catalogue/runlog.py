@@ -96,12 +96,12 @@ def every_kth_step(spark, sf):
 
 @_r.query("""
 SELECT user_id, count(*) FILTER (event_type = 'error') AS oom_events, count(*) FILTER (event_type = 'view') AS skipped_batches,
-       round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS elapsed_seconds, max(value) AS peak FROM events GROUP BY user_id
+       max(epoch_us(ts)) - min(epoch_us(ts)) AS elapsed, max(value) AS peak FROM events GROUP BY user_id
 """)
 def run_counters(spark, sf):
-    out = runlog.run_counters(table(spark, sf, "events"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6), "value",
-                              {"error": "oom_events", "view": "skipped_batches"}, ["user_id"])
-    return out.withColumn("elapsed_seconds", F.round("elapsed_seconds", 3))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return runlog.run_counters(table(spark, sf, "events"), "event_type", at, "value",
+                               {"error": "oom_events", "view": "skipped_batches"}, ["user_id"])
 
 
 @_r.query("""
