@@ -86,8 +86,13 @@ def survivors(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
 
 def ledger(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     """``(ordinal, stage, removed, remaining)`` for every stage, zero-removal stages included."""
+    return ledger_of_labels(label_first_failure(df, stages), stages)
+
+
+def ledger_of_labels(labelled: DataFrame, stages: Sequence[Stage]) -> DataFrame:
+    """The ledger of rows that ``label_first_failure`` has labelled."""
     removed = [F.count_if(F.col(FAILED_AT) == i).alias(f"r{i}") for i in range(1, len(stages) + 1)]
-    counted = label_first_failure(df, stages).agg(F.count(F.lit(1)).alias("total"), *removed)
+    counted = labelled.agg(F.count(F.lit(1)).alias("total"), *removed)
     rows, left = [], F.col("total")
     for i, stage in enumerate(stages, 1):
         left = left - F.col(f"r{i}")

@@ -97,12 +97,9 @@ def split_outcome(df: DataFrame, ok: str = "ok") -> tuple[DataFrame, DataFrame]:
     return df.where(as_flag(ok)), df.where(~as_flag(ok))
 
 
-def worklist(samples: DataFrame, modes: DataFrame, id_col: str = "id", mode: str = "mode") -> DataFrame:
-    """Every sample in every mode. The modes are a short fixed list, held as an array per row."""
-    names = [r[0] for r in modes.select(mode).distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("a worklist takes at most 1000 modes")
-    return samples.withColumn(mode, F.explode(F.array(*[F.lit(m) for m in sorted(names)])))
+def worklist(samples: DataFrame, modes: Sequence[str], mode: str = "mode") -> DataFrame:
+    """Every sample in every mode of a given list."""
+    return samples.withColumn(mode, F.explode(F.array(*[F.lit(m) for m in modes])))
 
 
 def pending(work: DataFrame, run_log: DataFrame, keys: Sequence[str] = ("mode", "id"), ok: str | None = None) -> DataFrame:

@@ -85,8 +85,12 @@ def split_train_val(
     """
     in_pool = F.lit(True) if pool is None else F.coalesce(pool, F.lit(False))
     cut = hash_cut(df.where(in_pool), id_col, seed, fraction=fraction)
-    part = F.when(~in_pool, held_out).when(cut.contains(id_col, seed), "val").otherwise("train")
-    return df.withColumn("part", part)
+    return df.withColumn("part", part_of(cut, in_pool, id_col, seed, held_out))
+
+
+def part_of(cut: Cut, in_pool: Column, id_col: str = "id", seed: int = 1337, held_out: str = "test") -> Column:
+    """The part a row belongs to, for a cut that is already known."""
+    return F.when(~in_pool, held_out).when(cut.contains(id_col, seed), "val").otherwise("train")
 
 
 def split_sizes(labelled: DataFrame) -> DataFrame:

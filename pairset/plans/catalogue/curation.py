@@ -372,7 +372,7 @@ WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event
 def worklist_pending(spark, sf):
     """Every user in every mode, less the pairs that have a successful run."""
     events = table(spark, sf, "events").select("user_id", F.col("event_type").alias("mode"), (F.col("value") > 100).alias("ok"))
-    work = incremental.worklist(events.select("user_id").distinct(), events, "user_id")
+    work = incremental.worklist(events.select("user_id").distinct(), ["click", "error", "purchase", "signup", "view"])
     return incremental.pending(work, events, ["mode", "user_id"], ok="ok")
 
 

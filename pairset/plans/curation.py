@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairset.operators import cascade, joins, split
+from pairset.schema import holds
+from pairset.session import checkpointed
 from pairset.sources import tables
 
 
@@ -27,15 +29,22 @@ def curate(
 ) -> Curation:
     """Join the statistics, apply the cascade and split the clean ``train`` rows.
 
-    The ledger reads the columns of its predicates only, and in one pass. The validation part is drawn from
-    clean rows of the index's own ``train`` split; its ``test`` split stays untouched.
+    The join runs once on the columns of the predicates; its outcome, an id and a stage number per row, is
+    materialised and serves the ledger, the cut and the sizes. Whole rows are joined once more, when the
+    clean table is read. The validation part is drawn from clean rows of the index's own ``train`` split;
+    its ``test`` split stays untouched.
     """
     stages = cascade.standard_stages(limits) if stages is None else stages
     merged = joins.index_with_stats(index, stats)
     clean = cascade.survivors(merged, stages)
-    labelled = split.split_train_val(clean, "id", fraction, seed, pool=F.col("split") == "train")
-    sizes = split.split_sizes(labelled)
-    ledger = cascade.ledger(merged, stages)
+    outcome = checkpointed(cascade.label_first_failure(merged, stages).select("id", "split", cascade.FAILED_AT))
+    ledger = cascade.ledger_of_labels(outcome, stages)
+    in_pool = holds(F.col("split") == "train")
+    passed = outcome.where(F.col(cascade.FAILED_AT).isNull())
+    cut = split.hash_cut(passed.where(in_pool), "id", seed, fraction=fraction)
+    part = split.part_of(cut, in_pool, "id", seed)
+    labelled = clean.withColumn("part", part)
+    sizes = split.split_sizes(passed.withColumn("part", part))
     counts = ledger.agg(
         F.min_by(F.col("removed") + F.col("remaining"), "ordinal").alias("input_pairs"),
         F.max_by("remaining", "ordinal").alias("clean_pairs"),

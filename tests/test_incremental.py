@@ -58,9 +58,8 @@ def test_failed_ids_are_retried_on_request(spark, out):
 
 
 def test_pending_and_latest(spark):
-    modes = spark.createDataFrame([("masked",), ("plain",)], "mode string")
     log = spark.createDataFrame([("a", "masked", True, 1), ("b", "plain", False, 1)], "id string, mode string, ok boolean, at int")
-    work = inc.worklist(table(spark, "a", "b"), modes)
+    work = inc.worklist(table(spark, "a", "b"), ["masked", "plain"])
     assert rows(inc.pending(work, log), "id", "mode") == [("a", "plain"), ("b", "masked")]
     assert rows(inc.pending(work, log, ok="ok"), "id", "mode") == [("a", "plain"), ("b", "masked"), ("b", "plain")]
     retried = spark.createDataFrame([("b", "plain", True, 2)], "id string, mode string, ok boolean, at int")
