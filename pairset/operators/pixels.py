@@ -33,11 +33,16 @@ def colorfulness_abs(img: np.ndarray, swapped: bool = False) -> float:
     return float(spread + 0.3 * strength)
 
 
+def box_means(a: np.ndarray, size: int) -> np.ndarray:
+    """Means over all ``size x size`` boxes inside ``a``, from its running sums (exact for whole numbers)."""
+    sums = np.pad(a.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
+
+
 def box_mean(a: np.ndarray, size: int) -> np.ndarray:
-    """Mean over a ``size x size`` box; the border mirrors without repeating the edge pixel."""
+    """Mean around each pixel; the border mirrors without repeating the edge pixel."""
     half = size // 2
-    padded = np.pad(a, half, mode="reflect" if min(a.shape) > half else "edge")
-    return np.lib.stride_tricks.sliding_window_view(padded, (size, size)).mean(axis=(2, 3))
+    return box_means(np.pad(a, half, mode="reflect" if min(a.shape) > half else "edge"), size)
 
 
 def flat_fraction(img: np.ndarray, size: int = 5, threshold: float = 3.0) -> float:
@@ -162,15 +167,12 @@ def ssim(pred: np.ndarray, truth: np.ndarray, size: int = 7) -> float | None:
         return None
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     sample = size**2 / (size**2 - 1)
-
-    def mean(a: np.ndarray) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view(a, (size, size)).mean(axis=(2, 3))
-
     scores = []
     for x, y in zip(np.moveaxis(truth.astype(np.float64), 2, 0), np.moveaxis(pred.astype(np.float64), 2, 0)):
-        mx, my = mean(x), mean(y)
-        vx, vy = sample * (mean(x * x) - mx * mx), sample * (mean(y * y) - my * my)
-        cov = sample * (mean(x * y) - mx * my)
+        mx, my = box_means(x, size), box_means(y, size)
+        vx = sample * (box_means(x * x, size) - mx * mx)
+        vy = sample * (box_means(y * y, size) - my * my)
+        cov = sample * (box_means(x * y, size) - mx * my)
         top = (2 * mx * my + c1) * (2 * cov + c2)
         scores.append((top / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
     return float(np.mean(scores))

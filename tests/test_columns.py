@@ -58,7 +58,7 @@ def test_equal_edges_collapse_buckets(spark):
 
 
 def test_shuffle_key_is_the_md5_prefix(spark):
-    assert one(spark, shuffle_key(F.lit("0000427"), 1337)) == int(hashlib.md5(b"1337:0000427").hexdigest()[:8], 16)
+    assert one(spark, shuffle_key(F.lit("0000427"), 1337)) == int.from_bytes(hashlib.md5(b"1337:0000427").digest()[:4], "big")
 
 
 def test_coin_flip_share(spark):

@@ -243,3 +243,21 @@ def test_component_count_equals_a_pixelwise_pass(spark, seed):
     img = np.kron(blocks, np.ones((8, 8, 1))).astype(np.uint8)
     want = sum(s >= 0.02 * 48 * 56 for s in flood(brute_foreground(img)))
     assert raster.image_stats(images(spark, img)).first()["n_components"] == want
+
+
+def test_box_means():
+    a = RNG.integers(0, 256, (11, 13)).astype(float)
+    got = pixels.box_means(a, 5)
+    assert got.shape == (7, 9)
+    assert all(got[y, x] == pytest.approx(a[y:y + 5, x:x + 5].mean()) for y in range(7) for x in range(9))
+
+
+def test_rows_in_small_batches(spark):
+    """Large rasters arrive in batches bounded by bytes, and nothing is lost between them."""
+    arrays = [noise(64, 64) for _ in range(12)]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "20000")
+    try:
+        got = {r["id"]: r["white_frac"] for r in raster.image_stats(images(spark, *arrays)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert got == {str(i): pixels.white_fraction(a) for i, a in enumerate(arrays)}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tests.conftest import rows
 
 
 def key(seed, i):
-    return int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16)
+    return int.from_bytes(hashlib.md5(f"{seed}:{i}".encode()).digest()[:4], "big")
 
 
 AXES = ["a", "b", "c"]
@@ -21,29 +22,22 @@ def population(seed, n=260):
 
 
 def greedy_rows(data, n, floor, seed):
-    """Row by row, rescoring every candidate against the whole deviation."""
-    levels = [[str(v).lower() if v is not None else "null" for v in r[1:]] for r in data]
-    targets = []
-    for x in range(3):
-        counts = {}
-        for lv in levels:
-            counts[lv[x]] = counts.get(lv[x], 0) + 1
-        t = {lv: min(max(c / len(data), floor / n), c / n) for lv, c in counts.items()}
-        targets.append({lv: v / sum(t.values()) for lv, v in t.items()})
-    order = sorted(range(len(data)), key=lambda i: (key(seed, data[i][0]), data[i][0]))
-    counts, picked = [dict.fromkeys(t, 0) for t in targets], []
-    for step in range(1, min(n, len(data)) + 1):
-        best, best_dev = None, None
-        for i in order:
-            if i in picked:
-                continue
-            dev = sum(abs((counts[x][lv] + (levels[i][x] == lv)) / step - t) for x in range(3) for lv, t in targets[x].items())
-            if best_dev is None or dev < best_dev - 1e-12:
-                best, best_dev = i, dev
-        picked.append(best)
-        for x in range(3):
-            counts[x][levels[best][x]] += 1
-    return sorted(data[i][0] for i in picked)
+    """Row by row, with the deviation of every possible next subset counted from scratch."""
+    levels = {r[0]: ["null" if v is None else str(v).lower() for v in r[1:]] for r in data}
+    supply = [Counter(lv[x] for lv in levels.values()) for x in range(3)]
+    raw = [{lv: min(max(c / len(data), floor / n), c / n) for lv, c in axis.items()} for axis in supply]
+    targets = [{lv: t / sum(axis.values()) for lv, t in axis.items()} for axis in raw]
+
+    def deviation(ids):
+        shares = [Counter(levels[i][x] for i in ids) for x in range(3)]
+        return sum(abs(shares[x][lv] / len(ids) - t) for x in range(3) for lv, t in targets[x].items())
+
+    left, picked = sorted(levels, key=lambda i: (key(seed, i), i)), []
+    while left and len(picked) < n:
+        tried = [deviation([*picked, i]) for i in left]
+        lowest = min(tried)
+        picked.append(left.pop(next(k for k, d in enumerate(tried) if d <= lowest + 1e-12)))
+    return sorted(picked)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -80,13 +74,8 @@ def farthest_rows(data, n, seed):
         return min(d, 1.0 - d) + (0.35 if p[3] != q[3] else 0.0) + (0.15 if p[4] != q[4] else 0.0)
 
     while len(chosen) < min(n, len(data)):
-        best, best_d = None, -1.0
-        for r in order:
-            if r not in chosen:
-                d = min(dist(r, c) for c in chosen)
-                if d > best_d:
-                    best, best_d = r, d
-        chosen.append(best)
+        # max() keeps the first of equal candidates, as the order demands.
+        chosen.append(max((r for r in order if r not in chosen), key=lambda r: min(dist(r, c) for c in chosen)))
     return [r[0] for r in chosen]
 
 
