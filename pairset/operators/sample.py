@@ -135,7 +135,7 @@ def stratified_subset(
     search runs on them in the driver; beyond that every pick is one aggregation over the strata table.
     """
     keyed = with_levels(df, axes).withColumn("_k", shuffle_key(id_col, seed))
-    targets = checkpointed(target_shares(df, axes, n, floor_rows))
+    targets = target_shares(df, axes, n, floor_rows)
     heads = top_k(keyed.select(*axes, "_k", id_col), list(axes), [F.col("_k"), F.col(id_col)], n,
                   salt=F.col(id_col))
     strata = heads.groupBy(*axes).agg(
@@ -195,7 +195,7 @@ def _first_clear_minimum(score: np.ndarray) -> int:
 
 def _take_distributed(strata: DataFrame, targets: DataFrame, axes: Sequence[str], n: int) -> dict[tuple, int]:
     """The same search as one aggregation per pick; the literals passed in are bounded by ``n``."""
-    table = strata
+    table, targets = strata, checkpointed(targets)
     for a in axes:
         goal = targets.where(F.col("axis") == a).select(F.col("level").alias(a), F.col("target").alias(f"_t_{a}"))
         table = table.join(goal, a)
