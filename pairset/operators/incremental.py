@@ -155,8 +155,12 @@ def todo(manifest: DataFrame, listing: DataFrame, id_col: str = "id", force: boo
 
 
 def progress(manifest: DataFrame, attempts: DataFrame, id_col: str = "id", ok: str = "ok") -> DataFrame:
-    """``(processed, failed, total)``. The failures themselves stay a table, see ``split_outcome``."""
-    joined = manifest.select(id_col).join(attempts.select(id_col, F.col(ok).alias("_ok")), id_col, "left")
+    """``(processed, failed, total)``; an id counts as processed once one of its attempts succeeded.
+
+    The failures themselves stay a table, see ``split_outcome``.
+    """
+    outcome = attempts.groupBy(id_col).agg(F.bool_or(as_flag(ok)).alias("_ok"))
+    joined = manifest.select(id_col).join(outcome, id_col, "left")
     return joined.agg(
         F.count_if(F.col("_ok")).alias("processed"),
         F.count_if(~F.col("_ok")).alias("failed"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,11 +133,15 @@ def parameter_totals(
     out = params.agg(F.coalesce(F.sum(numel), F.lit(0)).cast("bigint").alias("total"),
                      F.coalesce(F.sum(F.when(t, F.col(numel))), F.lit(0)).cast("bigint").alias("trainable"))
     frozen = F.col("total") - F.col("trainable")
-    per_trainable = 4 + 4 + 2 * state_bytes
+    held = F.col("trainable")
+    parts = {
+        "frozen_weights_gb": frozen * base_bytes / 1e9, "trainable_params_gb": held * 4 / 1e9,
+        "gradients_gb": held * 4 / 1e9, "optimizer_state_gb": held * (2 * state_bytes) / 1e9,
+    }
     return out.select(
         "total", "trainable", frozen.alias("frozen"),
-        F.coalesce(F.try_divide(F.col("trainable") * 100.0, F.col("total")), F.lit(0.0)).alias("trainable_pct"),
-        ((frozen * base_bytes + F.col("trainable") * per_trainable) / 1e9).alias("static_total_gb"),
+        F.coalesce(F.try_divide(held * 100.0, F.col("total")), F.lit(0.0)).alias("trainable_pct"),
+        *[c.alias(n) for n, c in parts.items()], reduce(add, parts.values()).alias("static_total_gb"),
     )
 
 

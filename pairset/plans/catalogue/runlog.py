@@ -107,11 +107,14 @@ def run_counters(spark, sf):
 @_r.query("""
 WITH t AS (SELECT CAST(sum(l_partkey) AS BIGINT) AS total, CAST(sum(l_partkey) FILTER (l_returnflag = 'R') AS BIGINT) AS trainable FROM lineitem)
 SELECT total, trainable, total - trainable AS frozen, round(trainable * 100.0::DOUBLE / total, 6) AS trainable_pct,
+       round((total - trainable) * 2 / 1e9::DOUBLE, 6) AS frozen_weights_gb, round(trainable * 4 / 1e9::DOUBLE, 6) AS trainable_params_gb,
+       round(trainable * 4 / 1e9::DOUBLE, 6) AS gradients_gb, round(trainable * 2 / 1e9::DOUBLE, 6) AS optimizer_state_gb,
        round(((total - trainable) * 2 + trainable * 10) / 1e9::DOUBLE, 6) AS static_total_gb FROM t
 """)
 def parameter_totals(spark, sf):
     items = table(spark, sf, "lineitem").select("l_partkey", (F.col("l_returnflag") == "R").alias("trainable"))
-    return rounded(runlog.parameter_totals(items, "l_partkey"), "trainable_pct", "static_total_gb")
+    out = runlog.parameter_totals(items, "l_partkey")
+    return rounded(out, *[c for c in out.columns if c.endswith(("_pct", "_gb"))])
 
 
 # ------------------------------------------------------------------------------- text log lines

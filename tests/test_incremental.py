@@ -106,3 +106,8 @@ def test_defaults_from_a_lookup(spark):
 def test_first_seen(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)], "id string, seq int")
     assert rows(inc.first_seen(df, ["id"], [F.col("seq")])) == [("a", 1), ("b", 5)]
+
+
+def test_progress_counts_an_id_once(spark):
+    attempts = spark.createDataFrame([("a", False), ("a", True), ("b", False), ("b", None)], "id string, ok boolean")
+    assert tuple(inc.progress(table(spark, "a", "b", "c"), attempts).first()) == (1, 1, 3)

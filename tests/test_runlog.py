@@ -69,3 +69,11 @@ def test_violations(spark):
 def test_parameter_totals_of_nothing(spark):
     df = spark.createDataFrame([], "name string, numel bigint, trainable boolean")
     assert tuple(runlog.parameter_totals(df).first())[:4] == (0, 0, 0, 0.0)
+
+
+def test_memory_estimate(spark):
+    df = spark.createDataFrame([("a", 10**9, False), ("b", 10**8, True), ("c", 10**8, None)], "name string, numel bigint, trainable boolean")
+    row = runlog.parameter_totals(df).first()
+    assert (row["total"], row["trainable"], row["frozen"]) == (12 * 10**8, 10**8, 11 * 10**8)
+    assert (row["frozen_weights_gb"], row["gradients_gb"], row["optimizer_state_gb"]) == (2.2, 0.4, 0.2)
+    assert row["static_total_gb"] == pytest.approx(3.2)
