@@ -58,7 +58,7 @@ def _shape(row: dict) -> tuple[int, int, int]:
 
 
 def image_stats(
-    images: DataFrame, id_col: str = "id", min_share: float = 0.02, swapped_colours: bool = False,
+    images: DataFrame, id_col: str = "id", min_share: float = 0.02, white_at: int = 235, swapped_colours: bool = False,
 ) -> DataFrame:
     """White share, colourfulness, flat share and number of large dark blobs, failures captured."""
     result = struct_of("white_frac double, colorfulness double, flat_frac double, n_components int")
@@ -66,7 +66,7 @@ def image_stats(
     def probe(row: dict) -> dict:
         img = pixels.raster(row["data"], _shape(row))
         return {
-            "white_frac": pixels.white_fraction(img), "colorfulness": pixels.colorfulness_abs(img, swapped_colours),
+            "white_frac": pixels.white_fraction(img, white_at), "colorfulness": pixels.colorfulness_abs(img, swapped_colours),
             "flat_frac": pixels.flat_fraction(img), "n_components": pixels.large_components(img, min_share),
         }
 

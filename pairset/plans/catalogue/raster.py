@@ -45,30 +45,62 @@ px AS MATERIALIZED (SELECT vec_id, i // 8 AS y, i % 8 AS x, v[i + 1] AS r, v[(i
 """
 
 
+def canvases(spark: SparkSession, sf: str) -> DataFrame:
+    """The rasters on a 48 x 48 canvas, where each of their pixels covers 6 x 6."""
+    placed = raster.to_canvas(rasters(spark, sf).select("vec_id", "height", "width", "data"), 48, 48, id_col="vec_id")
+    return placed.select("vec_id", F.col("out_height").alias("height"), F.col("out_width").alias("width"),
+                         F.col("out_data").alias("data"))
+
+
+# Box sums run along rows, then along columns, over a frame mirrored at its border.
 @_r.query(f"""
 WITH {_PIXELS},
-g AS MATERIALIZED (SELECT vec_id, y, x, round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS v FROM px),
-o(d) AS (SELECT * FROM range(-2, 3)),
-n AS (SELECT g.vec_id, g.y, g.x, CASE WHEN g.y + oy.d < 0 THEN -(g.y + oy.d) WHEN g.y + oy.d > 7 THEN 14 - (g.y + oy.d) ELSE g.y + oy.d END AS ny,
-             CASE WHEN g.x + ox.d < 0 THEN -(g.x + ox.d) WHEN g.x + ox.d > 7 THEN 14 - (g.x + ox.d) ELSE g.x + ox.d END AS nx FROM g CROSS JOIN o oy CROSS JOIN o ox),
-f AS (SELECT vec_id, avg(CASE WHEN sqrt(greatest(var, 0)) < 3 THEN 1 ELSE 0 END) AS flat_frac FROM (
-        SELECT n.vec_id, n.y, n.x, avg(m.v * m.v) - avg(m.v) * avg(m.v) AS var FROM n JOIN g m ON m.vec_id = n.vec_id AND m.y = n.ny AND m.x = n.nx GROUP BY ALL) GROUP BY vec_id),
-c AS (SELECT vec_id, avg(CASE WHEN least(r, g, b) >= 235 THEN 1 ELSE 0 END) AS white_frac,
+g AS MATERIALIZED (SELECT vec_id, y, x, CAST(round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS BIGINT) AS v FROM px),
+pos AS (SELECT i, CASE WHEN i < 0 THEN -i WHEN i > 47 THEN 94 - i ELSE i END // 6 AS at FROM range(-2, 50) t(i)),
+frame AS (SELECT vec_id, a.i AS y, b.i AS x, v FROM pos a CROSS JOIN pos b JOIN g ON g.y = a.at AND g.x = b.at),
+s1 AS (SELECT vec_id, y, x, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM frame WINDOW w AS (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+s2 AS (SELECT vec_id, y, x, (sum(s) OVER w)::DOUBLE / 25 AS m, (sum(q) OVER w)::DOUBLE / 25 AS mq FROM s1 WINDOW w AS (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+f AS (SELECT vec_id, avg(CASE WHEN sqrt(greatest(mq - m * m, 0)) < 3 THEN 1 ELSE 0 END) AS flat_frac FROM s2 WHERE y BETWEEN 0 AND 47 AND x BETWEEN 0 AND 47 GROUP BY vec_id),
+c AS (SELECT vec_id, avg(CASE WHEN least(r, g, b) >= 110 THEN 1 ELSE 0 END) AS white_frac,
              sqrt(var_pop(abs(r - g)) + var_pop(abs((r + g) / 2.0::DOUBLE - b))) + 0.3 * sqrt(avg(abs(r - g)) ** 2 + avg(abs((r + g) / 2.0::DOUBLE - b)) ** 2) AS colorfulness FROM px GROUP BY vec_id)
 SELECT vec_id, round(white_frac, 6) AS white_frac, round(colorfulness, 6) AS colorfulness, round(flat_frac, 6) AS flat_frac, TRUE AS probe_ok FROM c JOIN f USING (vec_id)
 """)
 def image_stats(spark, sf):
-    out = raster.image_stats(rasters(spark, sf), "vec_id").drop("n_components", "probe_error")
+    out = raster.image_stats(canvases(spark, sf), "vec_id", white_at=110).drop("n_components", "probe_error")
     return rounded(out, "white_frac", "colorfulness", "flat_frac")
 
 
-@_r.query()
+# Opening and closing are running minima and maxima along rows and columns; blobs are connected runs of
+# pixels, whose labels sink to the lowest one in reach.
+@_r.query(f"""
+WITH RECURSIVE {_PIXELS},
+g AS (SELECT vec_id, y, x, CAST(round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS INTEGER) AS v FROM px),
+h AS (SELECT vec_id, v, count(*)::DOUBLE AS n FROM g GROUP BY vec_id, v),
+c AS (SELECT vec_id, v, sum(n) OVER w AS lo, sum(n * v) OVER w AS lo_sum, sum(n) OVER p AS n, sum(n * v) OVER p AS all_sum
+      FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY v), p AS (PARTITION BY vec_id)),
+t AS (SELECT vec_id, coalesce(arg_min(v, {{'s': -((all_sum * lo / n - lo_sum) ** 2 / (lo * (n - lo))), 'v': v}}) FILTER (lo < n), 0) AS level FROM c GROUP BY vec_id),
+m0 AS (SELECT vec_id, y * 6 + oy AS y, x * 6 + ox AS x, v <= level AS f FROM g JOIN t USING (vec_id) CROSS JOIN range(6) a(oy) CROSS JOIN range(6) b(ox)),
+m1 AS (SELECT vec_id, y, x, min(f) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS f FROM m0),
+m2 AS (SELECT vec_id, y, x, min(f) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS f FROM m1),
+m3 AS (SELECT vec_id, y, x, max(f) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS f FROM m2),
+m4 AS (SELECT vec_id, y, x, max(f) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS f FROM m3),
+m5 AS (SELECT vec_id, y, x, min(f) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS f FROM m4),
+m6 AS (SELECT vec_id, y, x, min(f) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS f FROM m5),
+i AS (SELECT vec_id, y, x, x - row_number() OVER (PARTITION BY vec_id, y ORDER BY x) AS island FROM m6 WHERE f),
+run AS MATERIALIZED (SELECT vec_id, y, min(x) AS x1, max(x) AS x2, count(*) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY y, min(x)) AS id FROM i GROUP BY vec_id, y, island),
+touch AS (SELECT a.vec_id, a.id AS p, b.id AS q FROM run a JOIN run b ON a.vec_id = b.vec_id AND b.y = a.y + 1 AND b.x1 <= a.x2 + 1 AND b.x2 >= a.x1 - 1),
+edge AS MATERIALIZED (SELECT * FROM touch UNION ALL SELECT vec_id, q, p FROM touch UNION ALL SELECT vec_id, id, id FROM run),
+lab AS (
+  SELECT 0 AS step, vec_id, id, id AS label FROM run
+  UNION ALL
+  SELECT any_value(lab.step) + 1, edge.vec_id, edge.p, min(lab.label) FROM lab JOIN edge ON edge.vec_id = lab.vec_id AND edge.q = lab.id
+  WHERE lab.step < 250 GROUP BY edge.vec_id, edge.p),
+blob AS (SELECT lab.vec_id, lab.label, sum(run.n) AS n FROM lab JOIN run ON run.vec_id = lab.vec_id AND run.id = lab.id WHERE step = 250 GROUP BY ALL)
+SELECT e.vec_id, CAST(count(blob.n) FILTER (blob.n >= 0.02 * 48 * 48) AS INTEGER) AS n_components FROM embeddings e LEFT JOIN blob USING (vec_id) GROUP BY e.vec_id
+""")
 def foreground_components(spark, sf):
-    """Number of large dark blobs on a 48 x 48 canvas; checked against a flood fill in the tests."""
-    placed = raster.to_canvas(rasters(spark, sf).select("vec_id", "height", "width", "data"), 48, 48, id_col="vec_id")
-    canvas = placed.select("vec_id", F.col("out_height").alias("height"), F.col("out_width").alias("width"),
-                           F.col("out_data").alias("data"))
-    return raster.image_stats(canvas, "vec_id", 0.02).select("vec_id", "n_components")
+    """Number of large dark blobs on a 48 x 48 canvas."""
+    return raster.image_stats(canvases(spark, sf), "vec_id").select("vec_id", "n_components")
 
 
 @_r.query(f"""
