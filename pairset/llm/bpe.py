@@ -14,10 +14,11 @@ NULL and empty texts give no ids. Ids that are NULL decode to empty bytes.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pairset.session import ship
 
 #: Entries of one generation of the memo, and the longest chunk that is kept in it.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 64
 
 _MASK = (1 << 64) - 1
@@ -119,55 +120,99 @@ class Encoder:
         self.ranks = {token: i for i, token in enumerate(self.tokens)}
         self.split = regex.compile(vocabulary.pattern).findall
         self.width = 2 if len(self.tokens) < 1 << 16 else 4
+        self.packed = [i.to_bytes(self.width, "little") for i in range(len(self.tokens))]
+        self.singles = [self.ranks[bytes([c])] for c in range(256)]
+        # the pairs of tokens that make a token, as one number each
+        self.pairs = {
+            self.ranks[t[:k]] << 20 | self.ranks[t[k:]]: i
+            for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks
+        }
+        self.newline = self.packed[self.ranks[b"\n"]]
+        self.runs: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
-        """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        n, rank = len(piece), self.ranks.get
+        """Merge the lowest-ranked adjacent pair, leftmost first, until none is left.
+
+        ``part`` holds the id of the part that begins at a byte, ``after`` and ``before`` link the parts; heap entries
+        are a rank and a place in one number. An entry whose pair has changed is passed over.
+        """
+        n, pair = len(piece), self.pairs.get
+        part = [self.singles[c] for c in piece]
+        heap = []
+        left = part[0]
+        for i in range(1, n):
+            right = part[i]
+            if (r := pair(left << 20 | right)) is not None:
+                heap.append(r << 32 | i - 1)
+            left = right
+        if not heap:
+            return part
+        heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i:i + 2])) is not None]
-        heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            top = heappop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
             j = after[i]
-            if j < 0 or j >= n or after[j] != end:
+            if j >= n or part[i] < 0 or pair(part[i] << 20 | part[j]) != r:
                 continue
-            after[i], after[j] = end, -1
-            if end < n:
-                before[end] = i
-                if (r := rank(piece[i:after[end]])) is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
-            if (p := before[i]) >= 0 and (r := rank(piece[p:end])) is not None:
-                heapq.heappush(heap, (r, p, end))
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i:after[i]]])
-            i = after[i]
-        return ids
+            part[i], part[j] = r, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (x := pair(r << 20 | part[k])) is not None:
+                    heappush(heap, x << 32 | i)
+            if i and (x := pair(part[h := before[i]] << 20 | r)) is not None:
+                heappush(heap, x << 32 | h)
+        return [p for p in part if p >= 0]
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one pre-token."""
+        raw = piece.encode()
+        i = self.hash.candidate(raw)
+        if self.tokens[i] == raw:
+            return self.packed[i]
+        return b"".join([self.packed[i] for i in self.merged(raw)])
 
     def pieces(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(text):
-            raw = piece.encode()
-            i = self.hash.candidate(raw)
-            if self.tokens[i] == raw:
-                ids.append(i)
-            else:
-                ids.extend(self.merged(raw))
-        return b"".join(i.to_bytes(self.width, "little") for i in ids)
+        return b"".join([self.piece(piece) for piece in self.split(text)])
 
     def spaced(self, chunk: str) -> bytes:
-        """The ids of a chunk with the space before it."""
+        """The ids of a chunk with the space before it.
+
+        Letters with the space are one pre-token, a run of marks after them is another, and so is a line break between
+        two characters that are not white space; only other chunks need the pattern.
+        """
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.pieces(" " + chunk)
+            if chunk.isalpha():
+                ids = self.piece(" " + chunk)
+            elif (word := chunk.rstrip(string.punctuation)).isalpha():
+                return self.known(word) + self.marks(chunk[len(word):])
+            elif (cut := chunk.find("\n")) > 0 and chunk[cut + 1:].isalpha() and not chunk[cut - 1].isspace():
+                return self.known(chunk[:cut]) + self.newline + self.known(chunk[cut:])
+            elif cut == 0 and chunk[1:].isalpha():
+                ids = self.piece(chunk[1:])
+            else:
+                ids = self.pieces(" " + chunk)
         if len(chunk) <= MEMO_CHARS:
             if len(self.young) >= MEMO_ENTRIES:
                 self.old, self.young = self.young, {}
             self.young[chunk] = ids
         return ids
 
+    def known(self, chunk: str) -> bytes:
+        return self.young.get(chunk) or self.spaced(chunk)
+
+    def marks(self, run: str) -> bytes:
+        """The ids of a run of ASCII marks; short runs are few."""
+        if len(run) > 4:
+            return self.piece(run)
+        if run not in self.runs:
+            self.runs[run] = self.piece(run)
+        return self.runs[run]
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
