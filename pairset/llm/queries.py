@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairset.llm import bpe, licenses, toxicity
+from pairset.llm import bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, toxicity
 from pairset.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,10 +19,18 @@ def vocabulary(spark: SparkSession):
     return bpe.share(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(spark)))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -30,11 +38,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.where("verified").drop("verified").distinct()
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op6_toxicity, op8_licenses)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "text")
+    return line_dedup.without_recurring(docs).select(
+        "doc_id", "n_lines", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_bpe, op5_ngram_join, op6_toxicity, op7_decontaminate, op8_licenses, op9_line_dedup)}
 ORACLES: dict[str, str] = {}
 
 

@@ -1,13 +1,13 @@
 """Toxicity of whole texts: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A text is lower-cased and cut into bags of ``bag_words`` words. The features of a bag are the byte n-grams of its
+A text is lower-cased, look-alike digits are folded into letters, and it is cut into bags of ``bag_words`` words. The features of a bag are the byte n-grams of its
 words, word boundaries included, and the words themselves, hashed into ``2^bits`` rows of an embedding. Their
 mean goes through a linear softmax. A document is as toxic as its most toxic bag, so a few words in a long text
 count; in training, the most toxic bag of a toxic document carries the gradient, and every bag of a clean one.
 An unseen misspelling shares most n-grams with the known word, and so most of its vector.
 
-Training takes at most ``train_per_class`` labelled documents of each class, those with the smallest hash of the
-id: a bounded sample whatever the corpus. Scoring is row-wise and reads the text alone.
+Training takes at most ``train_toxic`` and ``train_clean`` labelled documents, those with the smallest hash of
+the id: a bounded sample whatever the corpus. Scoring is row-wise and reads the text alone.
 
 NULL and empty texts are one empty bag: they score the bias. Labels that are NULL, or that differ for one
 ``doc_id``, are not learnt from; repeated labels count once. Without labels of both classes every score is the share of class 1 (0 without any).
@@ -27,6 +27,8 @@ from pairset.llm.common import mixed
 from pairset.session import ship
 
 _P = np.uint64(0x100000001B3)
+#: ASCII lower case, with digits and signs that stand for letters folded into them.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ013457@$!", b"abcdefghijklmnopqrstuvwxyzoieastasi")
 _PLACES = mixed(np.arange(1, 256)) | np.uint64(1)
 
 
@@ -48,7 +50,7 @@ class Model:
 
 def features(text: str, bag_words: int, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashed n-grams of a text, the bag of each, and the number of bags. Words are runs of bytes above 0x20."""
-    raw = np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8)
+    raw = np.frombuffer(b" " + text.lower().encode().translate(_FOLD) + b" ", np.uint8)
     blank = raw <= 32
     begins = np.zeros(len(raw), bool)
     begins[1:] = blank[:-1] & ~blank[1:]
@@ -86,7 +88,7 @@ def bag_margins(table: np.ndarray, bias: float, hashed: np.ndarray, bag: np.ndar
 
 def train(
     texts: list[str], labels: np.ndarray, *, dims: int = 8, bits: int = 18, bag_words: int = 6,
-    sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 60, rate: float = 0.1, decay: float = 1e-7, warm: int = 5, seed: int = 7,
+    sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 25, rate: float = 0.5, decay: float = 1e-6, warm: int = 5, seed: int = 7,
 ) -> Model:
     """Fit embedding and softmax together by Adam over full batches."""
     rng = np.random.default_rng(seed)
@@ -136,16 +138,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_per_class: int = 600, **settings: int) -> Model:
-    """Train on at most ``train_per_class`` documents of each class that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = 400, train_clean: int = 1_200, **settings: float) -> Model:
+    """Train on at most ``train_toxic`` and ``train_clean`` documents that are not held out."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
         .where(F.col("low") == F.col("high"))
         .select("doc_id", F.col("low").alias("toxic"), F.xxhash64("doc_id").alias("at"))
     )
-    chosen = [known.where(F.col("toxic") == c).orderBy("at", "doc_id").limit(train_per_class) for c in (0, 1)]
-    bounded = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 x train_per_class ids
+    chosen = [known.where(F.col("toxic") == c).orderBy("at", "doc_id").limit(n) for c, n in ((0, train_clean), (1, train_toxic))]
+    bounded = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most train_toxic + train_clean ids
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded, "doc_id")
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
