@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairset.llm import bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, toxicity
+from pairset.llm import bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, pii, toxicity
 from pairset.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,7 +55,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_bpe, op5_ngram_join, op6_toxicity, op7_decontaminate, op8_licenses, op9_line_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_bpe, op5_ngram_join, op6_toxicity, op7_decontaminate, op8_licenses, op9_line_dedup, op10_pii)}
 ORACLES: dict[str, str] = {}
 
 

@@ -97,42 +97,72 @@ def train(
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return Model(np.zeros_like(embedding), weights, np.array([0.0, 20.0 * share - 10.0], np.float32), bag_words, sizes, bits)
-    parts = [features(t, bag_words, sizes, bits) for t in texts]
-    used, hashed = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n_bags = np.array([p[2] for p in parts])
-    first = np.concatenate([[0], np.cumsum(n_bags)[:-1]])
-    bag = np.concatenate([p[1] + o for p, o in zip(parts, first, strict=True)])
-    total = int(n_bags.sum())
-    lengths = np.maximum(np.bincount(bag, minlength=total), 1)
-    toxic = np.repeat(labels.astype(bool), n_bags)
-    # each class weighs the same, and so does each document of a class
-    weight = np.where(toxic, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-    e, w, b = embedding[used], weights, np.array([0.0, -2.0], np.float32)
+    chunks = list(_chunks(texts, labels, bag_words, sizes, bits))
+    totals = (labels == 0).sum(), (labels == 1).sum()
+    e, w, b = embedding, weights, np.array([0.0, -2.0], np.float32)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
     for epoch in range(1, epochs + 1):
-        margin = bag_margins(e @ (w[:, 1] - w[:, 0]), b[1] - b[0], hashed, bag, total)
-        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        if epoch <= warm:  # at first all bags of a document learn its label
-            share_of_bag = 1 / np.repeat(n_bags, n_bags)
-        else:
-            peak = np.maximum.reduceat(margin, first)
-            share_of_bag = np.where(toxic, margin >= np.repeat(peak, n_bags), 1 / np.sqrt(np.repeat(n_bags, n_bags)))
-        delta = (p - toxic) * weight * share_of_bag
-        per_gram = np.bincount(hashed, (delta / lengths)[bag], len(used)).astype(np.float32)
-        pooled = e.T @ per_gram
+        table = e @ (w[:, 1] - w[:, 0])
+        per_gram, slope = np.zeros(len(e), np.float64), 0.0
+        for c in chunks:
+            margin = bag_margins(table, b[1] - b[0], c.hashed, c.bag, len(c.toxic))
+            p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            bags = np.repeat(c.n_bags, c.n_bags)
+            if epoch <= warm:  # at first all bags of a document learn its label
+                part = 1 / bags
+            else:
+                peak = np.maximum.reduceat(margin, c.first)
+                part = np.where(c.toxic, margin >= np.repeat(peak, c.n_bags), 1 / np.sqrt(bags))
+            # each class weighs the same
+            delta = (p - c.toxic) * part * np.where(c.toxic, 0.5 / totals[1], 0.5 / totals[0])
+            lengths = np.maximum(np.bincount(c.bag, minlength=len(delta)), 1)
+            per_gram += np.bincount(c.hashed, (delta / lengths)[c.bag], len(e))
+            slope += delta.sum()
+        pooled = e.T @ per_gram.astype(np.float32)
         grads = [
-            np.outer(per_gram, w[:, 1] - w[:, 0]) + decay * e, np.stack([-pooled, pooled], 1) + decay * w,
-            np.array([-delta.sum(), delta.sum()], np.float32),
+            np.outer(per_gram.astype(np.float32), w[:, 1] - w[:, 0]) + np.float32(decay) * e, np.stack([-pooled, pooled], 1) + decay * w,
+            np.array([-slope, slope], np.float32),
         ]
         for x, g, (m, v) in zip((e, w, b), grads, state, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            x -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-    embedding[:] = 0  # n-grams never seen in training add nothing
-    embedding[used] = e
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
+            x -= np.float32(rate) * (m / np.float32(1 - 0.9**epoch)) / (np.sqrt(v / np.float32(1 - 0.999**epoch)) + np.float32(1e-8))
+    used = np.zeros(len(e), bool)
+    for c in chunks:
+        used[c.hashed] = True
+    embedding[~used] = 0  # n-grams never seen in training add nothing
     return Model(embedding, w, b, bag_words, sizes, bits)
 
 
+@dataclass
+class _Chunk:
+    """N-grams of some training documents, with the bags they fall into and the documents' first bags."""
+
+    hashed: np.ndarray
+    bag: np.ndarray
+    n_bags: np.ndarray
+    first: np.ndarray
+    toxic: np.ndarray
+
+
+def _chunks(texts: list[str], labels: np.ndarray, bag_words: int, sizes: tuple[int, ...], bits: int, grams: int = 1_000_000) -> Iterator[_Chunk]:
+    """Training features in chunks of about a million n-grams, so that a pass over them needs little memory."""
+    parts: list[tuple[np.ndarray, np.ndarray, int, bool]] = []
+    held = 0
+    for k, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        hashed, bag, n = features(text, bag_words, sizes, bits)
+        parts.append((hashed.astype(np.int32), bag.astype(np.int32), n, bool(label)))
+        held += len(hashed)
+        if held >= grams or k == len(texts) - 1:
+            n_bags = np.array([p[2] for p in parts])
+            first = np.concatenate([[0], np.cumsum(n_bags)[:-1]])
+            yield _Chunk(
+                np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + np.int32(o) for p, o in zip(parts, first, strict=True)]),
+                n_bags, first, np.repeat([p[3] for p in parts], n_bags),
+            )
+            parts, held = [], 0
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose label is never learnt from."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
