@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairset.llm import bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, pii, toxicity
-from pairset.llm.common import table
+from pairset.llm import bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, pii, secret_scan, token_shards, toxicity
+from pairset.llm.common import scratch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -19,6 +19,25 @@ def vocabulary(spark: SparkSession):
     return bpe.share(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", token_shards.byte_tokens(F.col("text")).alias("tokens"))
+    shards = token_shards.write(rows, scratch(spark, "shards"))
+    if shards.segments is None:
+        return spark.createDataFrame([], "slot long, sequence long, shard int, offset long, n_tokens long, sha256 string, whole boolean, doc_ids array<long>")
+    return token_shards.described(spark, shards).select(
+        "slot", "sequence", "shard", "offset", "n_tokens", "sha256", "whole", F.col("segments.doc_id").alias("doc_ids"),
+    )
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id", F.col("candidates").alias("n_candidates"), F.size("secrets").cast("long").alias("n_secrets"),
+        F.array_join(spans, ",").alias("spans"), F.array_max(F.col("secrets.score")).alias("top_score"),
+    )
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +81,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_dedup, op4_bpe, op5_ngram_join, op6_toxicity, op7_decontaminate, op8_licenses, op9_line_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_shards, op2_secrets, op3_embedding_dedup, op4_bpe, op5_ngram_join, op6_toxicity, op7_decontaminate, op8_licenses,
+    op9_line_dedup, op10_pii,
+)}
 ORACLES: dict[str, str] = {}
 
 
