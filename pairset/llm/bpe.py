@@ -285,10 +285,10 @@ def encode_documents(docs: DataFrame, vocabulary: Broadcast[Vocabulary]) -> Data
     return ids.select("doc_id", "ids", decoded_bytes(F.col("ids"), vocabulary).alias("decoded"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and SHA-256 digests of encoded documents."""
+def digests(encoded: DataFrame, *further: str) -> DataFrame:
+    """Counts and SHA-256 digests of encoded documents, with ``further`` columns of theirs."""
     return encoded.select(
-        "doc_id",
+        "doc_id", *further,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
