@@ -201,20 +201,23 @@ def _built(settings: Settings):
     return run
 
 
-def range_search(x: np.ndarray, q: np.ndarray, neighbours: list[np.ndarray], start: int, within: float, beam: int) -> np.ndarray:
-    """Members at least ``within`` similar to ``q``: a greedy beam from ``start``, then outwards through the range."""
+def range_search(
+    x: np.ndarray, q: np.ndarray, neighbours: list[np.ndarray], start: int, within: float, beam: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Members at least ``within`` similar to ``q`` and how similar: a greedy beam from ``start``, then outwards
+    through all that are in range."""
     seen = np.zeros(len(x), bool)
     seen[start] = True
-    ids, sims = np.array([start]), np.array([x[start] @ q])
-    expanded = np.zeros(1, bool)
+    ids, sims, expanded = np.array([start]), np.array([x[start] @ q]), np.zeros(1, bool)
     while True:
-        order = np.argsort(-sims, kind="stable")
-        ids, sims, expanded = ids[order], sims[order], expanded[order]
-        inside = sims >= within
-        todo = np.flatnonzero(~expanded & (inside | (np.arange(len(ids)) < beam)))
-        if not len(todo):
-            return ids[inside]
-        todo = todo[: 8]
+        todo = ~expanded & (sims >= within)
+        if not todo.any():
+            best = np.argpartition(-sims, beam - 1)[:beam] if len(sims) > beam else np.arange(len(sims))
+            best = best[~expanded[best]]
+            todo = best[np.argsort(-sims[best], kind="stable")[:4]]
+            if not len(todo):
+                inside = sims >= within
+                return ids[inside], sims[inside]
         expanded[todo] = True
         new = np.unique(np.concatenate([neighbours[i] for i in ids[todo]]))
         new = new[~seen[new]]
@@ -235,6 +238,8 @@ def _searched(settings: Settings):
             nodes, x = table["node"].to_numpy(), _matrix(table["unit"])
             task = table["task"][0].as_py()
             tasks = [frozenset(t) for t in table["tasks"].to_pylist()]
+            kinds = list(dict.fromkeys(tasks))
+            kind = np.array([kinds.index(t) for t in tasks])
             lower, single = table["lower"].to_numpy(), table["single"][0].as_py()
             neighbours = []
             for near in table["near"].to_pylist():
@@ -242,16 +247,19 @@ def _searched(settings: Settings):
                 at[at == len(nodes)] = 0
                 neighbours.append(at[nodes[at] == near] if len(near) else np.zeros(0, int))
             medoid = int((x @ x.mean(0)).argmax())
-            found = set()
+            codes = []
             for i in range(len(nodes)):
-                for j in range_search(x, x[i], neighbours, medoid, within, settings.beam).tolist():
-                    if i != j and x[i] @ x[j] >= settings.threshold and (single or lower[i] != lower[j]):
-                        found.add((min(i, j), max(i, j)))
+                j, similar = range_search(x, x[i], neighbours, medoid, within, settings.beam)
+                j = j[(similar >= settings.threshold) & (j != i)]
+                j = j if single else j[lower[j] != lower[i]]
+                codes.append(np.minimum(i, j) * len(nodes) + np.maximum(i, j))
+            i, j = np.divmod(np.unique(np.concatenate(codes)), len(nodes))
             # a pair that shares several tasks counts in the first of them
-            pairs = [(i, j) for i, j in sorted(found) if len(tasks[i]) == 1 or len(tasks[j]) == 1 or min(tasks[i] & tasks[j]) == task]
-            if not pairs:
+            first = np.array([[min(a & b, default=task) == task for b in kinds] for a in kinds], bool)
+            own = first[kind[i], kind[j]]
+            i, j = i[own], j[own]
+            if not len(i):
                 continue
-            i, j = np.array(pairs).T
             copies = table["copies"].to_numpy()
             links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
             at = np.flatnonzero(links)

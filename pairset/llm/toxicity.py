@@ -3,7 +3,8 @@
 A text is lower-cased, look-alike digits are folded into letters, and it is cut into bags of ``bag_words`` words. The features of a bag are the byte n-grams of its
 words, word boundaries included, and the words themselves, hashed into ``2^bits`` rows of an embedding. Their
 mean goes through a linear softmax. A document is as toxic as its most toxic bag, so a few words in a long text
-count; in training, the most toxic bag of a toxic document carries the gradient, and every bag of a clean one.
+count; in training, the bags of a toxic document carry its
+gradient by how toxic they are, and every bag of a clean one does.
 An unseen misspelling shares most n-grams with the known word, and so most of its vector.
 
 Training takes at most ``train_toxic`` and ``train_clean`` labelled documents, those with the smallest hash of
@@ -88,7 +89,7 @@ def bag_margins(table: np.ndarray, bias: float, hashed: np.ndarray, bag: np.ndar
 
 def train(
     texts: list[str], labels: np.ndarray, *, dims: int = 8, bits: int = 18, bag_words: int = 6,
-    sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 25, rate: float = 0.5, decay: float = 1e-6, warm: int = 5, seed: int = 7,
+    sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 40, rate: float = 0.5, decay: float = 1e-6, sharpness: float = 4.0, seed: int = 7,
 ) -> Model:
     """Fit embedding and softmax together by Adam over full batches."""
     rng = np.random.default_rng(seed)
@@ -108,11 +109,11 @@ def train(
             margin = bag_margins(table, b[1] - b[0], c.hashed, c.bag, len(c.toxic))
             p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             bags = np.repeat(c.n_bags, c.n_bags)
-            if epoch <= warm:  # at first all bags of a document learn its label
-                part = 1 / bags
-            else:
-                peak = np.maximum.reduceat(margin, c.first)
-                part = np.where(c.toxic, margin >= np.repeat(peak, c.n_bags), 1 / np.sqrt(bags))
+            # a toxic document's bags share its weight, evenly at first and then more and more by how toxic they are
+            heat = margin * (sharpness * (epoch - 1) / epochs)
+            heat = np.exp(heat - np.repeat(np.maximum.reduceat(heat, c.first), c.n_bags))
+            heat /= np.repeat(np.add.reduceat(heat, c.first), c.n_bags)
+            part = np.where(c.toxic, heat, 1 / np.sqrt(bags))
             # each class weighs the same
             delta = (p - c.toxic) * part * np.where(c.toxic, 0.5 / totals[1], 0.5 / totals[0])
             lengths = np.maximum(np.bincount(c.bag, minlength=len(delta)), 1)
@@ -168,7 +169,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = 400, train_clean: int = 1_200, **settings: float) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = 600, train_clean: int = 1_800, **settings: float) -> Model:
     """Train on at most ``train_toxic`` and ``train_clean`` documents that are not held out."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
