@@ -91,6 +91,24 @@ def _nearest(slack: float):
     return run
 
 
+def _apart(threshold: float):
+    """Medoids of a shard of which none could link with a neighbour of another: a tight group keeps one."""
+    far = math.cos(min(math.pi, 2.2 * math.acos(threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for medoids in batch["medoids"].to_pylist():
+                chosen: list[bytes] = []
+                for m in medoids:
+                    if all(np.frombuffer(m, np.float64) @ np.frombuffer(c, np.float64) < far for c in chosen):
+                        chosen.append(m)
+                kept.append(chosen)
+            yield pa.RecordBatch.from_arrays([batch["shard"], pa.array(kept, pa.list_(pa.binary()))], ["shard", "medoids"])
+
+    return run
+
+
 def _shards(classes: DataFrame, settings: Settings) -> DataFrame:
     """``shard``, ``members``, ``node``, ``unit``, ``copies``: every class in one or more shards."""
     rows = classes.select(F.xxhash64("label", F.size("embedding")).alias("shard"), "node", "unit", "copies")
@@ -105,11 +123,13 @@ def _shards(classes: DataFrame, settings: Settings) -> DataFrame:
         first = Window.partitionBy("shard").orderBy(F.xxhash64("node", "shard"), "node")
         medoids = large.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MEDOIDS).groupBy("shard").agg(
             F.sort_array(F.collect_list(F.struct("n", "unit"))).getField("unit").alias("medoids"),
-        )
+        ).mapInArrow(_apart(settings.threshold), "shard long, medoids array<binary>")
         dealt = stored(large.drop("members").join(medoids, "shard").mapInArrow(
             _nearest(settings.slack), "shard long, node long, unit binary, copies long, to array<int>",
         ), "dealt")
-        judged = dealt.groupBy("shard").agg(F.count("*").alias("members"), F.avg((F.size("to") > 1).cast("double")).alias("both"))
+        judged = dealt.groupBy("shard").agg(F.count("*").alias("members"), F.avg((F.size("to") > 1).cast("double")).alias("both"), F.max("to").alias("top"), F.min("to").alias("low"))
+        # a shard all of whose classes go the same way does not come apart either
+        judged = judged.select("shard", "members", F.when(F.col("top") == F.col("low"), 1.0).otherwise(F.col("both")).alias("both"))
         dealt = dealt.join(judged, "shard")
         whole = dealt.where(F.col("both") > INSEPARABLE)
         done = done.unionByName(whole.select("shard", "node", "unit", "copies", "members"))
