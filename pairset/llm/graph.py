@@ -25,12 +25,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (state.n, state.h) == seen:
             break
         seen = (state.n, state.h)
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = current.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         lowest = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = stored(low.select("a", F.col("m").alias("b")).unionByName(moved).distinct(), "links")
+        hung = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        current = stored(large.join(low, "a").select(F.inline(hung)).where("a > b").distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
