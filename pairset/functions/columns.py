@@ -60,8 +60,13 @@ def size_bucket(side: Column | str, low: int = 512, high: int = 1024) -> Column:
 
 
 def bucket_by_edges(value: Column | str, edges: Sequence[float], prefix: str = "q") -> Column:
-    """Right-closed buckets ``q1..qk`` for inner edges in ascending order; NULL stays NULL."""
+    """Right-closed buckets ``q1..qk`` for inner edges in ascending order; NULL stays NULL.
+
+    Edges that are NULL, as those of a column without values, give NULL.
+    """
     v = _col(value)
+    if any(edge is None for edge in edges):
+        return F.lit(None).cast("string")
     out = F.when(v.isNull(), F.lit(None).cast("string"))
     for i, edge in enumerate(edges, 1):
         out = out.when(v <= F.lit(float(edge)), f"{prefix}{i}")

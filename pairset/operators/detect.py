@@ -17,6 +17,9 @@ from pairset.session import checkpointed, keyed, map_batches
 PRE_SCORE, POST_SCORE, NMS_IOU = 0.1, 0.3, 0.45
 VISIBLE = 0.3
 
+CORNERS = ("x1", "y1", "x2", "y2")
+_ROW = "_row"
+
 
 def corner_boxes(raw: DataFrame, ratio: Column, min_score: float = PRE_SCORE) -> DataFrame:
     """Centre/size boxes ``(cx, cy, w, h)`` as corners in original pixels, weak scores dropped."""
@@ -68,12 +71,17 @@ def _suppress(boxes: np.ndarray, limit: float, slab: int = 256) -> np.ndarray:
     return np.flatnonzero(alive)
 
 
+def _preference(dets: DataFrame, id_col: str) -> list[Column]:
+    """Best score first; ids may repeat or be absent, so the corners decide among the rest."""
+    return [F.col("score").desc(), *[F.col(c) for c in (id_col, *CORNERS) if c in dets.columns]]
+
+
 def _settled(dets: DataFrame, key: Sequence[str], id_col: str, limit: float) -> DataFrame:
     """Suppression within each (image, class), over batches of a partition sorted by group and score.
 
     Spark sorts, so a task holds one batch and the group that runs past its end.
     """
-    columns, coords = dets.columns, ["x1", "y1", "x2", "y2"]
+    columns, coords = dets.columns, list(CORNERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -94,7 +102,7 @@ def _settled(dets: DataFrame, key: Sequence[str], id_col: str, limit: float) ->
         if held is not None:
             yield held.iloc[_suppress(held[coords].to_numpy(dtype=float), limit)][columns]
 
-    ordered = keyed(dets, key).sortWithinPartitions(*key, F.col("score").desc(), F.col(id_col))
+    ordered = keyed(dets, key).sortWithinPartitions(*key, *_preference(dets, id_col))
     return map_batches(ordered, run, dets.schema)
 
 
@@ -106,7 +114,8 @@ def suppress_overlaps(
 
     Groups up to ``group_boxes`` boxes are settled in one task each. A larger group is settled in rounds:
     its best ``group_boxes`` boxes are settled as a group, everything they suppress leaves the table, and
-    the remainder goes into the next round. The result is that of the full greedy pass.
+    the remainder goes into the next round. Rows carry a number of their own there, so boxes of one id are
+    judged one by one. The result is that of the full greedy pass; equal boxes of equal score leave one row.
     """
     key = [image, "cls"]
     sizes = dets.groupBy(*key).agg(F.count("*").alias("_n"))
@@ -115,13 +124,13 @@ def suppress_overlaps(
         return _settled(dets, key, id_col, limit)
     large = checkpointed(large)
     kept = _settled(dets.join(large, key, "left_anti").select(dets.columns), key, id_col, limit)
-    rest = checkpointed(dets.join(large, key, "left_semi").select(dets.columns))
-    best_first = [F.col("score").desc(), F.col(id_col)]
+    rest = checkpointed(dets.join(large, key, "left_semi").select(dets.columns).withColumn(_ROW, F.monotonically_increasing_id()))
+    best_first = [*_preference(dets, id_col), F.col(_ROW)]
     while not rest.isEmpty():
-        best = checkpointed(top_k(rest, key, best_first, group_boxes, salt=F.col(id_col)))
+        best = checkpointed(top_k(rest, key, best_first, group_boxes, salt=F.col(_ROW)))
         settled = checkpointed(_settled(best, key, id_col, limit))
-        kept = kept.unionByName(settled)
-        later = rest.join(best.select(*key, id_col), [*key, id_col], "left_anti").select(dets.columns).alias("a")
+        kept = kept.unionByName(settled.drop(_ROW))
+        later = rest.join(best.select(_ROW), _ROW, "left_anti").select(rest.columns).alias("a")
         same = (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col("a.cls") == F.col("b.cls"))
         rest = checkpointed(later.join(settled.alias("b"), same & (overlap("a", "b") > limit), "left_anti"))
     return kept

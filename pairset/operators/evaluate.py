@@ -59,9 +59,9 @@ def registry_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, higher_is_better boolean, is_distribution boolean, caveat string")
 
 
-register(MetricSpec("ssim", True, caveat="Near-blind to a wrong garment category.",
+register(MetricSpec("ssim", True, caveat="Local structure: a garment of the wrong kind may score as high as the right one.",
                     compute=lambda p, t, m: pixels.ssim(p, t)))
-register(MetricSpec("psnr", True, caveat="Dominated by background and skin.",
+register(MetricSpec("psnr", True, caveat="A mean over all pixels, most of which are not garment.",
                     compute=lambda p, t, m: pixels.psnr(p, t)))
 register(MetricSpec("lpips", False, caveat="Needs a network; score it elsewhere and join the table."))
 register(MetricSpec("masked_ssim", True, caveat="Needs a mask. Averages over the whole frame.",

@@ -6,6 +6,7 @@ rows without leaving half-written ones. Where a key has several attempts, reader
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,15 +16,31 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
-from pairset.operators.joins import missing_ids
+from pairset.operators.joins import distinct_keys, missing_ids
 from pairset.schema import as_flag
 from pairset.session import map_batches
 
 RowFn = Callable[[dict], dict]
+ATTEMPT = "_attempt"
 # The five artefacts of a sample and their file types.
 ARTEFACT_KINDS = {"person": "jpg", "garment": "jpg", "person_pose": "png", "garment_pose": "png", "parse": "png"}
 
 
+def plain(batch: pd.DataFrame) -> list[dict]:
+    """The rows of a batch as records: NULL and NaN are None, and integers stay integers beside a NULL."""
+    columns = {}
+    for c in batch.columns:
+        values = batch[c].tolist()
+        if batch[c].dtype.kind == "f" and c in batch.attrs.get("whole", ()):
+            values = [None if v != v else int(v) for v in values]
+        elif batch[c].dtype.kind == "f":
+            values = [None if v != v else v for v in values]
+        else:
+            values = [None if v is None or v is pd.NA or v is pd.NaT else v for v in values]
+        columns[c] = values
+    return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
+
+
 def map_rows(
     df: DataFrame, fn: RowFn | None, result: T.StructType, keep: Sequence[str], ok: str = "ok",
     error: str = "error", load: Callable[[], RowFn] | None = None,
@@ -37,12 +54,14 @@ def map_rows(
     schema = T.StructType([*kept, *result.fields, T.StructField(ok, T.BooleanType()),
                            T.StructField(error, T.StringType())])
     names = [f.name for f in result.fields]
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = load() if load is not None else fn
         for batch in batches:
+            batch.attrs["whole"] = whole
             rows = []
-            for record in batch.to_dict("records"):
+            for record in plain(batch):
                 out = {c: record[c] for c in keep}
                 try:
                     values = call(record)
@@ -67,29 +86,35 @@ def read_cache(spark, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def usable(stats: DataFrame, ok: str, id_col: str = "id") -> DataFrame:
-    """One row per id: a successful attempt where there is one."""
-    best = W.partitionBy(id_col).orderBy(as_flag(ok).desc())
+def usable(stats: DataFrame, ok: str, id_col: str = "id", attempt: str | None = None) -> DataFrame:
+    """One row per id: a successful attempt where there is one, the latest of those."""
+    latest = [F.col(attempt).desc_nulls_last()] if attempt else []
+    best = W.partitionBy(id_col).orderBy(as_flag(ok).desc(), *latest)
     return stats.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
 
 
 def refresh_stats(
     index: DataFrame, cache_path: str, result: T.StructType, fn: RowFn | None = None, id_col: str = "id",
     retry_failed: bool = False, ok: str = "probe_ok", error: str = "probe_error",
-    load: Callable[[], RowFn] | None = None,
+    load: Callable[[], RowFn] | None = None, recompute: bool = False,
 ) -> DataFrame:
     """Probe only the ids the cache lacks, append them, and return the cache, one row per id.
 
-    With ``retry_failed`` ids whose every attempt failed are probed again.
+    With ``retry_failed`` ids whose every attempt failed are probed again, with ``recompute`` all ids are.
+    Attempts carry the time of their run, and of equally good ones the latest counts.
     """
     spark = index.sparkSession
     schema = T.StructType([index.schema[id_col], *result.fields, T.StructField(ok, T.BooleanType()),
                            T.StructField(error, T.StringType())])
-    cached = read_cache(spark, cache_path, schema)
-    done = cached.where(as_flag(ok)) if retry_failed else cached
-    todo = missing_ids(index, done, [id_col])
-    map_rows(todo, fn, result, [id_col], ok, error, load).write.mode("append").parquet(cache_path)
-    return usable(spark.read.schema(schema).parquet(cache_path), ok, id_col)
+    stored = T.StructType([*schema.fields, T.StructField(ATTEMPT, T.LongType())])
+    if recompute:
+        todo = index
+    else:
+        cached = read_cache(spark, cache_path, stored)
+        todo = missing_ids(index, cached.where(as_flag(ok)) if retry_failed else cached, [id_col])
+    probed = map_rows(todo, fn, result, [id_col], ok, error, load).withColumn(ATTEMPT, F.lit(time.time_ns()))
+    probed.write.mode("append").parquet(cache_path)
+    return usable(spark.read.schema(stored).parquet(cache_path), ok, id_col, ATTEMPT).drop(ATTEMPT)
 
 
 def split_outcome(df: DataFrame, ok: str = "ok") -> tuple[DataFrame, DataFrame]:
@@ -103,9 +128,13 @@ def worklist(samples: DataFrame, modes: Sequence[str], mode: str = "mode") -> Da
 
 
 def pending(work: DataFrame, run_log: DataFrame, keys: Sequence[str] = ("mode", "id"), ok: str | None = None) -> DataFrame:
-    """Work not yet in the run log; with ``ok``, failed attempts count as not done."""
-    done = run_log if ok is None else run_log.where(as_flag(ok))
-    return missing_ids(work, done, keys)
+    """Work not yet in the run log; with ``ok``, failed attempts count as not done. A NULL key matches a NULL one."""
+    done = distinct_keys(run_log if ok is None else run_log.where(as_flag(ok)), keys)
+    done = done.select([F.col(k).alias(f"_done_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_done_{k}"))
+    return work.join(done, same, "left_anti")
 
 
 def keep_latest(log: DataFrame, keys: Sequence[str], attempt: Sequence[str]) -> DataFrame:

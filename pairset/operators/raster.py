@@ -277,9 +277,3 @@ def aligned(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of equal size, and the others for quarantine."""
     same = (F.col("pred_height") == F.col("truth_height")) & (F.col("pred_width") == F.col("truth_width"))
     return pairs.where(F.coalesce(same, F.lit(False))), pairs.where(~F.coalesce(same, F.lit(False)))
-
-
-def fullest_bin(per_bin: DataFrame, id_col: str) -> DataFrame:
-    """The bin with most pixels per image, the lower bin among ties."""
-    first = W.partitionBy(id_col).orderBy(F.col("n").desc(), "bin")
-    return per_bin.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")

@@ -67,29 +67,31 @@ def summarise(steps: DataFrame, by: Sequence[str] = (), order: str = "step") ->
 
 
 def micro_batch_means(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, **blocks: int,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, epoch: str | None = None, **blocks: int,
 ) -> DataFrame:
     """Mean of every ``size`` consecutive values of a series; an incomplete last group is left out.
 
-    Failed micro-batches have no value and do not count towards a group.
+    Failed micro-batches have no value and do not count towards a group. With ``epoch`` the count runs on
+    over the epochs of a series but sums start anew in each: a group that reaches over from one epoch has the
+    mean of what the next one adds to it.
     """
-    valued = df.select(*keys, *order, null_if_nan(F.col(value).cast("double")).alias("_v")).where("_v is not null")
+    part = F.col(epoch) if epoch is not None else F.lit(0)
+    valued = df.select(*keys, *order, part.alias("_e"), null_if_nan(F.col(value).cast("double")).alias("_v")).where("_v is not null")
     placed = position(valued, keys, order, "_i", **blocks)
     group = (F.floor(F.col("_i") / size) + 1).cast("bigint")
-    return (
-        placed.groupBy(*keys, group.alias("step")).agg(F.count("*").alias("_n"), F.avg("_v").alias("loss"))
-        .where(F.col("_n") == size).drop("_n")
-    )
+    parts = placed.groupBy(*keys, group.alias("step"), "_e").agg(F.count("*").alias("_n"), F.avg("_v").alias("_m"), F.max("_i").alias("_at"))
+    whole = parts.groupBy(*keys, "step").agg(F.sum("_n").alias("_n"), F.max_by("_m", "_at").alias("loss"))
+    return whole.where(F.col("_n") == size).drop("_n")
 
 
 def validation_mean(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, max_batches: int | None = None,
-    **blocks: int,
 ) -> DataFrame:
     """Mean loss and batch count per validation, optionally over the first batches only; 0 for none."""
     rows = df
     if max_batches:
-        rows = position(df, keys, order, "_i", **blocks).where(F.col("_i") < max_batches)
+        by = [F.col(c) for c in order]
+        rows = top_k(df, keys, by, max_batches, salt=F.struct(*by))
     v = F.col(value)
     return rows.groupBy(*keys).agg(F.coalesce(F.avg(v), F.lit(0.0)).alias("val_loss"),
                                    F.count(v).alias("val_batches"))

@@ -22,7 +22,8 @@ from pairset.operators.sequence import position, top_k
 from pairset.schema import null_if_nan
 from pairset.session import checkpointed
 
-_SLACK = 1e-12
+#: Scores are compared to so many parts of one.
+_DIGITS = 1e11
 
 
 def with_levels(df: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -128,8 +129,8 @@ def stratified_subset(
 ) -> DataFrame:
     """Draw ``n`` rows whose marginal shares on all axes come closest to the targets, greedily.
 
-    Each pick adds the row that lowers the total deviation most; ties go to the smallest
-    ``(shuffle key, id)``. Rows of one stratum are interchangeable, so the greedy search runs over strata:
+    Each pick adds the row that lowers the total deviation most, to eleven digits; ties go to the smallest
+    ``(shuffle key, id)``, whichever way the search runs. Rows of one stratum are interchangeable, so the greedy search runs over strata:
     Spark reduces every stratum to a count and its first ``n`` keys, the search yields how many rows each
     stratum gives, and Spark takes them. While all strata together have at most ``driver_rows`` such keys the
     search runs on them in the driver; beyond that every pick is one aggregation over the strata table.
@@ -175,7 +176,7 @@ def _take_local(strata: DataFrame, targets: DataFrame, axes: Sequence[str], n: i
         # Adding a row changes the deviation only at its own levels.
         gain = np.abs((counts + 1) / step - aim) - np.abs(counts / step - aim)
         score = gain[level[[s for _, s in queue]]].sum(axis=1)
-        _, pick = queue.pop(_first_clear_minimum(score))
+        _, pick = queue.pop(int(np.floor(score * _DIGITS + 0.5).argmin()))
         used[pick] += 1
         counts[level[pick]] += 1
         if used[pick] < len(heads[pick]):
@@ -183,16 +184,6 @@ def _take_local(strata: DataFrame, targets: DataFrame, axes: Sequence[str], n: i
     return {tuple(rows[s][a] for a in axes): int(c) for s, c in enumerate(used) if c}
 
 
-def _first_clear_minimum(score: np.ndarray) -> int:
-    """Scan in order and move on only to values lower by more than the slack."""
-    best = 0
-    while True:
-        lower = np.flatnonzero(score[best + 1:] < score[best] - _SLACK)
-        if not len(lower):
-            return best
-        best += 1 + int(lower[0])
-
-
 def _take_distributed(strata: DataFrame, targets: DataFrame, axes: Sequence[str], n: int) -> dict[tuple, int]:
     """The same search as one aggregation per pick; the literals passed in are bounded by ``n``."""
     table, targets = strata, checkpointed(targets)
@@ -206,14 +197,13 @@ def _take_distributed(strata: DataFrame, targets: DataFrame, axes: Sequence[str]
         score = F.lit(0.0)
         for a in axes:
             have = _looked_up(counts[a], F.col(a))
-            score = score + F.abs((have + 1) / step - F.col(f"_t_{a}")) - F.abs(have / step - F.col(f"_t_{a}"))
+            score = score + (F.abs((have + 1) / step - F.col(f"_t_{a}")) - F.abs(have / step - F.col(f"_t_{a}")))
         gone = _looked_up({"\u0001".join(k): v for k, v in used.items()}, F.col("_key"))
         head = F.try_element_at("heads", gone + 1)
-        scored = table.select(*axes, score.alias("_s"), head.alias("_h")).where(F.col("_h").isNotNull())
-        low = scored.agg(F.min("_s")).first()[0]
-        if low is None:
+        scored = table.select(*axes, F.floor(score * _DIGITS + 0.5).alias("_s"), head.alias("_h")).where(F.col("_h").isNotNull())
+        pick = scored.agg(F.min(F.struct("_s", "_h", *axes)).alias("_b")).select("_b.*").first()
+        if pick["_h"] is None:
             break
-        pick = scored.where(F.col("_s") <= low + _SLACK).orderBy("_h").first()
         levels = tuple(pick[a] for a in axes)
         used[levels] = used.get(levels, 0) + 1
         for a, lv in zip(axes, levels):

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairset.schema import null_if_nan
 from pairset.session import checkpointed
 
 BLOCK_ROWS = 2_000_000
 
 POS, BLOCK = "_pos", "_block"
+_VALUE, _SO_FAR = "_value", "_so_far"
 _SHIFT = 1 << 33
 
 
@@ -60,11 +62,8 @@ def laid_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: in
 
 
 def with_halo(laid: DataFrame, rows: int, block_rows: int) -> DataFrame:
-    """Copy the last ``rows`` rows of each block into the next one; ``_home`` marks the originals."""
-    if rows > block_rows:
-        raise ValueError(f"a frame of {rows} rows needs blocks of at least that size")
-    near_end = F.col(POS) % block_rows >= block_rows - rows
-    blocks = F.when(near_end, F.array(F.col(BLOCK), F.col(BLOCK) + 1)).otherwise(F.array(F.col(BLOCK)))
+    """Copy each row into all blocks that the ``rows`` rows after it reach; ``_home`` marks the originals."""
+    blocks = F.sequence(F.col(BLOCK), F.floor((F.col(POS) + rows) / block_rows).cast("bigint"))
     return (
         laid.withColumn("_in", F.explode(blocks))
         .withColumn("_home", F.col("_in") == F.col(BLOCK))
@@ -88,16 +87,48 @@ def rolling_mean(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, window: int = 100,
     out: str = "rolling_mean", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Mean of the last ``window`` non-null values of a series, up to and including the row."""
-    rows = df.where(F.col(value).isNotNull())
-    longest, total = longest_series(rows, keys)
+    """Mean of the last ``window`` values of a series, up to and including the row.
+
+    Rows without a value (NULL or NaN) do not enter the mean and carry the one before them.
+    """
+    measured = F.col(_VALUE).isNotNull()
+    valued = with_value(df, value)
+    longest, total = longest_series(valued, keys)
     frame = (-(window - 1), 0)
     if longest <= block_rows:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        return rows.withColumn(out, F.avg(value).over(w))
-    halo = with_halo(laid_out(rows, keys, order, total, block_rows), window - 1, block_rows)
+        # frames run over the number of values so far, which rows without a value share with the one before
+        so_far = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        last = W.partitionBy(*keys).orderBy(_SO_FAR).rangeBetween(*frame)
+        counted = valued.withColumn(_SO_FAR, F.count(_VALUE).over(so_far))
+        return counted.withColumn(out, F.avg(_VALUE).over(last)).drop(_VALUE, _SO_FAR)
+    halo = with_halo(laid_out(valued.where(measured), keys, order, total, block_rows), window - 1, block_rows)
     w = W.partitionBy("_in", *keys).orderBy(POS).rowsBetween(*frame)
-    return _finish(halo.withColumn(out, F.avg(value).over(w)))
+    means = _finish(halo.withColumn(out, F.avg(_VALUE).over(w)))
+    gaps = valued.where(~measured).withColumn(out, F.lit(None).cast("double"))
+    return last_known(means.unionByName(gaps), keys, order, out, block_rows).drop(_VALUE)
+
+
+def with_value(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with the value as a number under a name of its own, NaN as NULL."""
+    return df.withColumn(_VALUE, null_if_nan(F.col(value).cast("double")))
+
+
+def last_known(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """NULLs of a column replaced by the last value before them in the series, where there is one."""
+    longest, total = longest_series(df, keys)
+    if longest <= block_rows:
+        before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(column, F.last(column, ignorenulls=True).over(before))
+    laid = laid_out(df, keys, order, total, block_rows)
+    known = F.when(F.col(column).isNotNull(), F.col(POS))
+    per_block = laid.groupBy(*keys, BLOCK).agg(F.max_by(column, known).alias("_l"))
+    earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    carry = per_block.withColumn("_carry", F.last("_l", ignorenulls=True).over(earlier)).drop("_l")
+    inside = W.partitionBy(BLOCK, *keys).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
+    filled = _join_null_safe(laid, carry, [*keys, BLOCK])
+    return filled.withColumn(column, F.coalesce(F.last(column, ignorenulls=True).over(inside), "_carry")).drop("_carry", POS, BLOCK)
 
 
 def step_time(
@@ -130,11 +161,15 @@ def running_best(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, mode: str = "min",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``best_before`` and ``is_best``: strictly better than every earlier value of the series."""
+    """``best_before`` and ``is_best``: strictly better than every earlier value of the series.
+
+    A NULL or NaN value is never best and no later value is measured against it.
+    """
     if mode not in ("min", "max"):
         raise ValueError(f"unknown mode {mode!r}; use min or max")
     best = F.min if mode == "min" else F.max
     pick = F.least if mode == "min" else F.greatest
+    df, value = with_value(df, value), _VALUE
     longest, total = longest_series(df, keys)
     if longest <= block_rows:
         earlier = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -152,7 +187,7 @@ def running_best(
         )
     v, b = F.col(value), F.col("best_before")
     better = v < b if mode == "min" else v > b
-    return marked.withColumn("is_best", F.coalesce(v.isNotNull() & (b.isNull() | better), F.lit(False)))
+    return marked.withColumn("is_best", F.coalesce(v.isNotNull() & (b.isNull() | better), F.lit(False))).drop(_VALUE)
 
 
 def position(

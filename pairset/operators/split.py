@@ -8,14 +8,19 @@ bounded top-k the id. Membership is then a plain column predicate, without a shu
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairset.functions.keys import shuffle_key
+from pairset.schema import struct_of
+from pairset.session import map_batches
 
 _SLICE = 1 << 16
 
@@ -97,17 +102,27 @@ def split_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("part").agg(F.count("*").alias("n"))
 
 
-def manifest_hash(selection: DataFrame, id_col: str = "id", max_ids: int = 1_000_000) -> DataFrame:
+def manifest_hash(selection: DataFrame, id_col: str = "id") -> DataFrame:
     """First 16 hex digits of the SHA-256 over the comma-joined sorted ids of a selection.
 
-    The digest is sequential by definition, so it is meant for drawn selections, whose size is a parameter
-    of the draw; a selection of more than ``max_ids`` ids fails and is to be told apart by ``fingerprint``.
+    The digest is sequential by definition: one task reads the ids, which Spark sorts and spills, and feeds
+    them to the hash one batch at a time. ``n`` counts all rows; NULL ids are not part of the digest.
     """
-    ids = selection.select(F.col(id_col).cast("string").alias("id"))
-    if ids.limit(max_ids + 1).count() > max_ids:
-        raise ValueError(f"more than {max_ids} ids; use fingerprint() for whole tables")
-    joined = F.concat_ws(",", F.array_sort(F.collect_list("id")))
-    return ids.agg(F.count("*").alias("n"), F.substring(F.sha2(joined, 256), 1, 16).alias("manifest"))
+    ids = selection.select(F.col(id_col).cast("string").alias("id")).repartition(1).sortWithinPartitions("id")
+    empty = hashlib.sha256().hexdigest()[:16]
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, n, started = hashlib.sha256(), 0, False
+        for batch in batches:
+            n += len(batch)
+            known = batch["id"].dropna()
+            if len(known):
+                state.update(((b"," if started else b"") + ",".join(known).encode()))
+                started = True
+        yield pd.DataFrame({"n": [n], "manifest": [state.hexdigest()[:16]]})
+
+    found = map_batches(ids, digest, struct_of("n bigint, manifest string"))
+    return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("manifest"), F.lit(empty)).alias("manifest"))
 
 
 def fingerprint(df: DataFrame, id_col: str = "id") -> DataFrame:

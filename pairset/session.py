@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -72,9 +73,11 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Shuffle by key into the configured number of partitions before CPU-heavy grouped Python work.
 
     An explicit number keeps adaptive execution from merging partitions by their bytes, which say little
-    about the work in them; the grouped operator that follows reuses this shuffle.
+    about the work in them; the grouped operator that follows reuses this shuffle. The key is hashed once
+    more, so that the shuffle is never left out in favour of how a union below is partitioned: adaptive
+    execution may merge the partitions of a union's branches differently.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
 
 
 _SHIPPED: set[str] = set()

@@ -116,9 +116,18 @@ def test_manifest_of_the_frozen_subset(spark):
     assert tuple(split.manifest_hash(df).first()) == (24, FROZEN_MANIFEST)
 
 
-def test_manifest_refuses_unbounded_tables(spark):
-    with pytest.raises(ValueError):
-        split.manifest_hash(spark.range(11), max_ids=10)
+def test_manifest_of_any_size(spark, monkeypatch):
+    import hashlib
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = split.manifest_hash(spark.range(2_500).withColumn("id", F.lpad(F.col("id").cast("string"), 6, "0")).repartition(7)).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = hashlib.sha256(",".join(f"{i:06d}" for i in range(2_500)).encode()).hexdigest()[:16]
+    assert (got.n, got.manifest) == (2_500, want)
+    none = split.manifest_hash(spark.range(0)).first()
+    assert (none.n, none.manifest) == (0, hashlib.sha256(b"").hexdigest()[:16])
 
 
 def test_fingerprint_ignores_order_and_sees_changes(spark):

@@ -114,3 +114,22 @@ def test_centre_and_scale(spark):
     df = spark.createDataFrame([(0.0, 0.0, 30.0, 40.0)], "x1 double, y1 double, x2 double, y2 double")
     assert tuple(df.select(*[c.alias(n) for n, c in detect.centre_and_scale().items()]).first()) == (15.0, 20.0, 37.5, 50.0)
     assert tuple(df.select(*[c.alias(n) for n, c in detect.centre_and_scale(1.0, 0.5).items()]).first())[2:] == (30.0, 60.0)
+
+
+@pytest.mark.parametrize("group_boxes", [20_000, 50, 7])
+def test_repeated_ids_and_equal_boxes(spark, group_boxes):
+    df = boxes(spark, 300, 13).withColumn("det_id", F.col("det_id") % 40)
+    df = df.unionByName(df.where("det_id < 5"))
+    names = ["image_id", "det_id", "x1", "y1", "x2", "y2", "score", "cls"]
+    order = lambda r: (-r.score, r.det_id, r.x1, r.y1, r.x2, r.y2)
+    kept = []
+    for r in sorted(df.collect(), key=order):
+        if not any(k.image_id == r.image_id and k.cls == r.cls and iou(k, r) > 0.45 for k in kept):
+            kept.append(r)
+    assert rows(detect.suppress_overlaps(df, group_boxes=group_boxes), *names) == sorted(tuple(r[c] for c in names) for r in kept)
+
+
+def test_boxes_without_ids(spark):
+    df = boxes(spark, 90, 14).drop("det_id")
+    names = df.columns
+    assert rows(detect.suppress_overlaps(df, group_boxes=7), *names) == rows(detect.suppress_overlaps(df), *names)

@@ -111,3 +111,24 @@ def test_first_seen(spark):
 def test_progress_counts_an_id_once(spark):
     attempts = spark.createDataFrame([("a", False), ("a", True), ("b", False), ("b", None)], "id string, ok boolean")
     assert tuple(inc.progress(table(spark, "a", "b", "c"), attempts).first()) == (1, 1, 3)
+
+
+def test_null_keys_are_done_work(spark):
+    work = spark.createDataFrame([("a", "1"), (None, "2"), ("b", None)], "mode string, id string")
+    log = spark.createDataFrame([(None, "2"), ("b", None)], "mode string, id string")
+    assert rows(inc.pending(work, log)) == [("a", "1")]
+
+
+def test_row_functions_see_none(spark, out):
+    df = spark.createDataFrame([(1, None, None), (2, 7, 1.5), (3, 2**40, float("nan"))], "id int, n bigint, x double")
+    seen = lambda row: {"kinds": f"{type(row['n']).__name__} {type(row['x']).__name__} {row['n']}"}
+    got = inc.map_rows(df, seen, struct_of("kinds string"), ["id"])
+    assert rows(got, "id", "kinds") == [(1, "NoneType NoneType None"), (2, "int float 7"), (3, f"int NoneType {2**40}")]
+
+
+def test_recompute_and_latest_attempt(spark, out):
+    df = spark.createDataFrame([("a",), ("b",)], "id string")
+    for value in (1, 2):
+        got = inc.refresh_stats(df, out + "/c", struct_of("v int"), lambda row, value=value: {"v": value}, recompute=True)
+        assert rows(got, "id", "v") == [("a", value), ("b", value)]
+    assert spark.read.parquet(out + "/c").count() == 4

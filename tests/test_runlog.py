@@ -77,3 +77,10 @@ def test_memory_estimate(spark):
     assert (row["total"], row["trainable"], row["frozen"]) == (12 * 10**8, 10**8, 11 * 10**8)
     assert (row["frozen_weights_gb"], row["gradients_gb"], row["optimizer_state_gb"]) == (2.2, 0.4, 0.2)
     assert row["static_total_gb"] == pytest.approx(3.2)
+
+
+def test_groups_that_reach_over_an_epoch(spark):
+    data = [("r", i, e, float(v)) for i, (e, v) in enumerate([(0, 1), (0, 2), (0, 3), (1, 10), (1, 20), (1, 30), (1, 40)])]
+    df = spark.createDataFrame(data, "run string, i int, epoch int, loss double")
+    got = runlog.micro_batch_means(df, ["run"], ["i"], "loss", 2, epoch="epoch")
+    assert rows(got, "step", "loss") == [(1, 1.5), (2, 10.0), (3, 25.0)]

@@ -47,16 +47,37 @@ def test_rolling_mean_against_a_deque(table):
     windows = defaultdict(lambda: deque(maxlen=30))
     want = {}
     for r in sorted(table.collect(), key=lambda r: r["step"]):
+        held = windows[r["run"]]
         if r["v"] is not None:
-            windows[r["run"]].append(r["v"])
-            want[r["run"], r["step"]] = sum(windows[r["run"]]) / len(windows[r["run"]])
+            held.append(r["v"])
+        want[r["run"], r["step"]] = sum(held) / len(held) if held else None
     got = {(r["run"], r["step"]): r["rolling_mean"] for r in sequence.rolling_mean(table, KEYS, ORDER, "v", 30, block_rows=64).collect()}
     assert got == pytest.approx(want)
 
 
-def test_a_frame_needs_room_in_a_block(table):
-    with pytest.raises(ValueError):
-        sequence.rolling_mean(table, KEYS, ORDER, "v", 30, block_rows=20).count()
+@pytest.mark.parametrize("block_rows", [20, 7])
+def test_a_frame_may_span_several_blocks(table, block_rows):
+    names = ("run", "step", "rolling_mean")
+    plain = sequence.rolling_mean(table, KEYS, ORDER, "v", 30).select(*names)
+    blocked = sequence.rolling_mean(table, KEYS, ORDER, "v", 30, block_rows=block_rows).select(*names)
+    close(ordered(blocked), ordered(plain))
+
+
+@pytest.mark.parametrize("block_rows", [100, 3])
+def test_rows_without_a_value_keep_the_last_mean(spark, block_rows):
+    data = [("a", 1, None), ("a", 2, 2.0), ("a", 3, float("nan")), ("a", 4, 4.0), ("a", 5, None), ("a", 6, 6.0), (None, 1, 1.0), (None, 2, None)]
+    df = spark.createDataFrame(data, "run string, step int, v double")
+    got = sequence.rolling_mean(df, KEYS, ORDER, "v", 2, block_rows=block_rows)
+    want = {("a", 1): None, ("a", 2): 2.0, ("a", 3): 2.0, ("a", 4): 3.0, ("a", 5): 3.0, ("a", 6): 5.0, (None, 1): 1.0, (None, 2): 1.0}
+    assert {(r.run, r.step): r.rolling_mean for r in got.collect()} == want and got.columns == [*df.columns, "rolling_mean"]
+
+
+@pytest.mark.parametrize("mode", ["min", "max"])
+@pytest.mark.parametrize("block_rows", [100, 2])
+def test_nan_is_never_best(spark, mode, block_rows):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([2.0, float("nan"), None, 3.0, 1.0])], "run string, step int, v double")
+    got = sequence.running_best(df, KEYS, ORDER, "v", mode, block_rows=block_rows)
+    assert rows(got, "step", "is_best") == [(0, True), (1, False), (2, False), (3, mode == "max"), (4, mode == "min")]
 
 
 def test_step_time(table):
