@@ -146,10 +146,7 @@ def _tasks(shards: DataFrame, settings: Settings) -> DataFrame:
     rows = shards.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
     rows = rows.withColumn("pair", F.explode(others))
-    return rows.select(
-        F.xxhash64("shard", "pair.low", "pair.high").alias("task"), "node", "unit", "copies",
-        (F.col("own") == F.col("pair.low")).alias("lower"), (F.col("pair.low") == F.col("pair.high")).alias("single"),
-    )
+    return rows.select(F.xxhash64("shard", "pair.low", "pair.high").alias("task"), "node", "unit", "copies")
 
 
 def _seed(nodes: np.ndarray) -> np.random.Generator:
@@ -260,7 +257,6 @@ def _searched(settings: Settings):
             tasks = [frozenset(t) for t in table["tasks"].to_pylist()]
             kinds = list(dict.fromkeys(tasks))
             kind = np.array([kinds.index(t) for t in tasks])
-            lower, single = table["lower"].to_numpy(), table["single"][0].as_py()
             neighbours = []
             for near in table["near"].to_pylist():
                 at = np.searchsorted(nodes, near)
@@ -271,7 +267,6 @@ def _searched(settings: Settings):
             for i in range(len(nodes)):
                 j, similar = range_search(x, x[i], neighbours, medoid, within, settings.beam)
                 j = j[(similar >= settings.threshold) & (j != i)]
-                j = j if single else j[lower[j] != lower[i]]
                 codes.append(np.minimum(i, j) * len(nodes) + np.maximum(i, j))
             i, j = np.divmod(np.unique(np.concatenate(codes)), len(nodes))
             # a pair that shares several tasks counts in the first of them
@@ -298,7 +293,7 @@ def _links(classes: DataFrame, settings: Settings) -> DataFrame:
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     held = tasks.groupBy("node").agg(F.collect_set("task").alias("tasks"))
     rows = tasks.join(united, "node").join(held, "node")
-    rows = rows.select("task", "node", "unit", "copies", "lower", "single", "near", "tasks").repartition(n, "task").sortWithinPartitions("task", "node")
+    rows = rows.select("task", "node", "unit", "copies", "near", "tasks").repartition(n, "task").sortWithinPartitions("task", "node")
     return stored(rows.mapInArrow(_searched(settings), "node long, links long, least long"), "links")
 
 

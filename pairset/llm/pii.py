@@ -41,7 +41,7 @@ _PATTERNS = {
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "email_spelled": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,40}+ (?:\(at\)|\[at\]|at) [a-z0-9-]{2,40}+ (?:\(dot\)|\[dot\]|dot) [a-z]{2,12}(?![a-z0-9])",
-    "phone_local": r"(?<![0-9+() -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone_local": r"(?<![0-9+(-])(?<!\+[0-9]{1,3} )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
 }
