@@ -182,17 +182,30 @@ def write(rows: DataFrame, path: str, layout: Layout | None = None) -> Shards:
     return Shards(path, layout, n, segments)
 
 
+def _cut(layout: Layout):
+    """Shard files cut into their records, some hundred at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, stride = layout.length * layout.width, layout.stride
+        for batch in batches:
+            for shard, content in zip(batch["shard"].to_pylist(), batch["content"], strict=True):
+                held = memoryview(content.as_buffer())
+                for at in range(0, len(held) // stride, 512):
+                    places = range(at, min(at + 512, len(held) // stride))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([shard * layout.per_shard + k for k in places], pa.int64()), pa.array([shard] * len(places), pa.int32()),
+                        pa.array([k * stride for k in places], pa.int64()), pa.array([bytes(held[k * stride: k * stride + size]) for k in places], pa.binary()),
+                    ], ["slot", "shard", "offset", "record"])
+
+    return run
+
+
 def read(spark: SparkSession, shards: Shards) -> DataFrame:
-    """``slot``, ``shard``, ``offset`` (byte) and ``record`` (ids as bytes) of all shards, each file read where it is."""
+    """``slot``, ``shard``, ``offset`` (byte) and ``record`` (ids as bytes) of all shards; a task holds one shard."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(shards.path)
-    stride, size = shards.layout.stride, shards.layout.length * shards.layout.width
-    shard = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int")
-    records = F.transform(
-        F.sequence(F.lit(0), (F.length("content") / stride).cast("int") - 1),
-        lambda i: F.struct(i.alias("at"), F.substring(F.col("content"), i * stride + 1, F.lit(size)).alias("record")),
-    )
-    rows = files.select(shard.alias("shard"), F.inline(records))
-    return rows.select((F.col("shard").cast("long") * shards.layout.per_shard + F.col("at")).alias("slot"), "shard", (F.col("at") * F.lit(stride)).cast("long").alias("offset"), "record")
+    rows = files.select(F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int").alias("shard"), "content")
+    return rows.mapInArrow(_cut(shards.layout), "slot long, shard int, offset long, record binary")
 
 
 def described(spark: SparkSession, shards: Shards) -> DataFrame:
