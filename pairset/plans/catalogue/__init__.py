@@ -7,9 +7,9 @@ and keypoints. Results are rounded to six digits where their last bits depend on
 
 from __future__ import annotations
 
-from pairset.plans.catalogue import curation, detection, evaluation, raster, runlog, sampling
+from pairset.plans.catalogue import curation, detection, evaluation, raster, runlog, sampling, tables
 
-_AREAS = (curation, sampling, evaluation, runlog, raster, detection)
+_AREAS = (curation, sampling, evaluation, runlog, raster, detection, tables)
 
 
 def queries() -> dict:

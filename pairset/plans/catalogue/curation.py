@@ -16,6 +16,9 @@ from pairset.plans.catalogue.common import Registry, r6, rounded, table
 from pairset.schema import as_flag
 from pairset.session import spread
 
+#: Modes of a worklist are settings, not data.
+MAX_MODES = 100
+
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
 
@@ -263,7 +266,7 @@ def run_metadata(spark, sf):
 
 @_r.query("SELECT doc_id, length(text) AS n_text FROM documents")
 def index_follow(spark, sf):
-    """Index rows arriving in two files, English ones first; each batch probes the ids that are new."""
+    """Index rows arriving in two batches of files, English ones first; each probes the ids that are new."""
     import uuid
 
     from pairset.schema import struct_of
@@ -273,10 +276,10 @@ def index_follow(spark, sf):
     root = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
     rows = table(spark, sf, "documents").select("doc_id", "text", "lang")
     docs = rows.drop("lang")
-    rows.where("lang = 'en'").drop("lang").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    docs.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    follow_index(spark, f"{root}/in", docs.schema, f"{root}/cache", f"{root}/checkpoint", struct_of("n_text bigint"),
-                 lambda row: {"n_text": len(row["text"])}, max_files=1, id_col="doc_id").awaitTermination()
+    for arriving in (rows.where("lang = 'en'").drop("lang"), docs):
+        arriving.write.mode("append").parquet(f"{root}/in")
+        follow_index(spark, f"{root}/in", docs.schema, f"{root}/cache", f"{root}/checkpoint", struct_of("n_text bigint"),
+                     lambda row: {"n_text": len(row["text"])}, id_col="doc_id").awaitTermination()
     return spark.read.parquet(f"{root}/cache").select("doc_id", "n_text")
 
 
@@ -372,7 +375,10 @@ WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event
 def worklist_pending(spark, sf):
     """Every user in every mode, less the pairs that have a successful run."""
     events = table(spark, sf, "events").select("user_id", F.col("event_type").alias("mode"), (F.col("value") > 100).alias("ok"))
-    work = incremental.worklist(events.select("user_id").distinct(), ["click", "error", "purchase", "signup", "view"])
+    modes = [r.mode for r in events.select("mode").distinct().orderBy("mode").limit(MAX_MODES + 1).collect()]
+    if len(modes) > MAX_MODES:
+        raise ValueError("too many modes for a worklist of every user in every mode")
+    work = incremental.worklist(events.select("user_id").distinct(), modes)
     return incremental.pending(work, events, ["mode", "user_id"], ok="ok")
 
 
