@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
-from pairset.operators.joins import distinct_keys, missing_ids
+from pairset.operators.joins import distinct_keys, join_null_safe, missing_ids
 from pairset.schema import as_flag
 from pairset.session import map_batches
 
@@ -129,12 +129,7 @@ def worklist(samples: DataFrame, modes: Sequence[str], mode: str = "mode") -> Da
 
 def pending(work: DataFrame, run_log: DataFrame, keys: Sequence[str] = ("mode", "id"), ok: str | None = None) -> DataFrame:
     """Work not yet in the run log; with ``ok``, failed attempts count as not done. A NULL key matches a NULL one."""
-    done = distinct_keys(run_log if ok is None else run_log.where(as_flag(ok)), keys)
-    done = done.select([F.col(k).alias(f"_done_{k}") for k in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_done_{k}"))
-    return work.join(done, same, "left_anti")
+    return join_null_safe(work, distinct_keys(run_log if ok is None else run_log.where(as_flag(ok)), keys), keys, "left_anti")
 
 
 def keep_latest(log: DataFrame, keys: Sequence[str], attempt: Sequence[str]) -> DataFrame:

@@ -19,6 +19,15 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL; the keys come from the left side."""
+    named = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, same, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def index_with_stats(index: DataFrame, stats: DataFrame, id_col: str = "id", ok: str | None = "probe_ok") -> DataFrame:
     """Index rows that have statistics, limited to successful probes where ``ok`` names the flag."""
     good = stats if ok is None else stats.where(as_flag(ok))

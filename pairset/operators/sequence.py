@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairset.operators.joins import join_null_safe
 from pairset.schema import null_if_nan
 from pairset.session import checkpointed
 
@@ -74,15 +75,6 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.where("_home").drop("_in", "_home", POS, BLOCK)
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join that keeps series whose key is NULL."""
-    right = right.select([F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(right, condition).drop(*[f"_r_{c}" for c in on])
-
-
 def rolling_mean(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, window: int = 100,
     out: str = "rolling_mean", block_rows: int = BLOCK_ROWS,
@@ -127,7 +119,7 @@ def last_known(
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carry = per_block.withColumn("_carry", F.last("_l", ignorenulls=True).over(earlier)).drop("_l")
     inside = W.partitionBy(BLOCK, *keys).orderBy(POS).rowsBetween(W.unboundedPreceding, 0)
-    filled = _join_null_safe(laid, carry, [*keys, BLOCK])
+    filled = join_null_safe(laid, carry, [*keys, BLOCK])
     return filled.withColumn(column, F.coalesce(F.last(column, ignorenulls=True).over(inside), "_carry")).drop("_carry", POS, BLOCK)
 
 
@@ -181,7 +173,7 @@ def running_best(
         carry = per_block.withColumn("_carry", best("_b").over(before)).drop("_b")
         inner = W.partitionBy(BLOCK, *keys).orderBy(POS).rowsBetween(W.unboundedPreceding, -1)
         marked = (
-            _join_null_safe(laid, carry, [*keys, BLOCK])
+            join_null_safe(laid, carry, [*keys, BLOCK])
             .withColumn("best_before", pick(F.col("_carry"), best(value).over(inner)))
             .drop("_carry", POS, BLOCK)
         )
@@ -208,7 +200,7 @@ def position(
     start = F.min("_first").over(W.partitionBy(*keys))
     starts = per_block.select(*keys, BLOCK, start.alias("_start"))
     return (
-        _join_null_safe(laid, starts, [*keys, BLOCK])
+        join_null_safe(laid, starts, [*keys, BLOCK])
         .withColumn(out, F.col(POS) - F.col("_start"))
         .drop("_start", POS, BLOCK)
     )

@@ -226,8 +226,8 @@ def metrics_follow(spark, sf):
     for i in range(3):
         from_, to = i * (last + 1) // 3, (i + 1) * (last + 1) // 3
         part = events.where((F.col("event_id") >= from_) & (F.col("event_id") < to))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    follow_metrics(stream, f"{root}/out", f"{root}/checkpoint", ["user_id"], "event_id", "value").awaitTermination()
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        follow_metrics(stream, f"{root}/out", f"{root}/checkpoint", ["user_id"], "event_id", "value").awaitTermination()
     rows = spark.read.parquet(f"{root}/out/rows").drop("batch", "value")
     return rows.withColumn("rolling_mean", F.round("rolling_mean", 9))

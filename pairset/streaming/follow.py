@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pairset.operators.incremental import RowFn, read_cache, refresh_stats
+from pairset.operators.joins import join_null_safe
 from pairset.operators.runlog import parse_steps, parse_validations
 from pairset.operators.sequence import BLOCK_ROWS, rolling_mean, running_best, top_k
+from pairset.schema import null_if_nan
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -55,10 +57,10 @@ def follow_metrics(
 ) -> StreamingQuery:
     """Sliding mean and running best per run over a stream of values, rows in ``<out>/rows``.
 
-    The state of a run is its last ``window - 1`` values and its best one. A batch writes the state of the
+    The state of a run is its last ``window`` values and its best one. A batch writes the state of the
     runs it touched; every ``compact_every`` batches the state of all runs is written afresh, so reading it
-    never goes further back than that. Rows of a run have to arrive in batches in ascending order,
-    and keys must not be NULL.
+    never goes further back than that. Rows of a run have to arrive in batches in ascending order. NULL is a
+    key like any other; a row without a value (NULL or NaN) carries the mean before it and is never best.
     """
     state_path = f"{out}/state"
     fields = [stream.schema[c] for c in (*keys, order, value)]
@@ -66,13 +68,13 @@ def follow_metrics(
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*keys, order, value).where(F.col(value).isNotNull()).persist()
+        rows = batch.select(*keys, order, null_if_nan(F.col(value).cast("double")).cast(stream.schema[value].dataType).alias(value)).persist()
         base = (number - 1) // compact_every * compact_every if number else 0
         stored = read_cache(spark, state_path, state_schema).where(F.col("batch").between(base, number - 1))
         newest = stored.groupBy(*keys).agg(F.max("batch").alias("batch"))
-        current = stored.join(newest, [*keys, "batch"]).drop("batch")
+        current = join_null_safe(stored, newest, [*keys, "batch"]).drop("batch")
         touched = rows.select(*keys).distinct()
-        tail = current.join(touched, list(keys), "left_semi")
+        tail = join_null_safe(current, touched, keys, "left_semi")
         best_so_far = tail.groupBy(*keys).agg((F.min if mode == "min" else F.max)("_best").alias("_best"))
 
         both = tail.select(*keys, order, value, F.lit(False).alias("_new")).unionByName(rows.withColumn("_new", F.lit(True)))
@@ -81,16 +83,16 @@ def follow_metrics(
         pick = F.least if mode == "min" else F.greatest
         before = F.col("best_before")
         better = F.col(value) < before if mode == "min" else F.col(value) > before
-        marked = marked.join(best_so_far, list(keys), "left").withColumn("best_before", pick(before, F.col("_best")))
-        marked = marked.withColumn("is_best", before.isNull() | better).drop("_best")
+        marked = join_null_safe(marked, best_so_far, keys, "left").withColumn("best_before", pick(before, F.col("_best")))
+        marked = marked.withColumn("is_best", F.col(value).isNotNull() & (before.isNull() | F.coalesce(better, F.lit(False)))).drop("_best")
         marked.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-        last = top_k(both, keys, [F.col(order).desc()], window - 1, salt=F.col(order)).drop("_new")
-        bests = rows.groupBy(*keys).agg((F.min if mode == "min" else F.max)(value).alias("_b")).join(
-            best_so_far, list(keys), "left").select(*keys, pick(F.col("_b"), F.col("_best")).cast("double").alias("_best"))
-        state = last.join(bests, list(keys))
+        last = top_k(both.where(F.col(value).isNotNull()), keys, [F.col(order).desc()], window, salt=F.col(order)).drop("_new")
+        bests = rows.groupBy(*keys).agg((F.min if mode == "min" else F.max)(value).alias("_b"))
+        bests = join_null_safe(bests, best_so_far, keys, "left").select(*keys, pick(F.col("_b"), F.col("_best")).cast("double").alias("_best"))
+        state = join_null_safe(last, bests, keys)
         if number % compact_every == 0:
-            state = state.unionByName(current.join(touched, list(keys), "left_anti"))
+            state = state.unionByName(join_null_safe(current, touched, keys, "left_anti"))
         state.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
         rows.unpersist()
 

@@ -32,7 +32,7 @@ def test_a_followed_log_equals_the_batch_parse(spark, out):
 
 def test_followed_metrics_equal_the_batch_result(spark, out):
     rnd = random.Random(1)
-    data = [(rnd.choice(["a", "b", "c", "hot", "hot"]), i, None if rnd.random() < 0.1 else round(rnd.random(), 3)) for i in range(400)]
+    data = [(rnd.choice(["a", "b", None, "hot", "hot"]), i, rnd.choice([None, float("nan")]) if rnd.random() < 0.2 else round(rnd.random(), 3)) for i in range(400)]
     df = spark.createDataFrame(data, "run string, step int, v double")
     for low in range(0, 400, 80):
         df.where(f"step >= {low} and step < {low + 80}").coalesce(1).write.mode("append").parquet(f"{out}/in")
