@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pairset.session import ship
 
 #: Entries of one generation of the memo, and the longest chunk that is kept in it.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 64
 
 _MASK = (1 << 64) - 1
@@ -279,10 +279,28 @@ def decoded_bytes(ids: Column, vocabulary: Broadcast[Vocabulary]) -> Column:
     return F.arrow_udf(decode, "binary")(ids)
 
 
+def both_ways(text: Column, vocabulary: Broadcast[Vocabulary]) -> Column:
+    """``ids`` of a text and the ``decoded`` bytes of those ids, in one Python worker."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(vocabulary)
+        token = encoder.tokens.__getitem__
+        for batch in batches:
+            packed = [encoder.encode(t.as_py() or "") for t in batch]
+            ends = np.cumsum([0] + [len(p) // encoder.width for p in packed]).astype(np.int32)
+            values = np.frombuffer(b"".join(packed), f"<u{encoder.width}").astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            decoded = pa.array((b"".join(map(token, values[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), pa.binary())
+            yield pa.StructArray.from_arrays([ids, decoded], fields=list(kind))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:binary>")(text)
+
+
 def encode_documents(docs: DataFrame, vocabulary: Broadcast[Vocabulary]) -> DataFrame:
     """``doc_id``, ``ids`` and the ``decoded`` bytes of every whole text."""
-    ids = docs.select("doc_id", token_ids(F.col("text"), vocabulary).alias("ids"))
-    return ids.select("doc_id", "ids", decoded_bytes(F.col("ids"), vocabulary).alias("decoded"))
+    return docs.select("doc_id", both_ways(F.col("text"), vocabulary).alias("x")).select("doc_id", "x.ids", "x.decoded")
 
 
 def digests(encoded: DataFrame, *further: str) -> DataFrame:
