@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 from pairset.session import checkpoint_root
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send whole texts to Python in smaller Arrow batches, unless the session has a setting of its own.
+
+    Spark's default of 10,000 rows makes batches of tens of megabytes of text, held twice off the heap of an executor.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
