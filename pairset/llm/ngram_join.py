@@ -267,7 +267,8 @@ def join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9995, buc
     dealt = dealt.select(columns).repartition(n, "task").sortWithinPartitions("task")
     hopeful = stored(dealt.mapInArrow(_hopeful(threshold), dealt.schema), "hopeful")
     wanted = hopeful.select("node").distinct()
-    sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node").mapInArrow(_shingle_bytes, "node long, hashes binary")
+    # joins with whole texts have one plan at every size: what a small run costs tells what a large one will
+    sets = texts.withColumnRenamed("doc_id", "node").join(wanted.hint("merge"), "node").mapInArrow(_shingle_bytes, "node long, hashes binary")
     checked = hopeful.join(sets, "node").select(*columns, "hashes").repartition(n, "task").sortWithinPartitions("task")
     links = stored(checked.mapInArrow(_verified(threshold), "node long, links long, least long"), "verified")
     found = graph.components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))
@@ -289,4 +290,4 @@ def join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9995, buc
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their class, each id once."""
     kept = joined.where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
