@@ -5,7 +5,9 @@
 2. Each run splits the classes recursively: a bucket chooses one place of the sketch, and members go to the child
    of their token there, so pairs are split on sampled shared tokens. A bucket of at most ``bucket`` members is a leaf.
    A larger one whose members are alike on average is a leaf too, because splitting would only lose links;
-   it is compared in blocks of ``bucket`` members. Runs are independent and enough for ``recall`` at the threshold.
+   it is compared in blocks of ``bucket`` members. Runs are independent. The splits of every path are counted, and
+   members with a path of more than ``EXPECTED_SPLITS`` get further runs, until their number is enough for ``recall``
+   at the threshold if every run had as many splits as the member's longest path.
 3. Leaves are compared on sketches; members with a likely partner fetch their exact sets and are compared again.
    A pair counts in the first run whose leaf holds both, so every link counts once and no pair leaves a task:
    tasks return the number of links of a member, and a spanning forest of the links.
@@ -28,16 +30,16 @@ from pairset.llm import graph, shingles
 from pairset.llm.common import shuffle_partitions, stored, whole_text
 from pairset.session import ship
 
-#: Splits that a pair is expected to go through in one run.
+#: Splits that the first runs are planned for; members that go through more get further runs.
 EXPECTED_SPLITS = 2
 #: Places of the sketch that tell how alike a large bucket is, and the similarity from which it is not split.
 PROBES = 8
 ALIKE = 0.3
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Independent runs after which a pair at the threshold has met with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**EXPECTED_SPLITS))
+def runs_for(threshold: float, recall: float, splits: int = EXPECTED_SPLITS) -> int:
+    """Independent runs of ``splits`` splits after which a pair at the threshold has met with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**splits))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,17 +63,20 @@ def _child(key: Column) -> Column:
     return F.xxhash64(key, F.element_at("sketch", (F.pmod(key, F.lit(shingles.SKETCH)) + 1).cast("int")))
 
 
-def _leaves(classes: DataFrame, runs: int, bucket: int, depth: int) -> DataFrame:
-    """``node``, ``run``, ``key`` and ``members`` of every leaf with at least two members."""
+def _leaves(classes: DataFrame, runs: range, bucket: int, depth: int) -> DataFrame:
+    """``node``, ``run``, ``key``, ``members`` and ``splits`` of every leaf with at least two members, and of those with
+    one that lie deeper than ``EXPECTED_SPLITS``."""
     narrow = classes.select("node", "sketch")
-    rows = narrow.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(
+    rows = narrow.select("node", F.explode(F.transform(F.sequence(F.lit(runs.start), F.lit(runs.stop - 1)), lambda r: F.struct(
         r.alias("run"), F.xxhash64(F.xxhash64(r), F.element_at("sketch", (F.pmod(F.xxhash64(r), F.lit(shingles.SKETCH)) + 1).cast("int"))).alias("key"),
     ))).alias("x")).select("node", "x.run", "x.key")
     found = None
     for level in range(1, depth + 1):
         rows = stored(rows, "paths")
         members = rows.groupBy("run", "key").agg(F.count("*").alias("members"))
-        sized = stored(rows.join(members.where("members > 1"), ["run", "key"]), "buckets")
+        if level <= EXPECTED_SPLITS:
+            members = members.where("members > 1")
+        sized = stored(rows.join(members, ["run", "key"]).withColumn("splits", F.lit(level)), "buckets")
         small = sized.where(F.col("members") <= bucket)
         found = small if found is None else found.unionByName(small)
         large = sized.where(F.col("members") > bucket)
@@ -90,6 +95,20 @@ def _leaves(classes: DataFrame, runs: int, bucket: int, depth: int) -> DataFrame
     return found
 
 
+def _all_leaves(classes: DataFrame, threshold: float, recall: float, bucket: int, depth: int) -> DataFrame:
+    """``_leaves`` of all runs: those for ``EXPECTED_SPLITS``, and further ones for members on longer paths."""
+    found, members, done = None, classes, 0
+    for splits in range(EXPECTED_SPLITS, max(depth, EXPECTED_SPLITS) + 1):
+        runs = range(done, runs_for(threshold, recall, splits))
+        leaves = stored(_leaves(members, runs, bucket, depth).withColumn("leaf", F.xxhash64("run", "key")), "leaves")
+        found, done = leaves if found is None else found.unionByName(leaves), runs.stop
+        deep = stored(found.where(F.col("splits") > splits).select("node").distinct(), "deep")
+        if deep.isEmpty():
+            break
+        members = stored(classes.join(deep, "node"), "members")
+    return found.where("members > 1")
+
+
 def _blocks(leaves: DataFrame, bucket: int) -> DataFrame:
     """Rows dealt to pairs of blocks: a leaf beyond ``bucket`` members is compared block by block."""
     n = F.ceil(F.col("members") / bucket)
@@ -254,14 +273,12 @@ def join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9995, buc
             F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"),
         ), "classes",
     )
-    runs = runs_for(threshold, recall)
-    leaves = _leaves(classes, runs, bucket, depth)
-    rows = stored(leaves.withColumn("leaf", F.xxhash64("run", "key")), "leaves")
+    rows = _all_leaves(classes, threshold, recall, bucket, depth)
     per_node = rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("by_run"))
-    whole = per_node.join(classes.drop("digest"), "node").withColumn(
-        "leaves", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.element_at("by_run", r), F.lit(0).cast("long"))),
-    ).drop("by_run")
-    dealt = _blocks(rows.select("node", "run", "key", "members").join(whole, "node"), bucket)
+    whole = rows.select("node", "run", "key", "members").join(per_node.join(classes.drop("digest"), "node"), "node")
+    earlier = F.transform(F.sequence(F.lit(0), F.col("run") - 1), lambda r: F.coalesce(F.element_at("by_run", r), F.lit(0).cast("long")))
+    whole = whole.withColumn("leaves", F.when(F.col("run") > 0, earlier).otherwise(F.array().cast("array<long>"))).drop("by_run")
+    dealt = _blocks(whole, bucket)
     columns = ["task", "node", "run", "own", "low", "high", "size", "copies", "sketch", "leaves"]
     n = shuffle_partitions(spark)
     dealt = dealt.select(columns).repartition(n, "task").sortWithinPartitions("task")

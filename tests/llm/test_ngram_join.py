@@ -80,3 +80,17 @@ def test_sketch_estimates_similarity():
 def test_runs_reach_the_recall():
     n = ngram_join.runs_for(0.8, 0.9995)
     assert (1 - 0.8**2) ** n <= 0.0005 < (1 - 0.8**2) ** (n - 1)
+
+
+def test_texts_of_shared_passages_meet_after_many_splits(docs):
+    rng = random.Random(11)
+    passages = [words(24, 29 * k, stem=f"p{k}") for k in range(24)]
+    rows = []
+    for i in range(250):
+        text = " ".join(rng.sample(passages, 6)).split(" ")
+        rows.append((2 * i, " ".join(text)))
+        text[105] = text[70] = text[35] = f"edit{i}"
+        rows.append((2 * i + 1, " ".join(text)))
+    want = brute(rows)
+    assert sum(n for _, n in want.values()) >= 500
+    assert result(ngram_join.join(docs(*rows), bucket=2)) == want
