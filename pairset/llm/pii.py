@@ -33,6 +33,16 @@ BASE = ("email", "ip", "card", "phone")
 FURTHER = ("email_spelled", "phone_local", "ssn", "iban")
 KINDS = BASE + FURTHER
 
+# Characters of an IBAN by country, after the registry.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+# A country's own length ends an IBAN before any word that follows; other starts give words back until a border fits.
+_IBAN = "|".join([f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()] + ["[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"])
+
 # The fixed patterns, written so that no run of characters is tried from each of its places and no group
 # recurses: possessive repeats, and starts only where a run begins or the last match ended.
 _PATTERNS = {
@@ -43,7 +53,7 @@ _PATTERNS = {
     "email_spelled": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,40}+ (?:\(at\)|\[at\]|at) [a-z0-9-]{2,40}+ (?:\(dot\)|\[dot\]|dot) [a-z]{2,12}(?![a-z0-9])",
     "phone_local": r"(?<![0-9+(-])(?<!\+[0-9]{1,3} )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:(?:{_IBAN})(?![A-Za-z0-9]))",
 }
 #: What a text must hold for a pattern to be tried at all.
 _HINTS = {"email": "@", "ip": ".", "phone": "+", "phone_local": "-. ", "ssn": "-"}

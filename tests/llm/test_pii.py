@@ -63,3 +63,11 @@ def test_estimates_find_the_bad_labeler():
 @pytest.mark.parametrize("rows", [[], [(1, "nothing here")], [(1, None)]])
 def test_without_spans(docs, rows):
     assert [list(r.spans) for r in pii.detect(docs(*rows) if rows else docs().limit(0)).collect()] == [[]] * len(rows)
+
+
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["Please pay", "Call us", "PLEASE PAY NOW", "CALL", "I pay", "and pay", "2024 too", ""])
+def test_an_iban_ends_before_the_next_word(docs, iban, after):
+    text = f"IBAN {iban} {after}".strip()
+    spans = [s for r in pii.candidates(docs((1, text))).collect() for s in r.spans if s.kind == "iban"]
+    assert [(text[s.start: s.end], s.format) for s in spans] == [(iban, 1)]
