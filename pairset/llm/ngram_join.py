@@ -305,6 +305,24 @@ def join(docs: DataFrame, *, threshold: float = 0.8, recall: float = 0.9995, buc
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, each id once."""
+    """The rows of ``docs`` that stand for their class, each id and text once. Rows without an id are in no class and stay."""
     kept = joined.where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.withColumn("__text", F.md5(whole_text().cast("binary"))).dropDuplicates(["doc_id", "__text"]).drop("__text")
+
+
+def without_near_duplicates(docs: DataFrame, **settings: float) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates, the one of the smallest id.
+
+    A document is an id and a text, whose 64-bit key stands for it in the join. So different texts of one id, and texts without an id,
+    are compared like all others and stay where they are near-duplicates of nothing; rows equal in both are one document.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", whole_text()))
+    joined = join(keyed.select(F.col("__key").alias("doc_id"), "text"), **settings)
+    classes = joined.select(F.col("doc_id").alias("__key"), "class_id")
+    ids = keyed.select("__key", "doc_id").distinct()
+    kept = ids.join(classes, "__key").groupBy("class_id").agg(
+        F.min_by("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("__kept"),
+    ).select("__kept")
+    rows = keyed.join(kept.hint("merge"), F.col("__key") == F.col("__kept"), "left_semi")
+    return rows.dropDuplicates(["__key"]).drop("__key")

@@ -66,6 +66,19 @@ def test_one_of_each(docs, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == table.columns
 
 
+def test_rows_of_one_id_and_without_one_stay_by_their_text(docs):
+    texts = [words(40, 50 * k, stem=f"t{k}") for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (7, texts[4]), (3, texts[4]), (None, texts[4])]
+    left = ngram_join.without_near_duplicates(docs(*rows, (8, None), (8, ""), (9, "")))
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[4]), (8, ""), (9, "")]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text or "") for r in left.collect()), key=order) == sorted(want, key=order)
+    assert left.columns == docs(*rows).columns
+    table = docs(*rows)
+    by_id = [(r.doc_id, r.text) for r in ngram_join.one_of_each(table, ngram_join.join(table)).collect()]
+    assert {t for i, t in by_id if i is None} == {texts[0], texts[1], texts[4]} and {t for i, t in by_id if i == 5} == {texts[2], texts[3]}
+
+
 def test_repeated_rows_and_no_rows(docs):
     assert result(ngram_join.join(docs((1, "a b c d e f"), (1, "a b c d e f"), (2, "")))) == {1: (1, 0), 2: (2, 0)}
     assert result(ngram_join.join(docs().limit(0))) == {}
