@@ -1,16 +1,17 @@
 """Near-dedup of embeddings by a robust-pruned flat graph over overlapping cluster shards.
 
 1. Equal vectors of one label are one class. A label's classes are split into shards around medoids until a shard
-   holds at most ``shard`` classes; a class goes to its nearest medoid, and to the next one too when that is within
-   ``slack`` degrees, so shards overlap. A shard that does not come apart, because nearly all of it would go both
+   holds at most ``shard`` classes; a class goes to its nearest medoid, and to every other one within ``slack`` degrees
+   of that, so shards overlap. A shard that does not come apart, because nearly all of it would go several
    ways, is dealt to pairs of blocks instead.
 2. Each shard gives a flat graph: robust pruning keeps at most ``degree`` neighbours that are not closer to
    one another than to the class by the factor ``alpha``. Adjacency lists are united over the shards.
 3. Every class is searched from the medoid of each of its shards: greedily with a beam until the neighbourhood is
    reached, then outwards through all neighbours within the range. Pairs are verified by cosine in double precision.
    A pair counts in the first task that holds both, so that no pair leaves a task.
-4. The recall is audited by brute force for a bounded sample of queries against all classes; below ``target`` the
-   graph is built again with twice the slack and beam.
+4. The recall is audited by brute force: the mean share of links found, over the classes that have links, in a sample
+   by hash that grows with the root of the table, and fourfold while it holds none. Below ``target`` the graph is built
+   again with twice the slack and beam; where that is not enough, all pairs of a label are compared in blocks.
 
 Rows whose label or vector is NULL, or whose vector is zero, empty or holds NULL or non-finite numbers, link with
 nothing, and neither do vectors of different length. Repeated ids count as one vector where they are equal.
@@ -35,8 +36,9 @@ from pairset.session import ship
 
 MEDOIDS = 16
 LEVELS = 6
-#: A shard of which more than this share would go to two medoids does not come apart.
+#: A shard of which more than this share would go to several medoids does not come apart.
 INSEPARABLE = 0.9
+BUILDS = 4
 _EPS = 1e-12
 
 
@@ -75,7 +77,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _nearest(slack: float):
-    """Which of a shard's medoids a class goes to: the nearest, and the next within ``slack`` degrees."""
+    """Which of a shard's medoids a class goes to: the nearest, and all others within ``slack`` degrees of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +85,7 @@ def _nearest(slack: float):
             for unit, medoids in zip(batch["unit"], batch["medoids"], strict=True):
                 x = np.frombuffer(unit.as_py(), np.float64)
                 angles = np.degrees(np.arccos(np.clip(np.frombuffer(b"".join(medoids.as_py()), np.float64).reshape(-1, len(x)) @ x, -1, 1)))
-                order = np.argsort(angles, kind="stable")[:2]
+                order = np.argsort(angles, kind="stable")
                 choices.append([int(k) for k in order if angles[k] <= angles[order[0]] + slack])
             columns = [batch[c] for c in ("shard", "node", "unit", "copies")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(choices, pa.list_(pa.int32()))], ["shard", "node", "unit", "copies", "to"])
@@ -297,25 +299,103 @@ def _links(classes: DataFrame, settings: Settings) -> DataFrame:
     return stored(rows.mapInArrow(_searched(settings), "node long, links long, least long"), "links")
 
 
-def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """Links found over links there are, for ``queries`` classes of smallest hash against all classes."""
-    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    asked = classes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(queries).select("label", "node", "unit")
-    rows = asked.join(counts, "node", "left").select("label", "node", "unit", F.coalesce("links", F.lit(0)).alias("links")).collect()
-    shared = classes.sparkSession.sparkContext.broadcast([(r.label, r.node, np.frombuffer(r.unit, np.float64)) for r in rows])
+def _compared(threshold: float):
+    """The links of a pair of blocks, by comparing all pairs."""
 
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, labels, copies = batch["node"].to_numpy(), batch["label"].to_numpy(), batch["copies"].to_numpy()
-            units = [np.frombuffer(u.as_py(), np.float64) for u in batch["unit"]]
-            for label, node, q in shared.value:
-                fits = [k for k in np.flatnonzero((labels == label) & (nodes != node)) if len(units[k]) == len(q)]
-                if fits:
-                    hit = np.stack([units[k] for k in fits]) @ q >= threshold
-                    yield pa.RecordBatch.from_arrays([pa.array([int(copies[fits][hit].sum())])], ["links"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "task"):
+            low, high = table["low"][0].as_py(), table["high"][0].as_py()
+            nodes, own, copies, x = table["node"].to_numpy(), table["own"].to_numpy(), table["copies"].to_numpy(), _matrix(table["unit"])
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            links, least = np.zeros(len(nodes), np.int64), nodes.copy()
+            while True:  # smallest reachable nodes settle over passes; only a slice of the pairs is held
+                before = least.copy()
+                links[:] = 0
+                for at in range(0, len(left), 128):
+                    part = left[at: at + 128]
+                    ok = x[part] @ x[right].T >= threshold
+                    if low == high:
+                        ok &= part[:, None] < right
+                    i, j = np.nonzero(ok)
+                    i, j = part[i], right[j]
+                    links += np.bincount(i, copies[j], len(nodes)).astype(np.int64) + np.bincount(j, copies[i], len(nodes)).astype(np.int64)
+                    lower = np.minimum(least[i], least[j])
+                    np.minimum.at(least, i, lower)
+                    np.minimum.at(least, j, lower)
+                if (least == before).all():
+                    break
+            at = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(links[at]), pa.array(least[at])], ["node", "links", "least"])
+
+    return run
 
-    true = classes.select("node", "label", "copies", "unit").mapInArrow(brute, "links long").agg(F.sum("links")).first()[0] or 0
-    return min(1.0, sum(r.links for r in rows) / true) if true else 1.0
+
+def exact_links(classes: DataFrame, settings: Settings) -> DataFrame:
+    """The links of all pairs of a label, compared in pairs of blocks of about ``shard`` classes."""
+    rows = classes.select(F.xxhash64("label", F.size("embedding")).alias("group"), "node", "unit", "copies")
+    sized = rows.join(rows.groupBy("group").agg(F.ceil(F.count("*") / settings.shard).alias("blocks")), "group")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
+    dealt = sized.withColumn("pair", F.explode(others)).select(
+        F.xxhash64("group", "pair.low", "pair.high").alias("task"), "node", "unit", "copies", "own", "pair.low", "pair.high",
+    ).repartition(shuffle_partitions(classes.sparkSession), "task").sortWithinPartitions("task", "node")
+    return stored(dealt.mapInArrow(_compared(settings.threshold), "node long, links long, least long"), "links")
+
+
+def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
+    """The mean share of its links that a class has found, over the sampled classes that have links.
+
+    At least about ``queries`` classes by hash, and four times the root of their number, are compared with all classes. While none
+    of them has a link, four times as many are asked, at last all; without any link the recall is 1.
+    """
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    n = classes.count()
+    wanted = max(queries, 4 * math.isqrt(n))
+    while n:
+        drawn = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) < int(min(1.0, wanted / n) * (1 << 40))
+        asked = stored(classes.where(drawn).select("label", "node", "unit").join(counts, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))), "asked")
+        true = _true_links(classes, asked, threshold)
+        share = asked.join(true, "node").agg(F.avg(F.least(F.lit(1.0), F.col("links") / F.col("true")))).first()[0]
+        if share is not None:
+            return share
+        if wanted >= n:
+            break
+        wanted *= 4
+    return 1.0
+
+
+def _true_links(classes: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """``node`` and ``true``, the number of its links by brute force, for the classes of ``asked`` that have any."""
+    slices = F.ceil(F.lit(asked.count()) / 2_000)
+    parts = asked.select("label", "node", "unit", F.pmod(F.xxhash64("node"), slices).alias("part"))
+    total = None
+    for part in range(math.ceil(asked.count() / 2_000)):  # so many queries are sent out at once
+        rows = parts.where(F.col("part") == part).collect()
+        by_kind: dict[tuple[int, int], list] = {}
+        for r in rows:
+            by_kind.setdefault((r.label, len(r.unit)), []).append((r.node, r.unit))
+        shared = classes.sparkSession.sparkContext.broadcast({
+            k: (np.array([i for i, _ in v]), np.frombuffer(b"".join(u for _, u in v), np.float64).reshape(len(v), -1)) for k, v in by_kind.items()
+        })
+
+        def brute(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nodes, labels, copies, units = batch["node"].to_numpy(), batch["label"].to_numpy(), batch["copies"].to_numpy(), batch["unit"].to_pylist()
+                sizes = np.array([len(u) for u in units])
+                for (label, size), (asking, q) in shared.value.items():
+                    at = np.flatnonzero((labels == label) & (sizes == size))
+                    for a in range(0, len(at), 512):
+                        part = at[a: a + 512]
+                        x = np.frombuffer(b"".join(units[k] for k in part), np.float64).reshape(len(part), -1)
+                        hit = (q @ x.T >= threshold) & (asking[:, None] != nodes[part])
+                        sums = hit @ copies[part]
+                        some = np.flatnonzero(sums)
+                        yield pa.RecordBatch.from_arrays([pa.array(asking[some]), pa.array(sums[some].astype(np.int64))], ["node", "true"])
+
+        found = stored(classes.select("node", "label", "copies", "unit").mapInArrow(brute, "node long, true long").groupBy("node").agg(F.sum("true").alias("true")), "true")
+        shared.unpersist()
+        total = found if total is None else total.unionByName(found)
+    return total if total is not None else asked.select("node", F.lit(0).cast("long").alias("true")).limit(0)
 
 
 def near_duplicates(vectors: DataFrame, settings: Settings | None = None, target: float = 0.95, queries: int = 64) -> DataFrame:
@@ -324,12 +404,14 @@ def near_duplicates(vectors: DataFrame, settings: Settings | None = None, target
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     classes = classes_of(rows)
-    for _ in range(4):
+    for _ in range(BUILDS):
         links = _links(classes, settings)
         recall = audit(classes, links, settings.threshold, queries)
         if recall >= target:
             break
         settings = Settings(settings.threshold, settings.shard, settings.degree, settings.alpha, 2 * settings.slack, 2 * settings.beam)
+    else:
+        links, recall = exact_links(classes, settings), 1.0
     found = graph.components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("label", "embedding", "node", "copies").join(counts, "node", "left").join(found, "node", "left").select(

@@ -49,6 +49,37 @@ def test_equals_brute_force(spark, shard):
     assert np.mean([r.component_id == want[r.vec_id][1] for r in got]) >= (1 if shard == 2_000 else 0.95)
 
 
+def test_links_are_whole_where_the_builds_are_not(spark, monkeypatch):
+    rows = vectors()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    build = ed._links
+    monkeypatch.setattr(ed, "BUILDS", 1)
+    monkeypatch.setattr(ed, "_links", lambda *a: build(*a).where("node % 3 = 0"))
+    got = ed.near_duplicates(df, ed.Settings(shard=40)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
+def test_the_audit_sees_sparse_links(spark):
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=24)
+    rows = [(i, (hot + rng.normal(size=24) * 0.01).tolist(), 0) for i in range(60)]
+    for i in range(60, 400, 2):
+        v = rng.normal(size=24)
+        rows += [(i, v.tolist(), 0), (i + 1, (v + 0.001).tolist(), 0)]
+    classes = ed.classes_of(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).selectExpr("vec_id", "embedding", "cast(label as long) label"))
+    links = ed.exact_links(classes, ed.Settings(shard=100))
+    assert ed.audit(classes, links, 0.98, 1_000) == 1
+    assert ed.audit(classes, links.where("node < 60"), 0.98, 1_000) < 0.3 and ed.audit(classes, links.limit(0), 0.98, 1) == 0
+
+
+def test_a_class_goes_to_every_medoid_within_the_slack():
+    import pyarrow as pa
+
+    units = [np.array(v, np.float64) / np.linalg.norm(v) for v in ([1, 0.1, 0], [1, 0, 0.1], [1, -0.1, 0], [0, 1, 0])]
+    batch = pa.RecordBatch.from_pydict({"shard": [1], "node": [1], "unit": [np.array([1.0, 0, 0]).tobytes()], "copies": [1], "medoids": [[u.tobytes() for u in units]]})
+    assert next(iter(ed._nearest(3.0)(iter([batch]))))["to"].to_pylist() == [[0, 1, 2]]
+
+
 def test_robust_pruning_keeps_directions_apart():
     x = np.array([[1, 0], [0.99, 0.14], [0.98, 0.2], [0, 1], [-1, 0.05]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
