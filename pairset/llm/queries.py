@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairset.llm import bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, pii, secret_scan, token_shards, toxicity
+from pairset.llm import (
+    bpe, decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, pii, prefix_trie, secret_scan, token_shards, toxicity,
+    url_filters, vector_codes,
+)
 from pairset.llm.common import scratch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,11 +84,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.filtered(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_shards, op2_secrets, op3_embedding_dedup, op4_bpe, op5_ngram_join, op6_toxicity, op7_decontaminate, op8_licenses,
-    op9_line_dedup, op10_pii,
+    op9_line_dedup, op10_pii, op11_vector_codes, op12_prefix_trie, op13_url_filters,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes.sql(),
+    "op12_prefix_trie": prefix_trie.sql(),
+    "op13_url_filters": url_filters.sql(url_filters.rules()),
+}
 
 
 def queries() -> dict:
