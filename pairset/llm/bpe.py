@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pairset.session import ship
 
 #: Entries of one generation of the memo, and the longest chunk that is kept in it.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 64
 
 _MASK = (1 << 64) - 1
@@ -127,6 +127,8 @@ class Encoder:
             self.ranks[t[:k]] << 20 | self.ranks[t[k:]]: i
             for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks
         }
+        #: by two bytes, the id of the token that they make, or -1
+        self.doubles = [self.pairs.get(a << 20 | b, -1) for a in self.singles for b in self.singles]
         self.newline = self.packed[self.ranks[b"\n"]]
         self.runs: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
@@ -135,36 +137,44 @@ class Encoder:
     def merged(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left.
 
-        ``part`` holds the id of the part that begins at a byte, ``after`` and ``before`` link the parts; heap entries
-        are a rank and a place in one number. An entry whose pair has changed is passed over.
+        ``part`` holds the id of the part that begins at a byte, ``after`` and ``before`` link the parts, and ``rank`` is that of
+        a part with the next one. Heap entries are a rank and a place in one number; one whose place has another rank by
+        now is passed over.
         """
-        n, pair = len(piece), self.pairs.get
+        n, pair, doubles = len(piece), self.pairs.get, self.doubles
         part = [self.singles[c] for c in piece]
-        heap = []
-        left = part[0]
-        for i in range(1, n):
-            right = part[i]
-            if (r := pair(left << 20 | right)) is not None:
-                heap.append(r << 32 | i - 1)
-            left = right
+        rank = [doubles[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
         if not heap:
             return part
+        rank.append(-1)
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             i, r = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
-            if j >= n or part[i] < 0 or pair(part[i] << 20 | part[j]) != r:
+            if rank[i] != r:
                 continue
-            part[i], part[j] = r, -1
+            j = after[i]
+            part[i], part[j], rank[j] = r, -1, -1
             after[i] = k = after[j]
+            x = None
             if k < n:
                 before[k] = i
-                if (x := pair(r << 20 | part[k])) is not None:
-                    heappush(heap, x << 32 | i)
-            if i and (x := pair(part[h := before[i]] << 20 | r)) is not None:
-                heappush(heap, x << 32 | h)
+                x = pair(r << 20 | part[k])
+            if x is None:
+                rank[i] = -1
+            else:
+                rank[i] = x
+                heappush(heap, x << 32 | i)
+            if i:
+                h = before[i]
+                x = pair(part[h] << 20 | r)
+                if x is None:
+                    rank[h] = -1
+                else:
+                    rank[h] = x
+                    heappush(heap, x << 32 | h)
         return [p for p in part if p >= 0]
 
     def piece(self, piece: str) -> bytes:
