@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairset.operators.sequence import top_k
+from pairset.operators.sequence import PRUNED_BELOW, top_k
 from pairset.session import checkpointed, keyed, map_batches
 
 # Detector and keypoint thresholds.
@@ -18,7 +21,13 @@ PRE_SCORE, POST_SCORE, NMS_IOU = 0.1, 0.3, 0.45
 VISIBLE = 0.3
 
 CORNERS = ("x1", "y1", "x2", "y2")
-_ROW = "_row"
+_ROW, _HOME = "_row", "_home"
+_AXES = (("x1", "x2"), ("y1", "y2"))
+_TILE = {"_lx": ("x", "level"), "_tx": ("x", "tile"), "_ly": ("y", "level"), "_ty": ("y", "tile")}
+
+#: Boxes up to which an (image, class) is one tile, boxes that a tile of a crowded one settles in a round, and its side in
+#: largest boxes of its level.
+TILE_BOXES, ROUND_BOXES, TILE_SPAN = 4_000, PRUNED_BELOW - 1, 4
 
 
 def corner_boxes(raw: DataFrame, ratio: Column, min_score: float = PRE_SCORE) -> DataFrame:
@@ -37,7 +46,7 @@ def confident(dets: DataFrame, min_score: float = POST_SCORE, cls: int = 0) -> D
 def overlap(a: str, b: str) -> Column:
     """IoU of two aliased boxes with inclusive pixel ends."""
     def c(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
+        return F.col(f"{side}.{name}").cast("double")
 
     def area(side: str) -> Column:
         return (c(side, "x2") - c(side, "x1") + 1) * (c(side, "y2") - c(side, "y1") + 1)
@@ -55,20 +64,26 @@ def _ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inter / (area_a[:, None] + area_b[None, :] - inter)
 
 
-def _suppress(boxes: np.ndarray, limit: float, slab: int = 256) -> np.ndarray:
-    """Kept positions of boxes that are already in order of preference, a slab of them at a time."""
+def _suppress(boxes: np.ndarray, limit: float, slab: int = 256, home: np.ndarray | None = None) -> np.ndarray:
+    """Kept positions of boxes that are already in order of preference, a slab of them at a time.
+
+    Boxes that are not at ``home`` may have better neighbours elsewhere: unless a kept box suppresses them they stay open, and so
+    does everything that only an open box overlaps. Open boxes are not returned.
+    """
     alive = np.ones(len(boxes), dtype=bool)
+    open_ = np.zeros(len(boxes), dtype=bool) if home is None else ~home
     for start in range(0, len(boxes), slab):
         own = start + np.flatnonzero(alive[start:start + slab])
         hits = np.triu(_ious(boxes[own], boxes[own]) > limit, 1)
         for i in np.flatnonzero(hits.any(axis=1)):
             if alive[own[i]]:
-                alive[own[hits[i]]] = False
-        kept = own[alive[own]]
-        later = start + slab + np.flatnonzero(alive[start + slab:])
-        if len(kept) and len(later):
-            alive[later] &= ~(_ious(boxes[kept], boxes[later]) > limit).any(axis=0)
-    return np.flatnonzero(alive)
+                (open_ if open_[own[i]] else alive)[own[hits[i]]] = open_[own[i]]
+        left = own[alive[own]]
+        for judge, mark, value in ((left[~open_[left]], alive, False), (left[open_[left]], open_, True)):
+            later = start + slab + np.flatnonzero(alive[start + slab:])
+            if len(judge) and len(later):
+                mark[later[(_ious(boxes[judge], boxes[later]) > limit).any(axis=0)]] = value
+    return np.flatnonzero(alive & ~open_)
 
 
 def _preference(dets: DataFrame, id_col: str) -> list[Column]:
@@ -76,13 +91,17 @@ def _preference(dets: DataFrame, id_col: str) -> list[Column]:
     return [F.col("score").desc(), *[F.col(c) for c in (id_col, *CORNERS) if c in dets.columns]]
 
 
-def _settled(dets: DataFrame, key: Sequence[str], id_col: str, limit: float) -> DataFrame:
-    """Suppression within each (image, class), over batches of a partition sorted by group and score.
+def _settled(dets: DataFrame, key: Sequence[str], order: Sequence[Column], limit: float) -> DataFrame:
+    """Kept boxes of each group, over batches of a partition sorted by group and preference.
 
     Spark sorts, so a task holds one batch and the group that runs past its end.
     """
     columns, coords = dets.columns, list(CORNERS)
 
+    def kept(group: pd.DataFrame) -> np.ndarray:
+        home = group[_HOME].to_numpy(dtype=bool) if _HOME in columns else None
+        return _suppress(group[coords].to_numpy(dtype=float), limit, home=home)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for batch in batches:
@@ -94,45 +113,100 @@ def _settled(dets: DataFrame, key: Sequence[str], id_col: str, limit: float) ->
                 values = rows[c].to_numpy()
                 new_group[1:] |= values[1:] != values[:-1]
             starts = [0, *np.flatnonzero(new_group)]
-            corners = rows[coords].to_numpy(dtype=float)
-            kept = [s + _suppress(corners[s:e], limit) for s, e in zip(starts, starts[1:])]
-            if kept:
-                yield rows.iloc[np.concatenate(kept)][columns]
+            done = [s + kept(rows.iloc[s:e]) for s, e in zip(starts, starts[1:])]
+            if done:
+                yield rows.iloc[np.concatenate(done)][columns]
             held = rows.iloc[starts[-1]:]
         if held is not None:
-            yield held.iloc[_suppress(held[coords].to_numpy(dtype=float), limit)][columns]
+            yield held.iloc[kept(held)][columns]
 
-    ordered = keyed(dets, key).sortWithinPartitions(*key, *_preference(dets, id_col))
+    ordered = keyed(dets, key).sortWithinPartitions(*key, *order)
     return map_batches(ordered, run, dets.schema)
 
 
+def _places(low: str, high: str, limit: float, wide: int) -> tuple[Column, Column]:
+    """Along one axis, the tiles in which a box may overlap another by more than ``limit``, and its own one.
+
+    Boxes of such an overlap have sizes within ``limit`` of each other. Tiles of a level hold sizes up to its largest, and are
+    ``wide`` times as wide as that.
+    """
+    size = F.col(high).cast("double") - F.col(low).cast("double") + 1.0
+    centre = F.col(low).cast("double") + size / 2.0
+    step, slack = -2.0 * math.log(limit), 1e-9
+
+    def level(factor: float) -> Column:
+        return F.floor((F.log(size) + math.log(factor)) / step)
+
+    def side(at: Column) -> Column:
+        return wide * F.exp(step * (at + 1))
+
+    def tiles(at: Column) -> Column:
+        reach = (size + side(at) / wide) * (0.5 + slack)
+        span = F.sequence(F.floor((centre - reach) / side(at)), F.floor((centre + reach) / side(at)))
+        return F.transform(span, lambda tile: F.struct(at.alias("level"), tile.alias("tile")))
+
+    places = F.flatten(F.transform(F.sequence(level(limit * (1 - slack)), level((1 + slack) / limit)), tiles))
+    own = F.struct(level(1.0).alias("level"), F.floor(centre / side(level(1.0))).alias("tile"))
+    return places, own
+
+
+def _flat(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumns({c: F.col(f"_{axis}.{part}") for c, (axis, part) in _TILE.items()}).drop("_x", "_y")
+
+
+def _own_tile(boxes: DataFrame, limit: float, wide: int) -> DataFrame:
+    own = [_places(low, high, limit, wide)[1] for low, high in _AXES]
+    return _flat(boxes.withColumns({"_x": own[0], "_y": own[1]}))
+
+
+def _copies(boxes: DataFrame, limit: float, wide: int) -> DataFrame:
+    """A copy of every box for each tile where it may overlap a box at home there; ``_home`` marks its own."""
+    (x, own_x), (y, own_y) = [_places(low, high, limit, wide) for low, high in _AXES]
+    placed = boxes.withColumns({"_own_x": own_x, "_own_y": own_y}).withColumn("_x", F.explode(x)).withColumn("_y", F.explode(y))
+    home = (F.col("_x") == F.col("_own_x")) & (F.col("_y") == F.col("_own_y"))
+    return _flat(placed.withColumn(_HOME, home).drop("_own_x", "_own_y"))
+
+
 def suppress_overlaps(
     dets: DataFrame, image: str = "image_id", id_col: str = "det_id", limit: float = NMS_IOU,
-    group_boxes: int = 20_000,
+    tile_boxes: int = TILE_BOXES,
 ) -> DataFrame:
     """Greedy class-aware suppression: of boxes overlapping by more than ``limit`` the best-scored stays.
 
-    Groups up to ``group_boxes`` boxes are settled in one task each. A larger group is settled in rounds:
-    its best ``group_boxes`` boxes are settled as a group, everything they suppress leaves the table, and
-    the remainder goes into the next round. Rows carry a number of their own there, so boxes of one id are
-    judged one by one. The result is that of the full greedy pass; equal boxes of equal score leave one row.
+    An (image, class) of up to ``tile_boxes`` boxes is one tile. A crowded one is cut into tiles of space and box size,
+    and a box is copied to all tiles where it may overlap one that is at home there. Every tile settles its best
+    boxes in order: a box is kept when it is at home, so that all its better neighbours are there, and none of
+    them is kept or open. What kept boxes suppress leaves the table, and open boxes go into the next round, each of which
+    settles the best open box of any neighbourhood. All decisions are those of the full greedy pass, whatever the tiles.
+    Rows carry a number of their own, so boxes of one id are judged one by one; equal boxes of equal score leave one row.
+    Boxes without an area or with a corner that is NULL or not finite overlap nothing.
     """
+    if not 0 < limit < 1:
+        raise ValueError("limit has to lie between 0 and 1")
     key = [image, "cls"]
+    order = _preference(dets, id_col)
     sizes = dets.groupBy(*key).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > group_boxes).select(*key)
-    if large.isEmpty():
-        return _settled(dets, key, id_col, limit)
-    large = checkpointed(large)
-    kept = _settled(dets.join(large, key, "left_anti").select(dets.columns), key, id_col, limit)
-    rest = checkpointed(dets.join(large, key, "left_semi").select(dets.columns).withColumn(_ROW, F.monotonically_increasing_id()))
-    best_first = [*_preference(dets, id_col), F.col(_ROW)]
-    while not rest.isEmpty():
-        best = checkpointed(top_k(rest, key, best_first, group_boxes, salt=F.col(_ROW)))
-        settled = checkpointed(_settled(best, key, id_col, limit))
-        kept = kept.unionByName(settled.drop(_ROW))
-        later = rest.join(best.select(_ROW), _ROW, "left_anti").select(rest.columns).alias("a")
-        same = (F.col(f"a.{image}") == F.col(f"b.{image}")) & (F.col("a.cls") == F.col("b.cls"))
-        rest = checkpointed(later.join(settled.alias("b"), same & (overlap("a", "b") > limit), "left_anti"))
+    crowded = checkpointed(sizes.where(F.col("_n") > tile_boxes).select(*key))
+    if crowded.isEmpty():
+        return _settled(dets, key, order, limit)
+    # at most one crowded group for so many rows
+    crowded = F.broadcast(crowded)
+    kept = _settled(dets.join(crowded, key, "left_anti").select(dets.columns), key, order, limit)
+    boxes = checkpointed(dets.join(crowded, key, "left_semi").select(dets.columns).withColumn(_ROW, F.monotonically_increasing_id()))
+    corners = [F.col(c).cast("double") for c in CORNERS]
+    finite = functools.reduce(operator.and_, [F.abs(c) < float("inf") for c in corners])
+    solid = F.coalesce(finite & (corners[2] - corners[0] + 1 > 0) & (corners[3] - corners[1] + 1 > 0), F.lit(False))
+    kept = kept.unionByName(boxes.where(~solid).drop(_ROW))
+    tile, order = [*key, *_TILE], [*order, F.col(_ROW)]
+    same = functools.reduce(operator.and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in tile])
+    # the tiles in which kept boxes look for what they suppress are as wide as the boxes
+    left = checkpointed(_own_tile(boxes.where(solid), limit, 1))
+    while not left.isEmpty():
+        best = top_k(_copies(left.drop(*_TILE), limit, TILE_SPAN), tile, order, min(tile_boxes, ROUND_BOXES))
+        settled = checkpointed(_settled(best, tile, order, limit).drop(*_TILE, _HOME))
+        kept = kept.unionByName(settled.select(dets.columns))
+        reached = _copies(settled, limit, 1)
+        left = checkpointed(left.alias("a").join(reached.alias("b"), same & (overlap("a", "b") > limit), "left_anti"))
     return kept
 
 

@@ -91,7 +91,7 @@ def validation_mean(
     rows = df
     if max_batches:
         by = [F.col(c) for c in order]
-        rows = top_k(df, keys, by, max_batches, salt=F.struct(*by))
+        rows = top_k(df, keys, by, max_batches)
     v = F.col(value)
     return rows.groupBy(*keys).agg(F.coalesce(F.avg(v), F.lit(0.0)).alias("val_loss"),
                                    F.count(v).alias("val_batches"))
@@ -112,7 +112,7 @@ def keep_last(
     """The newest ``n`` checkpoints of each run and the protected ones; all of them for ``n <= 0``."""
     if n <= 0:
         return saved
-    newest = top_k(saved, keys, [F.col(seq).desc()], n, salt=F.col(seq))
+    newest = top_k(saved, keys, [F.col(seq).desc()], n)
     exempt = saved.where(F.col(name).isin(*protected))
     older = exempt.join(newest.select(*keys, seq), [*keys, seq], "left_anti")
     return newest.unionByName(older)

@@ -98,7 +98,7 @@ def candidate_pool(
     """The first rows of each group in hash order, ``pool`` in all, spread over the groups."""
     k = per_group if per_group is not None else max(20, pool // 5)
     keyed = df.withColumn("_k", shuffle_key(id_col, seed))
-    first = top_k(keyed, [group], [F.col("_k"), F.col(id_col)], k, salt=F.col(id_col))
+    first = top_k(keyed, [group], [F.col("_k"), F.col(id_col)], k)
     return first.orderBy("_k", id_col).limit(pool)
 
 
@@ -137,8 +137,7 @@ def stratified_subset(
     """
     keyed = with_levels(df, axes).withColumn("_k", shuffle_key(id_col, seed))
     targets = target_shares(df, axes, n, floor_rows)
-    heads = top_k(keyed.select(*axes, "_k", id_col), list(axes), [F.col("_k"), F.col(id_col)], n,
-                  salt=F.col(id_col))
+    heads = top_k(keyed.select(*axes, "_k", id_col), list(axes), [F.col("_k"), F.col(id_col)], n)
     strata = heads.groupBy(*axes).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), F.col(id_col).alias("id")))).alias("heads"))
     strata = checkpointed(strata)

@@ -21,6 +21,8 @@ from pairset.schema import null_if_nan
 from pairset.session import checkpointed
 
 BLOCK_ROWS = 2_000_000
+#: Up to this k Spark prunes a ranked group before the shuffle.
+PRUNED_BELOW = 1_000
 
 POS, BLOCK = "_pos", "_block"
 _VALUE, _SO_FAR = "_value", "_so_far"
@@ -206,24 +208,22 @@ def position(
     )
 
 
-def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt: Column | None = None,
-    salts: int = 64, pruned_below: int = 1000,
-) -> DataFrame:
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, pruned_below: int = PRUNED_BELOW) -> DataFrame:
     """The first ``k`` rows of each group.
 
-    For small ``k`` Spark prunes every group to ``k`` rows before the shuffle. Larger ``k`` rank inside
-    ``salts`` slices of the group first, so no task sees a whole large group.
+    Below ``pruned_below``, Spark itself prunes every group to ``k`` rows per task before the shuffle. Larger ``k`` are cut in a range
+    layout by key and order, which deals a large group to many tasks: rows are numbered inside a (task, group), the counts of
+    the tasks before are added, and no task ranks a whole group. ``order`` should have few ties, as equal rows share a task.
     """
-    kept = df
-    if k >= pruned_below:
-        if salt is None:
-            raise ValueError(f"k >= {pruned_below} needs a salt column to slice large groups by")
-        inner = W.partitionBy(*keys, "_salt").orderBy(*order)
-        kept = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
-            .withColumn("_rn", F.row_number().over(inner))
-            .where(F.col("_rn") <= k).drop("_salt", "_rn")
-        )
-    outer = W.partitionBy(*keys).orderBy(*order)
-    return kept.withColumn("_rn", F.row_number().over(outer)).where(F.col("_rn") <= k).drop("_rn")
+    if k < pruned_below:
+        outer = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("_rn", F.row_number().over(outer)).where(F.col("_rn") <= k).drop("_rn")
+    by = [*[F.col(c) for c in keys], *order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    inner = W.partitionBy("_part", *keys).orderBy(*order)
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counts = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < k).drop("_n")
+    numbered = ranged.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= k)
+    return join_null_safe(numbered, starts, ["_part", *keys]).where(F.col("_before") + F.col("_rn") <= k).select(df.columns)

@@ -87,7 +87,7 @@ def follow_metrics(
         marked = marked.withColumn("is_best", F.col(value).isNotNull() & (before.isNull() | F.coalesce(better, F.lit(False)))).drop("_best")
         marked.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-        last = top_k(both.where(F.col(value).isNotNull()), keys, [F.col(order).desc()], window, salt=F.col(order)).drop("_new")
+        last = top_k(both.where(F.col(value).isNotNull()), keys, [F.col(order).desc()], window).drop("_new")
         bests = rows.groupBy(*keys).agg((F.min if mode == "min" else F.max)(value).alias("_b"))
         bests = join_null_safe(bests, best_so_far, keys, "left").select(*keys, pick(F.col("_b"), F.col("_best")).cast("double").alias("_best"))
         state = join_null_safe(last, bests, keys)

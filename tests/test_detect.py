@@ -33,14 +33,48 @@ def greedy(df, limit=0.45):
     return sorted(r.det_id for r in kept)
 
 
-@pytest.mark.parametrize("group_boxes", [20_000, 60, 7])
-def test_suppression_equals_the_greedy_pass(spark, group_boxes):
+@pytest.mark.parametrize("tile_boxes", [4_000, 60])
+def test_suppression_equals_the_greedy_pass(spark, tile_boxes):
     df = boxes(spark, 450, 11)
-    got = detect.suppress_overlaps(df, group_boxes=group_boxes)
+    got = detect.suppress_overlaps(df, tile_boxes=tile_boxes)
     assert [r[0] for r in rows(got, "det_id")] == greedy(df)
     assert got.columns == df.columns
 
 
+def spread_boxes(n, seed, side=400):
+    """Boxes of many sizes, some of them without an area, over a wide frame and a crowded corner of it."""
+    rng = np.random.default_rng(seed)
+    at = np.where(rng.random(n) < 0.3, 40, side)[:, None] * rng.random((n, 2))
+    size = np.exp(rng.uniform(-1, 5, (n, 1))) * rng.uniform(0.6, 1.6, (n, 2)) - 1.2
+    return np.concatenate([at, at + size], axis=1), np.round(rng.random(n), 2)
+
+
+@pytest.mark.parametrize("tile_boxes", [200])
+@pytest.mark.parametrize("limit", [0.45, 0.1, 0.8])
+def test_tiles_of_a_crowded_image_equal_the_greedy_pass(spark, tile_boxes, limit):
+    corners, scores = spread_boxes(1500, 5)
+    data = [("i", k, *map(float, c), float(s), 0) for k, (c, s) in enumerate(zip(corners, scores))]
+    df = spark.createDataFrame(data, "image_id string, det_id int, x1 double, y1 double, x2 double, y2 double, score double, cls int")
+    order = np.lexsort((np.arange(len(scores)), -scores))
+    want = sorted(int(order[k]) for k in detect._suppress(corners[order], limit))
+    assert [r[0] for r in rows(detect.suppress_overlaps(df, limit=limit, tile_boxes=tile_boxes), "det_id")] == want
+
+
+def test_a_chain_over_many_tiles(spark):
+    """Each box overlaps the next, better one, so decisions run through all tiles."""
+    data = [("i", k, 4.0 * k, 0.0, 4.0 * k + 11.0, 9.0, k / 1000, 0) for k in range(300)]
+    df = spark.createDataFrame(data, "image_id string, det_id int, x1 double, y1 double, x2 double, y2 double, score double, cls int")
+    assert [r[0] for r in rows(detect.suppress_overlaps(df, tile_boxes=40), "det_id")] == list(range(1, 300, 2))
+
+
+def test_corners_without_a_number(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [("i", k, x, 0.0, 9.0, y, 0.5, 0) for k, (x, y) in enumerate([(0.0, 9.0), (0.0, 9.0), (nan, 9.0), (None, 9.0), (0.0, inf), (20.0, 9.0)])]
+    df = spark.createDataFrame(data, "image_id string, det_id int, x1 double, y1 double, x2 double, y2 double, score double, cls int")
+    for tile_boxes in (4_000, 2):
+        assert [r[0] for r in rows(detect.suppress_overlaps(df, tile_boxes=tile_boxes), "det_id")] == [0, 2, 3, 4, 5]
+
+
 def test_groups_running_across_batches(spark):
     df = boxes(spark, 600, 12)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
@@ -116,8 +150,8 @@ def test_centre_and_scale(spark):
     assert tuple(df.select(*[c.alias(n) for n, c in detect.centre_and_scale(1.0, 0.5).items()]).first())[2:] == (30.0, 60.0)
 
 
-@pytest.mark.parametrize("group_boxes", [20_000, 50, 7])
-def test_repeated_ids_and_equal_boxes(spark, group_boxes):
+@pytest.mark.parametrize("tile_boxes", [4_000, 50])
+def test_repeated_ids_and_equal_boxes(spark, tile_boxes):
     df = boxes(spark, 300, 13).withColumn("det_id", F.col("det_id") % 40)
     df = df.unionByName(df.where("det_id < 5"))
     names = ["image_id", "det_id", "x1", "y1", "x2", "y2", "score", "cls"]
@@ -126,10 +160,10 @@ def test_repeated_ids_and_equal_boxes(spark, group_boxes):
     for r in sorted(df.collect(), key=order):
         if not any(k.image_id == r.image_id and k.cls == r.cls and iou(k, r) > 0.45 for k in kept):
             kept.append(r)
-    assert rows(detect.suppress_overlaps(df, group_boxes=group_boxes), *names) == sorted(tuple(r[c] for c in names) for r in kept)
+    assert rows(detect.suppress_overlaps(df, tile_boxes=tile_boxes), *names) == sorted(tuple(r[c] for c in names) for r in kept)
 
 
 def test_boxes_without_ids(spark):
     df = boxes(spark, 90, 14).drop("det_id")
     names = df.columns
-    assert rows(detect.suppress_overlaps(df, group_boxes=7), *names) == rows(detect.suppress_overlaps(df), *names)
+    assert rows(detect.suppress_overlaps(df, tile_boxes=40), *names) == rows(detect.suppress_overlaps(df), *names)

@@ -109,13 +109,19 @@ def test_position(table, keys):
     assert ordered(blocked) == ordered(plain)
 
 
-def test_top_k_salted_equals_pruned(table):
+@pytest.mark.parametrize("k", [1, 25, 5000])
+def test_top_k_in_a_range_layout_equals_pruned(table, k):
     order = [F.col("step").desc()]
-    plain = sequence.top_k(table, KEYS, order, 25)
-    salted = sequence.top_k(table, KEYS, order, 25, salt=F.col("step"), salts=5, pruned_below=0)
-    assert ordered(plain) == ordered(salted)
-    with pytest.raises(ValueError):
-        sequence.top_k(table, KEYS, order, 5000)
+    plain = sequence.top_k(table, KEYS, order, k, pruned_below=10_000)
+    laid = sequence.top_k(table, KEYS, order, k, pruned_below=0)
+    assert ordered(plain) == ordered(laid) and laid.columns == table.columns
+
+
+def test_large_k_ranks_no_hot_group_in_one_task(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").alias("g"), F.col("id"))
+    got = sequence.top_k(df, ["g"], [F.col("id").desc()], 5_000)
+    assert got.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("g").collect() == [(None, 5000, 5001), ("hot", 5000, 12500)]
+    assert "_part" in got._jdf.queryExecution().executedPlan().toString().split("Window [row_number()")[1].split("\n")[0]
 
 
 def test_small_k_is_pruned_before_the_shuffle(table):
