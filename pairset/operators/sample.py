@@ -224,14 +224,14 @@ FAMILY_WEIGHT, SOURCE_WEIGHT = 0.35, 0.15
 
 def diverse_subset(
     df: DataFrame, n: int, id_col: str = "id", hue: str = "hue", seed_by: str = "sat",
-    categories: Mapping[str, float] | None = None, seed: int = 4242, driver_rows: int = 200_000,
+    categories: Mapping[str, float] | None = None, seed: int = 4242, candidates: int = 20_000, per_pass: int = 200,
 ) -> DataFrame:
     """Greedy max-min draw: each pick is the row farthest from everything chosen so far.
 
     The distance is circular in ``hue`` plus a weight per differing category; the first pick has the largest
     ``seed_by``, ties go to the smallest ``(shuffle key, id)``. Rows without a hue are left out. Rows of equal
-    profile are at distance zero, so the search runs over one row per distinct profile: in the driver for up
-    to ``driver_rows`` profiles, else as one aggregation per pick that passes only the last picks as literals.
+    profile are at distance zero, so the search runs over one row per distinct profile, in passes of up to ``per_pass`` exact
+    picks each; the driver holds the ``candidates`` farthest profiles of a pass, however many there are.
     The result has the input rows plus ``pick``, the 1-based order of choice.
     """
     weights = dict(categories) if categories is not None else {"fabric_family": FAMILY_WEIGHT, "source": SOURCE_WEIGHT}
@@ -243,8 +243,7 @@ def diverse_subset(
         return df.limit(0).withColumn("pick", F.lit(None).cast("int"))
     profiles = checkpointed(
         keyed.groupBy(*names).agg(F.min(F.struct("_k", F.col(id_col).alias("id"))).alias("_head")))
-    search = _farthest_local if profiles.count() <= driver_rows else _farthest_distributed
-    chosen = [first[id_col], *search(profiles, first, n - 1, hue, weights)]
+    chosen = [first[id_col], *_farthest(profiles, first, n - 1, hue, weights, candidates, per_pass)]
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
     picks = spark.createDataFrame([(x, i) for i, x in enumerate(chosen, 1)], f"{id_col} {id_type}, pick int")
@@ -257,47 +256,48 @@ def diverse_subset(
     return df.join(F.broadcast(picks), id_col)
 
 
-def _farthest_local(profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float]) -> list:
-    rows = profiles.orderBy("_head").toPandas()
+def _farthest(
+    profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float], candidates: int, per_pass: int,
+) -> list:
+    """The ids of the next ``n`` picks after ``first``, several to a pass over the profiles.
+
+    A pass lowers every profile's distance by the picks of the pass before, and the driver gets the ``candidates`` farthest.
+    Distances only fall, so whatever stays outside is never better than the last of them was: picks among the candidates are
+    those of the whole table as long as they are not worse than that.
+    """
     names = [hue, *weights]
-    # The first pick goes last, as a row that cannot be picked again.
-    points = pd.concat([rows[names], pd.DataFrame([[first[c] for c in names]], columns=names)], ignore_index=True)
-    around = points[hue].to_numpy(dtype=float)
-    codes = {c: pd.factorize(points[c])[0] for c in weights}
-    nearest = np.append(np.full(len(rows), np.inf), -np.inf)
-    last, chosen = len(rows), []
+    state, chosen, fresh = profiles.withColumn("_d", F.lit(float("inf"))), [], [first]
     while len(chosen) < n:
-        gap = np.abs(around - around[last])
-        d = np.minimum(gap, 1.0 - gap)
-        for c, weight in weights.items():
-            d = d + np.where(codes[c] != codes[c][last], weight, 0.0)
-        nearest = np.minimum(nearest, d)
-        last = int(nearest.argmax())
-        if nearest[last] <= 0:
+        state = checkpointed(state.withColumn("_d", F.least("_d", *[_distance(hue, weights, p) for p in fresh])))
+        rows = state.where("_d > 0").orderBy(F.col("_d").desc(), "_head").limit(candidates).collect()
+        if not rows:
             break
-        chosen.append(rows["_head"].iat[last]["id"])
+        cut = (rows[-1]["_d"], rows[-1]["_head"]) if len(rows) == candidates else (0.0, None)
+        rows.sort(key=lambda r: r["_head"])
+        nearest = np.array([r["_d"] for r in rows])
+        around = np.array([r[hue] for r in rows], dtype=float)
+        codes = {c: pd.factorize(pd.Series([r[c] for r in rows], dtype=object), use_na_sentinel=False)[0] for c in weights}
+        fresh = []
+        while len(chosen) < n and len(fresh) < per_pass:
+            best = int(nearest.argmax())
+            row, far = rows[best], nearest[best]
+            if far <= 0 or far < cut[0] or (far == cut[0] and row["_head"] > cut[1]):
+                break
+            chosen.append(row["_head"]["id"])
+            fresh.append(Row(**{c: row[c] for c in names}))
+            gap = np.abs(around - around[best])
+            d = np.minimum(gap, 1.0 - gap)
+            for c, weight in weights.items():
+                d = d + np.where(codes[c] != codes[c][best], weight, 0.0)
+            nearest = np.minimum(nearest, d)
     return chosen
 
 
-def _farthest_distributed(
-    profiles: DataFrame, first: Row, n: int, hue: str, weights: Mapping[str, float], rounds_per_cut: int = 16,
-) -> list:
-    state = profiles.withColumn("_d", F.lit(float("inf")))
-    chosen: list = []
-    last = first
-    while len(chosen) < n:
-        d = circular_distance(hue, last[hue])
-        for c, weight in weights.items():
-            d = d + F.when(~F.col(c).eqNullSafe(F.lit(last[c])), F.lit(weight)).otherwise(F.lit(0.0))
-        state = state.withColumn("_d", F.least(F.col("_d"), d))
-        if (len(chosen) + 1) % rounds_per_cut == 0:
-            state = checkpointed(state)
-        far = state.where(F.col("_d") > 0).orderBy(F.col("_d").desc(), "_head").first()
-        if far is None:
-            break
-        chosen.append(far["_head"]["id"])
-        last = far
-    return chosen
+def _distance(hue: str, weights: Mapping[str, float], pick: Row) -> Column:
+    d = circular_distance(hue, pick[hue])
+    for c, weight in weights.items():
+        d = d + F.when(~F.col(c).eqNullSafe(F.lit(pick[c])), F.lit(weight)).otherwise(F.lit(0.0))
+    return d
 
 
 def contact_listing(df: DataFrame, axis: str, id_col: str = "id", per_row: int = 6, **blocks: int) -> DataFrame:

@@ -79,9 +79,9 @@ def farthest_rows(data, n, seed):
     return [r[0] for r in chosen]
 
 
-@pytest.mark.parametrize("driver_rows", [200_000, 0])
+@pytest.mark.parametrize("candidates, per_pass", [(20_000, 200), (30, 200), (1, 1), (50, 3)])
 @pytest.mark.parametrize("seed, profiles", [(1, 400), (2, 7)])
-def test_diverse_subset_equals_the_row_by_row_search(spark, driver_rows, seed, profiles):
+def test_diverse_subset_equals_the_row_by_row_search(spark, candidates, per_pass, seed, profiles):
     rnd = random.Random(seed)
     kinds = [((rnd.randrange(18) + 0.5) / 18, rnd.choice("fgh"), rnd.choice("st")) for _ in range(profiles)]
     data = []
@@ -89,7 +89,7 @@ def test_diverse_subset_equals_the_row_by_row_search(spark, driver_rows, seed, p
         hue, family, source = rnd.choice(kinds)
         data.append((f"{i:04d}", hue, round(rnd.random(), 2), family, source))
     df = spark.createDataFrame(data, "id string, hue double, sat double, fabric_family string, source string")
-    got = sample.diverse_subset(df.orderBy(F.rand(1)), 20, seed=seed, driver_rows=driver_rows)
+    got = sample.diverse_subset(df.orderBy(F.rand(1)), 20, seed=seed, candidates=candidates, per_pass=per_pass)
     assert [r["id"] for r in got.orderBy("pick").collect()] == farthest_rows(data, 20, seed)
 
 
