@@ -1,24 +1,29 @@
 """Following logs and index folders as they grow.
 
 Each micro-batch writes to a folder named after its number and overwrites it, so a batch that is replayed
-after a failure leaves the same files. State between batches is kept in tables under the same rule, which
-lets the batch operators, with their handling of very long runs, serve the stream as well.
+after a failure leaves the same files. State between batches is in Spark's state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from pairset.operators.incremental import RowFn, read_cache, refresh_stats
-from pairset.operators.joins import join_null_safe
+from pairset.operators.incremental import RowFn, refresh_stats
 from pairset.operators.runlog import parse_steps, parse_validations
-from pairset.operators.sequence import BLOCK_ROWS, rolling_mean, running_best, top_k
 from pairset.schema import null_if_nan
+from pairset.session import ship
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_RUN_STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("best", T.DoubleType())])
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -50,53 +55,88 @@ def follow_log(
     return _start(lines, each, checkpoint, once)
 
 
+class _Metrics(StatefulProcessor):
+    """Sliding mean and running best of one run: the state is its last values and its best one."""
+
+    def __init__(self, keys: Sequence[str], order: str, value: str, window: int, lowest: bool, idle_ms: int | None) -> None:
+        self.keys, self.order, self.value, self.window, self.lowest, self.idle_ms = keys, order, value, window, lowest, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", _RUN_STATE, self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        # the order is made here: a micro-batch deals the rows of a run as it reads them
+        new = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable", ignore_index=True)
+        held, best = self.state.get() or ([], None)
+        values = new["number"].to_numpy(dtype=float, na_value=np.nan)
+        known = ~np.isnan(values)
+        series = np.concatenate([np.array(held, dtype=float), values[known]])
+        means = pd.Series(series).rolling(self.window, min_periods=1).mean().to_numpy()
+        # a row without a value carries the mean before it
+        means = np.concatenate([[means[len(held) - 1] if held else np.nan], means[len(held):]])
+        so_far = np.cumsum(known)
+        sign = 1.0 if self.lowest else -1.0
+        bests = np.minimum.accumulate(np.concatenate([[np.inf if best is None else sign * best], np.where(known, sign * values, np.inf)]))
+        measured = (so_far - known > 0) | (best is not None)
+        is_best = known & (~measured | (sign * values < bests[:-1]))
+        mean = means[so_far]
+        out = pd.DataFrame({
+            **{k: [v] * len(new) for k, v in zip(self.keys, key, strict=True)},
+            self.order: new["at"], self.value: new["value"],
+            "rolling_mean": pd.Series(mean, dtype=object).where(~np.isnan(mean), None),
+            "best_before": pd.Series(sign * bests[:-1], dtype=object).where(measured, None), "is_best": is_best,
+        })
+        last = float(sign * bests[-1]) if best is not None or known.any() else None
+        self.state.update((series[-self.window:].tolist(), last))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
 def follow_metrics(
     stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str], order: str, value: str,
-    window: int = 100, mode: str = "min", once: bool = True, compact_every: int = 20,
-    block_rows: int = BLOCK_ROWS,
+    window: int = 100, mode: str = "min", once: bool = True, idle: timedelta | None = None,
 ) -> StreamingQuery:
     """Sliding mean and running best per run over a stream of values, rows in ``<out>/rows``.
 
-    The state of a run is its last ``window`` values and its best one. A batch writes the state of the
-    runs it touched; every ``compact_every`` batches the state of all runs is written afresh, so reading it
-    never goes further back than that. Rows of a run have to arrive in batches in ascending order. NULL is a
-    key like any other; a row without a value (NULL or NaN) carries the mean before it and is never best.
+    Spark's state store keeps the last ``window`` values and the best one of every run, under the query's checkpoint; with
+    ``idle``, runs without new rows for so long are forgotten. Nothing else is kept between batches, and a restarted query
+    goes on from the last committed batch. Rows of a run have to arrive in batches in ascending order; those of one run and
+    batch must fit a task, so the source should bound its batches. NULL is a key like any other; a row without a value (NULL
+    or NaN) carries the mean before it and is never best.
     """
-    state_path = f"{out}/state"
-    fields = [stream.schema[c] for c in (*keys, order, value)]
-    state_schema = T.StructType([*fields, T.StructField("_best", T.DoubleType()), T.StructField("batch", T.IntegerType())])
+    if mode not in ("min", "max"):
+        raise ValueError(f"unknown mode {mode!r}; use min or max")
+    spark = stream.sparkSession
+    ship(spark)
+    number = null_if_nan(F.col(value).cast("double"))
+    # names of their own: rows reach the processor as named tuples, which allow no leading underscore
+    named = [f"key{i}" for i in range(len(keys))]
+    rows = stream.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(order).alias("at"),
+        number.cast(stream.schema[value].dataType).alias("value"), number.alias("number"))
+    schema = T.StructType([
+        *[stream.schema[c] for c in (*keys, order, value)], T.StructField("rolling_mean", T.DoubleType()),
+        T.StructField("best_before", T.DoubleType()), T.StructField("is_best", T.BooleanType()),
+    ])
+    processor = _Metrics(list(keys), order, value, window, mode == "min", int(idle.total_seconds() * 1000) if idle else None)
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*keys, order, null_if_nan(F.col(value).cast("double")).cast(stream.schema[value].dataType).alias(value)).persist()
-        base = (number - 1) // compact_every * compact_every if number else 0
-        stored = read_cache(spark, state_path, state_schema).where(F.col("batch").between(base, number - 1))
-        newest = stored.groupBy(*keys).agg(F.max("batch").alias("batch"))
-        current = join_null_safe(stored, newest, [*keys, "batch"]).drop("batch")
-        touched = rows.select(*keys).distinct()
-        tail = join_null_safe(current, touched, keys, "left_semi")
-        best_so_far = tail.groupBy(*keys).agg((F.min if mode == "min" else F.max)("_best").alias("_best"))
-
-        both = tail.select(*keys, order, value, F.lit(False).alias("_new")).unionByName(rows.withColumn("_new", F.lit(True)))
-        means = rolling_mean(both, keys, [order], value, window, block_rows=block_rows).where("_new").drop("_new")
-        marked = running_best(means, keys, [order], value, mode, block_rows=block_rows)
-        pick = F.least if mode == "min" else F.greatest
-        before = F.col("best_before")
-        better = F.col(value) < before if mode == "min" else F.col(value) > before
-        marked = join_null_safe(marked, best_so_far, keys, "left").withColumn("best_before", pick(before, F.col("_best")))
-        marked = marked.withColumn("is_best", F.col(value).isNotNull() & (before.isNull() | F.coalesce(better, F.lit(False)))).drop("_best")
-        marked.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-
-        last = top_k(both.where(F.col(value).isNotNull()), keys, [F.col(order).desc()], window).drop("_new")
-        bests = rows.groupBy(*keys).agg((F.min if mode == "min" else F.max)(value).alias("_b"))
-        bests = join_null_safe(bests, best_so_far, keys, "left").select(*keys, pick(F.col("_b"), F.col("_best")).cast("double").alias("_best"))
-        state = join_null_safe(last, bests, keys)
-        if number % compact_every == 0:
-            state = state.unionByName(join_null_safe(current, touched, keys, "left_anti"))
-        state.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        rows.unpersist()
-
-    return _start(stream, each, checkpoint, once)
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    # With times to live, Spark asks for empty batches for ever, which a run of what is available would wait for.
+    settings = {_STORE: _ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        # a started query has its own copy of the settings
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        marked = rows.groupBy(*named).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle else "None")
+        return _start(marked, each, checkpoint, once)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def follow_index(

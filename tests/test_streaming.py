@@ -1,6 +1,9 @@
 import os
 import random
+from datetime import timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pairset.operators import runlog, sequence
@@ -37,13 +40,32 @@ def test_followed_metrics_equal_the_batch_result(spark, out):
     for low in range(0, 400, 80):
         df.where(f"step >= {low} and step < {low + 80}").coalesce(1).write.mode("append").parquet(f"{out}/in")
         stream = spark.readStream.schema(df.schema).parquet(f"{out}/in")
-        follow_metrics(stream, f"{out}/out", f"{out}/cp", ["run"], "step", "v", window=30, compact_every=2, block_rows=40).awaitTermination()
+        follow_metrics(stream, f"{out}/out", f"{out}/cp", ["run"], "step", "v", window=30).awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(f"{out}/out/rows").select("run", "step", "best_before", "is_best", F.round("rolling_mean", 9)).collect()]
     batch = sequence.rolling_mean(df, ["run"], ["step"], "v", 30)
     want = sequence.running_best(batch, ["run"], ["step"], "v").select("run", "step", "best_before", "is_best", F.round("rolling_mean", 9))
     assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in want.collect())
 
 
+def test_a_failed_batch_is_done_again_on_the_state_before_it(spark, out):
+    df = spark.createDataFrame([(r, i, float((i * 7 + r) % 23)) for i in range(60) for r in range(3)], "run int, step int, v double")
+    write(out, "file", [""])
+    for k, (low, high) in enumerate([(0, 20), (20, 40), (40, 60)]):
+        df.where(f"step >= {low} and step < {high}").coalesce(1).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{out}/in")
+        settings = dict(window=7, mode="max", idle=timedelta(days=1))
+        if k == 1:
+            # the sink fails when the batch has changed the state
+            with pytest.raises(StreamingQueryException):
+                follow_metrics(stream, f"{out}/file", f"{out}/cp", ["run"], "step", "v", **settings).awaitTermination()
+        follow_metrics(stream, f"{out}/out", f"{out}/cp", ["run"], "step", "v", **settings).awaitTermination()
+    got = spark.read.parquet(f"{out}/out/rows").select("run", "step", "best_before", "is_best", F.round("rolling_mean", 9))
+    batch = sequence.rolling_mean(df, ["run"], ["step"], "v", 7)
+    want = sequence.running_best(batch, ["run"], ["step"], "v", "max").select("run", "step", "best_before", "is_best", F.round("rolling_mean", 9))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert os.listdir(f"{out}/out") == ["rows"]
+
+
 def test_new_index_rows_are_probed_once(spark, out):
     schema = struct_of("id string")
 
