@@ -10,12 +10,12 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from pyspark.sql.utils import AnalysisException
 
+from pairset.operators.cache import KeyedCache
 from pairset.operators.joins import distinct_keys, join_null_safe, missing_ids
 from pairset.schema import as_flag
 from pairset.session import map_batches
@@ -76,16 +76,6 @@ def map_rows(
     return map_batches(df, run, schema)
 
 
-def read_cache(spark, path: str, schema: T.StructType) -> DataFrame:
-    """The cached rows, or an empty table of the same schema before the first run."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def usable(stats: DataFrame, ok: str, id_col: str = "id", attempt: str | None = None) -> DataFrame:
     """One row per id: a successful attempt where there is one, the latest of those."""
     latest = [F.col(attempt).desc_nulls_last()] if attempt else []
@@ -93,6 +83,27 @@ def usable(stats: DataFrame, ok: str, id_col: str = "id", attempt: str | None =
     return stats.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
 
 
+def stats_cache(
+    spark: SparkSession, path: str, key: T.StructField, result: T.StructType, ok: str = "probe_ok", error: str = "probe_error",
+) -> KeyedCache:
+    """The cache of attempts that ``refresh_stats`` keeps at ``path``."""
+    schema = T.StructType([key, *result.fields, T.StructField(ok, T.BooleanType()), T.StructField(error, T.StringType()),
+                           T.StructField(ATTEMPT, T.LongType())])
+    return KeyedCache(spark, path, schema, key.name)
+
+
+def probe_missing(
+    index: DataFrame, cache: KeyedCache, result: T.StructType, fn: RowFn | None = None, retry_failed: bool = False,
+    ok: str = "probe_ok", error: str = "probe_error", load: Callable[[], RowFn] | None = None, recompute: bool = False,
+) -> None:
+    """Probe the ids that the cache lacks and append them; only the buckets of the given ids are read."""
+    todo = index
+    if not recompute:
+        cached = cache.rows(index)
+        todo = missing_ids(index, cached.where(as_flag(ok)) if retry_failed else cached, [cache.id_col])
+    cache.append(map_rows(todo, fn, result, [cache.id_col], ok, error, load).withColumn(ATTEMPT, F.lit(time.time_ns())))
+
+
 def refresh_stats(
     index: DataFrame, cache_path: str, result: T.StructType, fn: RowFn | None = None, id_col: str = "id",
     retry_failed: bool = False, ok: str = "probe_ok", error: str = "probe_error",
@@ -103,18 +114,14 @@ def refresh_stats(
     With ``retry_failed`` ids whose every attempt failed are probed again, with ``recompute`` all ids are.
     Attempts carry the time of their run, and of equally good ones the latest counts.
     """
-    spark = index.sparkSession
-    schema = T.StructType([index.schema[id_col], *result.fields, T.StructField(ok, T.BooleanType()),
-                           T.StructField(error, T.StringType())])
-    stored = T.StructType([*schema.fields, T.StructField(ATTEMPT, T.LongType())])
-    if recompute:
-        todo = index
-    else:
-        cached = read_cache(spark, cache_path, stored)
-        todo = missing_ids(index, cached.where(as_flag(ok)) if retry_failed else cached, [id_col])
-    probed = map_rows(todo, fn, result, [id_col], ok, error, load).withColumn(ATTEMPT, F.lit(time.time_ns()))
-    probed.write.mode("append").parquet(cache_path)
-    return usable(spark.read.schema(stored).parquet(cache_path), ok, id_col, ATTEMPT).drop(ATTEMPT)
+    cache = stats_cache(index.sparkSession, cache_path, index.schema[id_col], result, ok, error)
+    probe_missing(index, cache, result, fn, retry_failed, ok, error, load, recompute)
+    return usable(cache.rows(), ok, id_col, ATTEMPT).drop(ATTEMPT)
+
+
+def compact_stats(cache: KeyedCache, ok: str = "probe_ok") -> None:
+    """Leave one attempt per id, the one that ``refresh_stats`` returns."""
+    cache.compact(lambda rows: usable(rows, ok, cache.id_col, ATTEMPT))
 
 
 def split_outcome(df: DataFrame, ok: str = "ok") -> tuple[DataFrame, DataFrame]:

@@ -280,7 +280,8 @@ def index_follow(spark, sf):
         arriving.write.mode("append").parquet(f"{root}/in")
         follow_index(spark, f"{root}/in", docs.schema, f"{root}/cache", f"{root}/checkpoint", struct_of("n_text bigint"),
                      lambda row: {"n_text": len(row["text"])}, id_col="doc_id").awaitTermination()
-    return spark.read.parquet(f"{root}/cache").select("doc_id", "n_text")
+    cache = incremental.stats_cache(spark, f"{root}/cache", docs.schema["doc_id"], struct_of("n_text bigint"))
+    return cache.rows().select("doc_id", "n_text")
 
 
 @_r.query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from pairset.operators.incremental import RowFn, refresh_stats
+from pairset.operators.incremental import RowFn, compact_stats, probe_missing, stats_cache
 from pairset.operators.runlog import parse_steps, parse_validations
 from pairset.schema import null_if_nan
 from pairset.session import ship
@@ -141,14 +141,22 @@ def follow_metrics(
 
 def follow_index(
     spark: SparkSession, source: str, schema: T.StructType, cache: str, checkpoint: str, result: T.StructType,
-    fn: RowFn, once: bool = True, max_files: int | None = None, id_col: str = "id",
+    fn: RowFn, once: bool = True, max_files: int | None = None, id_col: str = "id", compact_every: int = 50,
 ) -> StreamingQuery:
-    """Probe the rows of newly arrived index files; known ids are skipped, so replays add nothing."""
+    """Probe the rows of newly arrived index files; known ids are skipped, so replays add nothing.
+
+    A batch reads the cache buckets of its own ids only, and every ``compact_every`` batches the cache is compacted.
+    """
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def each(batch: DataFrame, number: int) -> None:
-        refresh_stats(batch, cache, result, fn, id_col)
+        batch.persist()
+        known = stats_cache(batch.sparkSession, cache, schema[id_col], result)
+        probe_missing(batch, known, result, fn)
+        if number % compact_every == compact_every - 1:
+            compact_stats(known)
+        batch.unpersist()
 
     return _start(reader.parquet(source), each, checkpoint, once)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pairset.operators import incremental as inc
 from pairset.operators import joins
+from pairset.operators.cache import KeyedCache
 from pairset.schema import struct_of
 from tests.conftest import rows
 
@@ -45,9 +46,9 @@ def test_refresh_probes_only_what_is_missing(spark, out):
 
     got = inc.refresh_stats(table(spark, "a", "bad1", "c"), cache, RESULT, other)
     assert rows(got, "id", "size", "probe_ok") == [("a", 1, True), ("bad1", None, False), ("c", 100, True)]
-    before = spark.read.parquet(cache).count()
+    before = spark.read.parquet(f"{cache}/rows").count()
     inc.refresh_stats(table(spark, "a", "bad1", "c"), cache, RESULT, other)
-    assert spark.read.parquet(cache).count() == before == 3
+    assert spark.read.parquet(f"{cache}/rows").count() == before == 3
 
 
 def test_failed_ids_are_retried_on_request(spark, out):
@@ -131,4 +132,58 @@ def test_recompute_and_latest_attempt(spark, out):
     for value in (1, 2):
         got = inc.refresh_stats(df, out + "/c", struct_of("v int"), lambda row, value=value: {"v": value}, recompute=True)
         assert rows(got, "id", "v") == [("a", value), ("b", value)]
-    assert spark.read.parquet(out + "/c").count() == 4
+    assert spark.read.parquet(out + "/c/rows").count() == 4
+
+
+def sized(spark, path):
+    return inc.stats_cache(spark, path, struct_of("id string")["id"], RESULT)
+
+
+def test_a_lookup_reads_the_buckets_of_its_ids(spark, out):
+    cache = sized(spark, f"{out}/c")
+    ids = table(spark, *[f"id{i}" for i in range(300)])
+    inc.probe_missing(ids, cache, RESULT, lambda row: {"size": 1})
+    few = table(spark, "id7", "id9", "new")
+    found = cache.rows(few)
+    filters = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "bucket" in filters and " IN (" in filters and found.select(F.input_file_name()).distinct().count() <= 3
+    assert {"id7", "id9"} <= {r["id"] for r in found.collect()} and found.count() < 40
+    inc.probe_missing(few, cache, RESULT, lambda row: {"size": 2})
+    assert rows(cache.rows().where("size = 2"), "id") == [("new",)] and cache.rows().count() == 301
+
+
+def test_compaction_keeps_the_best_attempt_and_survives_a_crash(spark, out):
+    path = f"{out}/c"
+
+    def fails(row):
+        raise ValueError("no")
+
+    for fn in (fails, lambda row: {"size": 1}, lambda row: {"size": 2}):
+        inc.refresh_stats(table(spark, "a", "b", None), path, RESULT, fn, recompute=True)
+    before = sorted(map(tuple, inc.refresh_stats(table(spark), path, RESULT, fails).collect()), key=str)
+    cache = sized(spark, path)
+    assert cache.rows().count() == 9
+
+    def dies(df):
+        return df.withColumn("size", F.raise_error(F.lit("killed")).cast("bigint"))
+
+    with pytest.raises(Exception, match="killed"):
+        cache.compact(dies)
+    assert sized(spark, path).version == 0 and sized(spark, path).rows().count() == 9
+    # what a compaction left that died before publishing is overwritten
+    cache._write(cache.rows(), 1, "overwrite")
+    inc.compact_stats(cache)
+    again = sized(spark, path)
+    assert (again.version, again.rows().count()) == (1, 3)
+    after = inc.refresh_stats(table(spark, "a", "c"), path, RESULT, lambda row: {"size": 5})
+    assert sorted(map(tuple, after.collect()), key=str) == sorted([*before, ("c", 5, True, None)], key=str)
+
+
+def test_the_first_number_of_buckets_holds(spark, out):
+    first = KeyedCache(spark, f"{out}/c", struct_of("id string"), "id", buckets=3)
+    first.append(table(spark, "a", "b", "c", "d", "e").select("id"))
+    later = KeyedCache(spark, f"{out}/c", struct_of("id string"), "id", buckets=50)
+    assert later.buckets == 3 and later.rows(table(spark, "d")).where("id = 'd'").count() == 1
+    empty = KeyedCache(spark, f"{out}/none", struct_of("id string"))
+    empty.compact(lambda rows: rows)
+    assert empty.rows().count() == 0 and empty.rows(table(spark, "a")).count() == 0

@@ -75,4 +75,4 @@ def test_new_index_rows_are_probed_once(spark, out):
     for ids in (["a", "bb"], ["ccc", "a"]):
         spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.mode("append").parquet(f"{out}/in")
         follow_index(spark, f"{out}/in", schema, f"{out}/cache", f"{out}/cp", struct_of("size bigint"), probe).awaitTermination()
-    assert rows(spark.read.parquet(f"{out}/cache"), "id", "size") == [("a", 1), ("bb", 2), ("ccc", 3)]
+    assert rows(spark.read.parquet(f"{out}/cache/rows"), "id", "size") == [("a", 1), ("bb", 2), ("ccc", 3)]
