@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairset.operators import pixels
-from pairset.operators.incremental import map_rows
+from pairset.operators.incremental import BatchFn, map_row_batches, map_rows
 from pairset.operators.quantiles import exact_median
 from pairset.schema import as_flag, null_if_nan
 
@@ -109,6 +109,16 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[dict], dict]], result
     return map_rows(df, None, timed, keep, load=load_timed)
 
 
+def score_batches(
+    df: DataFrame, load: Callable[[], BatchFn], result: T.StructType, keep: Sequence[str], batch_rows: int = 1_000,
+) -> DataFrame:
+    """Run a caller's model over batches of rows; adds ``seconds``, ``ok`` and ``error`` per row.
+
+    A model that fails on a batch is asked again for its halves, so one bad row loses one row.
+    """
+    return map_row_batches(df, load, result, keep, batch_rows, seconds="seconds")
+
+
 # ------------------------------------------------------------------------------------ summaries
 def rate_by_group(df: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
     """Rows, hits, hit percentage and mean of the hit flag per group; an unknown flag is no hit."""

@@ -73,19 +73,25 @@ def image_stats(
     return map_rows(images, probe, result, [id_col], "probe_ok", "probe_error")
 
 
-def label_counts(maps: DataFrame, id_col: str = "id") -> DataFrame:
-    """Label maps ``(id, height, width, data)`` as ``(id, label_id, n_pixels)``."""
-    schema = T.StructType([maps.schema[id_col], T.StructField("label_id", T.IntegerType()),
-                           T.StructField("n_pixels", T.LongType())])
+def label_histograms(maps: DataFrame, id_col: str = "id") -> DataFrame:
+    """Label maps ``(id, data)`` as one row per image: ``label_ids`` and their ``n_pixels``, or ``probe_ok`` false and an error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, data in zip(batch[id_col], batch["data"]):
-                labels, counts = np.unique(np.frombuffer(data, dtype=np.uint8), return_counts=True)
-                yield pd.DataFrame({id_col: [key] * len(labels), "label_id": labels.astype("int32"),
-                                    "n_pixels": counts.astype("int64")})
+    Where the maps have ``height`` and ``width``, a map of another length is an error.
+    """
+    sized = {"height", "width"} <= set(maps.columns)
+
+    def probe(row: dict) -> dict:
+        labels = pixels.raster(row["data"], (int(row["height"]) * int(row["width"]),)) if sized else np.frombuffer(row["data"], dtype=np.uint8)
+        values, counts = np.unique(labels, return_counts=True)
+        return {"label_ids": values.tolist(), "n_pixels": counts.tolist()}
+
+    return map_rows(maps, probe, T.StructType.fromDDL("label_ids array<int>, n_pixels array<bigint>"), [id_col], "probe_ok", "probe_error")
 
-    return map_batches(maps, run, schema)
+
+def label_counts(maps: DataFrame, id_col: str = "id") -> DataFrame:
+    """Label maps as ``(id, label_id, n_pixels)``; maps that cannot be read give no rows, ``label_histograms`` names them."""
+    pairs = F.arrays_zip(F.col("label_ids").alias("label_id"), F.col("n_pixels"))
+    return label_histograms(maps, id_col).where("probe_ok").select(id_col, F.inline(pairs).alias("label_id", "n_pixels"))
 
 
 def label_shares(
@@ -107,20 +113,25 @@ def share_flag(share: Column | str, threshold: float = 0.002) -> Column:
     return F.coalesce(c >= threshold, F.lit(False))
 
 
-def pixel_table(images: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row per distinct colour of an image: ``(id, r, g, b, n)``."""
-    schema = T.StructType([images.schema[id_col], *struct_of("r int, g int, b int, n bigint").fields])
+def colour_histograms(images: DataFrame, id_col: str = "id") -> DataFrame:
+    """The distinct colours of an image and their pixels in one row: ``colours`` as ``r * 65536 + g * 256 + b`` and ``n``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, data in zip(batch[id_col], batch["data"]):
-                colours, counts = np.unique(np.frombuffer(data, dtype=np.uint8).reshape(-1, 3), axis=0,
-                                            return_counts=True)
-                yield pd.DataFrame({id_col: [key] * len(colours), "r": colours[:, 0].astype("int32"),
-                                    "g": colours[:, 1].astype("int32"), "b": colours[:, 2].astype("int32"),
-                                    "n": counts.astype("int64")})
+    An image that cannot be read is a row with ``probe_ok`` false and its error.
+    """
+    def probe(row: dict) -> dict:
+        rgb = np.frombuffer(row["data"], dtype=np.uint8).reshape(-1, 3).astype(np.int32)
+        values, counts = np.unique(rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2], return_counts=True)
+        return {"colours": values.tolist(), "n": counts.tolist()}
+
+    return map_rows(images, probe, T.StructType.fromDDL("colours array<int>, n array<bigint>"), [id_col], "probe_ok", "probe_error")
 
-    return map_batches(images, run, schema)
+
+def pixel_table(images: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row per distinct colour of a readable image: ``(id, r, g, b, n)``."""
+    pairs = F.arrays_zip("colours", "n")
+    colours = colour_histograms(images, id_col).where("probe_ok").select(id_col, F.inline(pairs).alias("_c", "n"))
+    parts = {c: F.shiftright("_c", shift).bitwiseAND(F.lit(255)).alias(c) for c, shift in (("r", 16), ("g", 8), ("b", 0))}
+    return colours.select(id_col, *parts.values(), "n")
 
 
 def with_hsv(colours: DataFrame) -> DataFrame:
@@ -192,20 +203,36 @@ def to_canvas(
 
 
 def flipped(images: DataFrame, chosen: Column, id_col: str = "id", columns: Sequence[str] = ("data",)) -> DataFrame:
-    """Mirror the chosen rows' rasters left to right, all raster columns of a row together."""
-    marked = images.withColumn("_flip", chosen)
-    names = images.columns
+    """Mirror the chosen rows' rasters left to right, all raster columns of a row together.
+
+    A row with a raster that is NULL or not a whole number of ``height`` by ``width`` planes stays as it is, with ``flip_ok`` false
+    and the reason in ``flip_error``.
+    """
+    marked, names = images.withColumn("_flip", F.coalesce(chosen, F.lit(False))), images.columns
+    schema = T.StructType([*images.schema.fields, T.StructField("flip_ok", T.BooleanType()), T.StructField("flip_error", T.StringType())])
+
+    def mirrored(data: bytes | None, height: int, width: int) -> bytes:
+        planes = np.frombuffer(data, dtype=np.uint8).reshape(height, width, -1)
+        return np.ascontiguousarray(planes[:, ::-1]).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in np.flatnonzero(batch["_flip"].to_numpy(dtype=bool)):
-                height, width = int(batch["height"].iat[i]), int(batch["width"].iat[i])
-                for c in columns:
-                    data = np.frombuffer(batch[c].iat[i], dtype=np.uint8).reshape(height, width, -1)
-                    batch.iat[i, batch.columns.get_loc(c)] = np.ascontiguousarray(data[:, ::-1]).tobytes()
-            yield batch[names]
-
-    return map_batches(marked, run, images.schema)
+            rasters = {c: batch[c].tolist() for c in columns}
+            errors: list[str | None] = []
+            for i, (height, width, flip) in enumerate(zip(batch["height"], batch["width"], batch["_flip"], strict=True)):
+                try:
+                    turned = [mirrored(rasters[c][i], int(height), int(width)) for c in columns]
+                except Exception as e:  # one bad raster must not end the job
+                    errors.append(f"{type(e).__name__}: {e}")
+                    continue
+                errors.append(None)
+                if flip:
+                    for c, data in zip(columns, turned, strict=True):
+                        rasters[c][i] = data
+            kept = {c: rasters.get(c, batch[c]) for c in names}
+            yield pd.DataFrame({**kept, "flip_ok": [e is None for e in errors], "flip_error": errors})
+
+    return map_batches(marked, run, schema)
 
 
 def keep_labels(images: DataFrame, keep: Sequence[int], id_col: str = "id", fill: int = 127) -> DataFrame:

@@ -164,14 +164,14 @@ SELECT doc_id, n_words, ok FROM (
   SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n_words, TRUE AS ok FROM documents)
 """)
 def scored_by_model(spark, sf):
-    """A caller's scorer over whole texts, loaded once per task; only its value and outcome are kept."""
+    """A caller's scorer over batches of whole texts, loaded once per task; only its value and outcome are kept."""
     from pairset.schema import struct_of
 
     def load():
         import re
 
         words = re.compile(r"[^ \t\n\r\f\v]+")
-        return lambda row: {"n_words": len(words.findall(row["text"]))}
+        return lambda rows: {"n_words": [len(words.findall(text)) for text in rows["text"]]}
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return evaluate.score_with(docs, load, struct_of("n_words bigint"), ["doc_id"]).select("doc_id", "n_words", "ok")
+    return evaluate.score_batches(docs, load, struct_of("n_words bigint"), ["doc_id"]).select("doc_id", "n_words", "ok")

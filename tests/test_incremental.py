@@ -187,3 +187,34 @@ def test_the_first_number_of_buckets_holds(spark, out):
     empty = KeyedCache(spark, f"{out}/none", struct_of("id string"))
     empty.compact(lambda rows: rows)
     assert empty.rows().count() == 0 and empty.rows(table(spark, "a")).count() == 0
+
+
+def test_a_batch_is_one_call_and_a_bad_row_loses_itself(spark):
+    def load():
+        calls = []
+
+        def size(rows):
+            calls.append(len(rows))
+            if (rows["id"] % 400 == 399).any():
+                raise ValueError("bad row")
+            return {"v": rows["id"] * 2, "calls": [len(calls)] * len(rows)}
+
+        return size
+
+    df = spark.range(1000).repartition(1)
+    result = struct_of("v bigint, calls int")
+    got = {r["id"]: r for r in inc.map_row_batches(df, load, result, ["id"], 1000, seconds="s").collect()}
+    assert len(got) == 1000 and {i for i, r in got.items() if not r["ok"]} == {399, 799}
+    assert all(r["v"] == 2 * i and r["error"] is None and r["s"] >= 0 for i, r in got.items() if r["ok"])
+    assert got[399]["error"] == "ValueError: bad row" and got[399]["v"] is None
+    assert max(r["calls"] for r in got.values() if r["ok"]) < 45
+    good = inc.map_row_batches(df.where("id < 399"), load, result, ["id"], 1000).collect()
+    assert {r["calls"] for r in good} == {1}
+
+
+def test_batches_with_another_number_of_values_fail(spark):
+    got = inc.map_row_batches(spark.range(5).repartition(1), lambda: lambda rows: {"v": [1] * min(len(rows), 2)}, struct_of("v int"), ["id"], 5).collect()
+    assert [r["ok"] for r in got] == [True] * 5 and {r["v"] for r in got} == {1}
+    none = inc.map_row_batches(spark.range(3), lambda: lambda rows: {"v": []}, struct_of("v int"), ["id"]).collect()
+    assert [r["ok"] for r in none] == [False] * 3 and "1 rows gave" in none[0]["error"]
+    assert inc.map_row_batches(spark.range(0), lambda: lambda rows: rows, struct_of("v int"), ["id"]).count() == 0

@@ -261,3 +261,18 @@ def test_rows_in_small_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert got == {str(i): pixels.white_fraction(a) for i, a in enumerate(arrays)}
+
+
+def test_rasters_that_cannot_be_read_are_rows_of_their_own(spark):
+    rows_in = [("a", 1, 2, bytes([1, 2, 3, 4, 5, 6])), ("b", 1, 2, None), ("c", 1, 2, bytes(5)), ("d", None, 2, bytes(6))]
+    df = spark.createDataFrame(rows_in, "id string, height int, width int, data binary")
+    turned = {r["id"]: r for r in raster.flipped(df, F.lit(True)).collect()}
+    assert bytes(turned["a"]["data"]) == bytes([4, 5, 6, 1, 2, 3]) and turned["a"]["flip_ok"]
+    assert [turned[i]["flip_ok"] for i in "bcd"] == [False] * 3 and turned["b"]["data"] is None and bytes(turned["c"]["data"]) == bytes(5)
+    maps = spark.createDataFrame([("a", 1, 3, bytes([7, 7, 2])), ("b", 1, 3, None), ("c", 1, 3, bytes(2))], "id string, height int, width int, data binary")
+    found = {r["id"]: r for r in raster.label_histograms(maps).collect()}
+    assert (found["a"]["label_ids"], found["a"]["n_pixels"]) == ([2, 7], [1, 2]) and [found[i]["probe_ok"] for i in "bc"] == [False] * 2
+    assert rows(raster.label_counts(maps)) == [("a", 2, 1), ("a", 7, 2)]
+    colours = {r["id"]: r for r in raster.colour_histograms(df).collect()}
+    assert colours["a"]["colours"] == [0x010203, 0x040506] and not colours["b"]["probe_ok"] and not colours["c"]["probe_ok"]
+    assert rows(raster.pixel_table(df).where("id = 'a'")) == [("a", 1, 2, 3, 1), ("a", 4, 5, 6, 1)]
