@@ -15,21 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from pairset.sources.versions import announce, last_published, read_or_empty
 
 BUCKETS = 64
 _BUCKET = "bucket"
-_PUBLISHED = "version int, buckets int"
-
-
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The rows of a folder, or an empty table of the same schema before the first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
 
 
 class KeyedCache:
@@ -37,8 +27,8 @@ class KeyedCache:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, id_col: str = "id", buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.schema, self.id_col = spark, path, schema, id_col
-        last = read_or_empty(spark, f"{path}/published", _PUBLISHED).orderBy(F.col("version").desc()).first()
-        self.version, self.buckets, self.fresh = (last["version"], last["buckets"], False) if last else (0, buckets, True)
+        last = last_published(spark, path)
+        self.version, self.buckets, self.fresh = (last["version"], int(last["detail"]), False) if last else (0, buckets, True)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(self.buckets)).cast("int")
@@ -47,8 +37,7 @@ class KeyedCache:
         return f"{self.path}/rows/version={version}"
 
     def _publish(self, version: int) -> None:
-        row = self.spark.createDataFrame([(version, self.buckets)], _PUBLISHED)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/published")
+        announce(self.spark, self.path, version, str(self.buckets))
         self.version, self.fresh = version, False
 
     def rows(self, ids: DataFrame | None = None) -> DataFrame:

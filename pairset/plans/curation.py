@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairset.operators import cascade, joins, split
 from pairset.schema import holds
 from pairset.session import checkpointed
-from pairset.sources import tables
+from pairset.sources import tables, versions
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,17 @@ def curate(
     return Curation(ledger, clean, labelled, sizes, summary.withColumn("thresholds", thresholds))
 
 
-def write_curation(result: Curation, out: str) -> None:
-    tables.write_splits(result.labelled, f"{out}/splits")
-    tables.write_csv(result.ledger.coalesce(1).orderBy("ordinal"), f"{out}/cleaning_stages")
-    tables.write_metadata(result.summary, f"{out}/cleaning_summary")
+def write_curation(result: Curation, out: str) -> str:
+    """Splits, stages and summary as one published version; returns its folder.
+
+    Readers that go by ``versions.current`` never see splits of one curation beside the ledger of another.
+    """
+    spark = result.ledger.sparkSession
+
+    def write(folder: str) -> None:
+        tables.write_splits(result.labelled, f"{folder}/splits")
+        tables.write_csv(result.ledger.coalesce(1).orderBy("ordinal"), f"{folder}/cleaning_stages")
+        tables.write_metadata(result.summary, f"{folder}/cleaning_summary")
+
+    versions.publish(spark, out, write)
+    return versions.current(spark, out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairset.operators import cascade, split
 from pairset.operators.cascade import Stage
 from pairset.plans.curation import curate, write_curation
+from pairset.sources import versions
 from tests.conftest import rows
 
 # The ids of a frozen 24-sample subset, whose manifest is known.
@@ -40,13 +41,34 @@ def test_published_counts(spark, out):
     ledger = [(r["removed"], r["remaining"]) for r in result.ledger.orderBy("ordinal").collect()]
     assert ledger == [(144, 13_925), (666, 13_259), (5_185, 8_074), (3_304, 4_770), (2_503, 2_267)]
     assert dict(rows(result.sizes, "part", "n")) == {"train": 1_938, "val": 102, "test": 227}
-    write_curation(result, out)
+    assert write_curation(result, out) == f"{out}/version=0"
+    out = versions.current(spark, out)
     assert spark.read.parquet(f"{out}/splits").where("part = 'val'").count() == 102
     summary = spark.read.json(f"{out}/cleaning_summary").first()
     assert (summary["input_pairs"], summary["clean_pairs"], summary["train"], summary["validation"]) == (14_069, 2_267, 1_938, 102)
     assert spark.read.option("header", True).csv(f"{out}/cleaning_stages").count() == 5
 
 
+def test_a_writer_that_dies_leaves_the_version_before(spark, out):
+    def write(n, fail=False):
+        def run(folder):
+            spark.range(n).write.mode("overwrite").parquet(f"{folder}/splits")
+            if fail:
+                raise RuntimeError("killed")
+            spark.range(n).write.mode("overwrite").parquet(f"{folder}/ledger")
+
+        return run
+
+    with pytest.raises(FileNotFoundError):
+        versions.current(spark, out)
+    assert versions.publish(spark, out, write(3)) == 0
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, out, write(5, fail=True))
+    assert spark.read.parquet(f"{versions.current(spark, out)}/splits").count() == 3
+    assert versions.publish(spark, out, write(7)) == 1
+    assert [spark.read.parquet(f"{versions.current(spark, out)}/{t}").count() for t in ("splits", "ledger")] == [7, 7]
+
+
 def test_optional_filters(spark):
     index, stats = published_index(spark)
     limits = cascade.CurationLimits(enable_sketch_filter=True, enable_collage_filter=True, max_flat_fraction=0.4)

@@ -31,6 +31,9 @@ def test_metadata_round_trip(spark, out):
     df = spark.createDataFrame([(240, "masked", 0.67)], "n bigint, mode string, ssim double")
     tables.write_metadata(df, f"{out}/meta")
     assert rows(tables.read_metadata(spark, f"{out}/meta", df.schema)) == [(240, "masked", 0.67)]
+    many = spark.range(40).repartition(4).select(F.col("id").alias("n"), F.lit("m").alias("mode"), F.lit(0.5).alias("ssim"))
+    tables.write_metadata(many, f"{out}/groups")
+    assert tables.read_metadata(spark, f"{out}/groups", df.schema, multi_line=False).count() == 40
 
 
 def test_append_and_partitioned_tables(spark, out):
