@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,8 +22,8 @@ from pairset.operators.sequence import position, top_k
 from pairset.schema import null_if_nan
 from pairset.session import checkpointed
 
-#: Scores are compared to so many parts of one.
-_DIGITS = 1e11
+#: Scores are compared to so many parts of one, bounds on them to fewer.
+_DIGITS, _BOUND = 1e11, 1e9
 
 
 def with_levels(df: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -125,96 +125,148 @@ def listed(df: DataFrame, reasons: DataFrame, id_col: str = "id") -> DataFrame:
 # ------------------------------------------------------------------------------ stratified draw
 def stratified_subset(
     df: DataFrame, axes: Sequence[str], n: int, id_col: str = "id", floor_rows: int = 2, seed: int = 1337,
-    driver_rows: int = 500_000,
+    candidates: int = 20_000, keys_per_pass: int = 200_000,
 ) -> DataFrame:
     """Draw ``n`` rows whose marginal shares on all axes come closest to the targets, greedily.
 
     Each pick adds the row that lowers the total deviation most, to eleven digits; ties go to the smallest
-    ``(shuffle key, id)``, whichever way the search runs. Rows of one stratum are interchangeable, so the greedy search runs over strata:
-    Spark reduces every stratum to a count and its first ``n`` keys, the search yields how many rows each
-    stratum gives, and Spark takes them. While all strata together have at most ``driver_rows`` such keys the
-    search runs on them in the driver; beyond that every pick is one aggregation over the strata table.
+    ``(shuffle key, id)``. Rows of one stratum are interchangeable, so the greedy search runs over strata, of which Spark keeps the
+    first ``n`` keys. A pass brings the strata drawn from so far (at most ``n``) and the ``candidates`` best others to the
+    driver, with about ``keys_per_pass`` of their next keys, and goes on while a bound shows that no stratum outside can be
+    better. While there are no more strata than ``candidates`` a pass only ends when a stratum's keys run out. The driver also
+    holds the targets, one number per level of an axis.
     """
     keyed = with_levels(df, axes).withColumn("_k", shuffle_key(id_col, seed))
     targets = target_shares(df, axes, n, floor_rows)
-    heads = top_k(keyed.select(*axes, "_k", id_col), list(axes), [F.col("_k"), F.col(id_col)], n)
-    strata = heads.groupBy(*axes).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), F.col(id_col).alias("id")))).alias("heads"))
-    strata = checkpointed(strata)
-    wide = (strata.agg(F.sum(F.size("heads"))).first()[0] or 0) > driver_rows
-    take = _take_distributed(strata, targets, axes, n) if wide else _take_local(strata, targets, axes, n)
+    first = [F.col("_k"), F.col(id_col)]
+    place = F.row_number().over(W.partitionBy(*axes).orderBy(*first)) - 1
+    heads = checkpointed(top_k(keyed.select(*axes, "_k", id_col), list(axes), first, n).withColumn("_place", place))
+    strata = heads.groupBy(*axes).agg(F.count("*").alias("_supply"), F.min(F.struct(F.col("_k").alias("k"), F.col(id_col).alias("id"))).alias("_head"))
+    for i, a in enumerate(axes):
+        goal = targets.where(F.col("axis") == a).select(F.col("level").alias(a), F.col("target").alias(f"_aim{i}"))
+        strata = strata.join(goal, a)
+    take = _take(checkpointed(strata), heads, axes, n, id_col, candidates, keys_per_pass)
     if not take:
         return df.limit(0)
-    spark = df.sparkSession
-    schema = ", ".join([*(f"{a} string" for a in axes), "_take int"])
-    quota = spark.createDataFrame([(*levels, count) for levels, count in take.items()], schema)
-    # At most n strata give rows, so the quota table is bounded by n.
-    chosen = (
-        strata.join(F.broadcast(quota), list(axes))
-        .select(F.explode(F.slice("heads", 1, F.col("_take"))).alias("h"))
-        .select(F.col("h.id").alias(id_col))
-    )
+    quota = _levels_frame(df.sparkSession, axes, take, "_take")
+    # At most n strata give rows, so the quota table and the chosen ids are bounded by n.
+    chosen = heads.join(F.broadcast(quota), list(axes)).where(F.col("_place") < F.col("_take")).select(id_col)
     return df.join(F.broadcast(chosen), id_col, "left_semi")
 
 
-def _take_local(strata: DataFrame, targets: DataFrame, axes: Sequence[str], n: int) -> dict[tuple, int]:
-    rows = strata.collect()
-    if not rows:
-        return {}
-    goal = {(t["axis"], t["level"]): t["target"] for t in targets.collect()}
-    index = {key: i for i, key in enumerate(sorted(goal))}
-    aim = np.array([goal[key] for key in index])
-    level = np.array([[index[(a, r[a])] for a in axes] for r in rows])
-    heads = [[(h["k"], h["id"]) for h in r["heads"]] for r in rows]
-    used = np.zeros(len(rows), dtype=int)
-    counts = np.zeros(len(aim))
-    queue = sorted((h[0], s) for s, h in enumerate(heads))
-    for step in range(1, n + 1):
-        if not queue:
+def _levels_frame(spark: SparkSession, axes: Sequence[str], values: Mapping[tuple, int], name: str) -> DataFrame:
+    schema = ", ".join([*(f"`{a}` string" for a in axes), f"{name} int"])
+    return spark.createDataFrame([(*levels, int(v)) for levels, v in values.items()], schema)
+
+
+def _others(strata: DataFrame, axes: Sequence[str], drawn: Mapping[tuple, int], step: int, horizon: int, limit: int) -> list[Row]:
+    """The best ``limit`` strata without a drawn row, by a bound on their scores over the next ``horizon`` picks.
+
+    At pick ``t`` a level that has been drawn ``c`` times adds ``clip(2c + 1 - 2 aim t, -1, 1) / t`` to a score. The numerator
+    falls with ``t`` and rises with ``c``, so its value for the last of these picks bounds all of them. The bound of one pick is
+    the score itself.
+    """
+    spark, counts = strata.sparkSession, [{} for _ in axes]
+    for levels, m in drawn.items():
+        for count, level in zip(counts, levels):
+            count[level] = count.get(level, 0) + m
+    left = strata
+    if drawn:
+        # all tables of drawn strata and levels have at most n rows
+        left = left.join(F.broadcast(_levels_frame(spark, axes, drawn, "_drawn")), list(axes), "left_anti")
+        for i, (a, count) in enumerate(zip(axes, counts)):
+            left = left.join(F.broadcast(_levels_frame(spark, [a], {(k,): v for k, v in count.items()}, f"_c{i}")), a, "left")
+    bound, t = F.lit(0.0), step + horizon
+    for i in range(len(axes)):
+        c, aim = F.coalesce(F.col(f"_c{i}"), F.lit(0)) if drawn else F.lit(0), F.col(f"_aim{i}")
+        exact = F.abs((c + 1) / t - aim) - F.abs(c / t - aim)
+        bound = bound + (exact if horizon == 1 else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * c + 1 - 2 * t * aim)))
+    scaled = F.floor(bound * _DIGITS + 0.5) if horizon == 1 else F.floor(bound * _BOUND)
+    return left.withColumn("_bound", scaled).orderBy("_bound", "_head").limit(limit).collect()
+
+
+def _take(
+    strata: DataFrame, heads: DataFrame, axes: Sequence[str], n: int, id_col: str, candidates: int, keys_per_pass: int,
+) -> dict[tuple, int]:
+    """How many rows each stratum gives, by the greedy search."""
+    drawn: dict[tuple, int] = {}
+    facts: dict[tuple, Row] = {}
+    step, horizon = 0, n
+    while step < n:
+        others = _others(strata, axes, drawn, step, horizon, candidates)
+        cut = (others[-1]["_bound"], tuple(others[-1]["_head"])) if len(others) == candidates else None
+        working = {tuple(r[a] for a in axes): r for r in others}
+        working |= {key: facts[key] for key, m in drawn.items() if m < facts[key]["_supply"]}
+        if not working:
             break
+        fetched = max(1, keys_per_pass // len(working))
+        wanted = F.broadcast(_levels_frame(strata.sparkSession, axes, {key: drawn.get(key, 0) for key in working}, "_from"))
+        block = heads.join(wanted, list(axes)).where(F.col("_place").between(F.col("_from"), F.col("_from") + fetched - 1))
+        queues: dict[tuple, list] = {key: [] for key in working}
+        for r in block.select(*axes, "_k", id_col).collect():
+            queues[tuple(r[a] for a in axes)].append((r["_k"], r[id_col]))
+        before = step
+        for key in _picks(working, {k: sorted(q) for k, q in queues.items()}, axes, drawn, step, n, horizon, cut):
+            facts[key] = working[key]
+            drawn[key] = drawn.get(key, 0) + 1
+            step += 1
+        horizon = 1 if step == before else max(2, 2 * (step - before)) if cut else n
+    return drawn
+
+
+def _picks(
+    working: Mapping[tuple, Row], queues: Mapping[tuple, list], axes: Sequence[str], drawn: Mapping[tuple, int], step: int, n: int,
+    horizon: int, cut: tuple | None,
+) -> list[tuple]:
+    """The strata of the next picks, as long as no other stratum can be better and no queue has run out."""
+    keys = list(working)
+    index: dict[tuple, int] = {}
+    aims: list[float] = []
+    for key in keys:
+        for i, level in enumerate(key):
+            if (i, level) not in index:
+                index[i, level] = len(aims)
+                aims.append(working[key][f"_aim{i}"])
+    aim = np.array(aims)
+    level = np.array([[index[i, lv] for i, lv in enumerate(key)] for key in keys])
+    counts = np.zeros(len(aims))
+    for key, m in drawn.items():
+        for i, lv in enumerate(key):
+            if (i, lv) in index:
+                counts[index[i, lv]] += m
+    queue = sorted((q[0], s, 0) for s, key in enumerate(keys) if (q := queues[key]))
+    chosen: list[tuple] = []
+    last = min(n, step + horizon)
+    while queue and step < last:
+        t = step + 1
         # Adding a row changes the deviation only at its own levels.
-        gain = np.abs((counts + 1) / step - aim) - np.abs(counts / step - aim)
-        score = gain[level[[s for _, s in queue]]].sum(axis=1)
-        _, pick = queue.pop(int(np.floor(score * _DIGITS + 0.5).argmin()))
-        used[pick] += 1
-        counts[level[pick]] += 1
-        if used[pick] < len(heads[pick]):
-            bisect.insort(queue, (heads[pick][used[pick]], pick))
-    return {tuple(rows[s][a] for a in axes): int(c) for s, c in enumerate(used) if c}
-
-
-def _take_distributed(strata: DataFrame, targets: DataFrame, axes: Sequence[str], n: int) -> dict[tuple, int]:
-    """The same search as one aggregation per pick; the literals passed in are bounded by ``n``."""
-    table, targets = strata, checkpointed(targets)
-    for a in axes:
-        goal = targets.where(F.col("axis") == a).select(F.col("level").alias(a), F.col("target").alias(f"_t_{a}"))
-        table = table.join(goal, a)
-    table = checkpointed(table.withColumn("_key", F.concat_ws("\u0001", *axes)))
-    used: dict[tuple, int] = {}
-    counts: dict[str, dict[str, int]] = {a: {} for a in axes}
-    for step in range(1, n + 1):
-        score = F.lit(0.0)
-        for a in axes:
-            have = _looked_up(counts[a], F.col(a))
-            score = score + (F.abs((have + 1) / step - F.col(f"_t_{a}")) - F.abs(have / step - F.col(f"_t_{a}")))
-        gone = _looked_up({"\u0001".join(k): v for k, v in used.items()}, F.col("_key"))
-        head = F.try_element_at("heads", gone + 1)
-        scored = table.select(*axes, F.floor(score * _DIGITS + 0.5).alias("_s"), head.alias("_h")).where(F.col("_h").isNotNull())
-        pick = scored.agg(F.min(F.struct("_s", "_h", *axes)).alias("_b")).select("_b.*").first()
-        if pick["_h"] is None:
+        gain = np.abs((counts + 1) / t - aim) - np.abs(counts / t - aim)
+        score = gain[level[[s for _, s, _ in queue]]].sum(axis=1)
+        rounded = np.floor(score * _DIGITS + 0.5)
+        best = int(rounded.argmin())
+        head, s, at = queue[best]
+        if cut is not None and not _certain(rounded[best], score[best] * t, head, horizon, cut, len(axes)):
+            break
+        queue.pop(best)
+        key = keys[s]
+        chosen.append(key)
+        step += 1
+        counts[level[s]] += 1
+        if at + 1 < len(queues[key]):
+            bisect.insort(queue, (queues[key][at + 1], s, at + 1))
+        elif drawn.get(key, 0) + at + 1 < working[key]["_supply"]:
             break
-        levels = tuple(pick[a] for a in axes)
-        used[levels] = used.get(levels, 0) + 1
-        for a, lv in zip(axes, levels):
-            counts[a][lv] = counts[a].get(lv, 0) + 1
-    return used
-
-
-def _looked_up(values: Mapping[str, int], key: Column) -> Column:
-    if not values:
-        return F.lit(0)
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(0))
+    return chosen
+
+
+def _certain(rounded: float, gain: float, head: tuple, horizon: int, cut: tuple, axes: int) -> bool:
+    """Whether a pick is better than everything that is not in the working set."""
+    bound, first = cut
+    if horizon == 1:
+        return (rounded, head) <= (bound, first)
+    # no gain is below minus one per axis: there, and only there, a bound that is reached is a tie
+    tied = bound == -axes * _BOUND and gain <= -axes + 1 / _BOUND and head < first
+    return tied or gain * _BOUND + 1 < bound
 
 
 # --------------------------------------------------------------------------------- diverse draw

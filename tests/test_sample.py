@@ -41,12 +41,11 @@ def greedy_rows(data, n, floor, seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("driver_rows", [500_000, 0])
-def test_stratified_subset_equals_the_row_by_row_search(spark, seed, driver_rows):
+@pytest.mark.parametrize("candidates, keys_per_pass, n", [(20_000, 200_000, 25), (20_000, 60, 25), (4, 200_000, 12)])
+def test_stratified_subset_equals_the_row_by_row_search(spark, seed, candidates, keys_per_pass, n):
     data = population(seed)
     df = spark.createDataFrame(data, "id string, a string, b string, c boolean").orderBy(F.rand(seed))
-    n = 25 if driver_rows else 12
-    got = sample.stratified_subset(df, AXES, n, floor_rows=2, seed=seed, driver_rows=driver_rows)
+    got = sample.stratified_subset(df, AXES, n, floor_rows=2, seed=seed, candidates=candidates, keys_per_pass=keys_per_pass)
     assert [r["id"] for r in got.orderBy("id").collect()] == greedy_rows(data, n, 2, seed)
     assert got.columns == df.columns
 
@@ -57,6 +56,19 @@ def test_stratified_subset_of_a_small_table_takes_all(spark):
     assert sample.stratified_subset(df.limit(0), AXES, 20).count() == 0
 
 
+def test_few_candidates_of_many_strata_give_the_same_draw(spark, monkeypatch):
+    rnd = random.Random(9)
+    data = [(f"{i:04d}", f"a{rnd.randrange(25)}", f"b{rnd.randrange(20)}", rnd.random() < 0.4) for i in range(900)]
+    df = spark.createDataFrame(data, "id string, a string, b string, c boolean")
+    passes = []
+    others = sample._others
+    monkeypatch.setattr(sample, "_others", lambda *args: passes.append(1) or others(*args))
+    whole = rows(sample.stratified_subset(df, AXES, 60, seed=3), "id")
+    assert len(passes) == 1
+    assert rows(sample.stratified_subset(df, AXES, 60, seed=3, candidates=300), "id") == whole
+    assert [r[0] for r in whole] == greedy_rows(data, 60, 2, 3) and len(passes) < 50
+
+
 def test_targets(spark):
     df = spark.createDataFrame([("x",)] * 97 + [("y",)] * 2 + [("z",)], "a string")
     got = {r["level"]: r for r in sample.target_shares(df, ["a"], 20, 3).collect()}
