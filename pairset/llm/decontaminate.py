@@ -10,6 +10,9 @@ Retrieved pairs are verified on the words themselves: the shares of the item's q
 five-word shingles, that stand in the passage. An item is
 cut at the last end of a sentence that leaves five words on both sides, or else before its last third.
 
+An item of fewer than ``LEAST_WORDS`` words has no two parts of five words, and its words stand in many texts by chance. It is
+verified only by a text whose words are the item's, all of them and in its order.
+
 Passages are windows of twice the longest item of the shard, half overlapping, so every item lies whole in one.
 NULL and empty texts have no passages, NULL and empty items match nothing, repeated items count once, and items of
 one id are told apart by their text. Without items the result is empty.
@@ -32,6 +35,8 @@ from pairset.llm.shingles import WORDS, word_hashes
 from pairset.session import ship
 
 K1, B = 1.2, 0.75
+#: Words from which an item is verified by the overlap of its parts.
+LEAST_WORDS = 2 * WORDS
 BLOCK = 8
 
 
@@ -47,6 +52,8 @@ class Shard:
     window: int
     questions: list[tuple[np.ndarray, int]]
     answers: list[tuple[np.ndarray, int]]
+    #: the words of items too short to be told from chance, which only an equal text verifies
+    whole: list[np.ndarray | None]
 
 
 def runs_of(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -104,6 +111,7 @@ def build_shards(items: DataFrame, retrieve: float, shard_items: int) -> list[Sh
         shards.append(Shard(
             [x[1] for x in part], terms, impacts, by_block, by_block.max(1), 2 * max(x[0] for x in part),
             [(runs_of(q), min(WORDS, len(q))) for q, _ in pairs], [(runs_of(a), min(WORDS, len(a))) for _, a in pairs],
+            [w if len(w := np.concatenate(p)) < LEAST_WORDS else None for p in pairs],
         ))
     return shards
 
@@ -132,7 +140,10 @@ def search(words: np.ndarray, shard: Shard) -> dict[int, tuple[float, float, flo
         items = items[items < len(shard.item_ids)]
         scores = shard.impacts[terms[:, None], items].sum(0)
         for item, score in zip(items[hit].tolist(), scores[hit].tolist(), strict=True) if (hit := scores >= 1 - 1e-6).any() else ():
-            overlaps = [share_of(part, runs_of(words[s:e], n)) for part, n in (shard.questions[item], shard.answers[item])]
+            if (whole := shard.whole[item]) is None:
+                overlaps = [share_of(part, runs_of(words[s:e], n)) for part, n in (shard.questions[item], shard.answers[item])]
+            else:
+                overlaps = [float(np.array_equal(whole, words))] * 2
             found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, *overlaps), key=lambda x: (min(x[1:]), x[0]))
     return found
 

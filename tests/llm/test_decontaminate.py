@@ -58,3 +58,9 @@ def test_several_broadcasts_find_the_same(docs, items):
     one = dc.pairs(table, items).select("doc_id", "item_id").collect()
     many = dc.pairs(table, items, shard_items=8, max_items=8).select("doc_id", "item_id").collect()
     assert sorted(one) == sorted(many) and len(one) == 2
+
+
+def test_short_items_are_verified_by_equal_texts_only(spark, docs):
+    items = spark.createDataFrame([(1, "the"), (2, "yes or no"), (3, words(12))], "item_id long, text string")
+    rows = docs((1, "the cat and the dog say yes or no"), (2, "the"), (3, "Yes, or no?"), (4, "no or yes"), (5, "x " + words(12) + " the y"))
+    assert sorted(r.doc_id for r in dc.clean(rows, items).collect()) == [1, 4]
