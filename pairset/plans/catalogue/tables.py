@@ -160,4 +160,5 @@ def best_by_direction(spark, sf):
         F.struct(F.lit("ssim").alias("metric"), F.col("l_discount").alias("v")), F.struct(F.lit("lpips").alias("metric"), F.col("l_tax").alias("v")))))
     known = registry_table(spark).select(F.col("name").alias("metric"), "higher_is_better")
     best = F.when(F.col("higher_is_better"), F.max("v")).otherwise(F.min("v"))
-    return values.join(known, "metric").groupBy("l_returnflag", "metric", "higher_is_better").agg(r6(best).alias("best"))
+    # The registry is code, so its size is known; dealt by metric, all values of one would be sorted in one task.
+    return values.join(F.broadcast(known), "metric").groupBy("l_returnflag", "metric", "higher_is_better").agg(r6(best).alias("best"))

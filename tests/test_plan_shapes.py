@@ -73,6 +73,23 @@ def test_repeated_keys_merge_before_an_anti_join(spark):
     assert "LeftAnti" in plan and "HashAggregate(keys=[mode" in plan
 
 
+def test_the_metric_registry_is_joined_where_the_values_are(spark, out):
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    lines = [("N", 0.02, 0.08), ("N", 0.05, 0.01), ("R", None, 0.03), (None, 0.04, 0.0)]
+    spark.createDataFrame(lines, "l_returnflag string, l_discount double, l_tax double").write.parquet(f"{out}/lineitem.parquet")
+    before = spark.conf.get(at)
+    spark.conf.set(at, "-1")  # no side counts as small, as with a large table
+    try:
+        found = catalogue.queries()["best_by_direction"](spark, out)
+        plan = plan_of(found)
+        got = {(r["l_returnflag"], r["metric"]): (r["higher_is_better"], r["best"]) for r in found.collect()}
+    finally:
+        spark.conf.set(at, before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning(metric" not in plan and "BuildRight" in plan
+    assert got == {("N", "ssim"): (True, 0.05), ("N", "lpips"): (False, 0.01), ("R", "ssim"): (True, None),
+                   ("R", "lpips"): (False, 0.03), (None, "ssim"): (True, 0.04), (None, "lpips"): (False, 0.0)}
+
+
 def test_log_lines_are_searched_once(spark):
     lines = spark.createDataFrame([("r", "x")], "run string, value string")
     plan = plan_of(runlog.parse_steps(lines))
