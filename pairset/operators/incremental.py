@@ -22,6 +22,8 @@ from pairset.session import map_batches
 
 RowFn = Callable[[dict], dict]
 ATTEMPT = "_attempt"
+# A task hands results on once it holds this many rows or bytes of them; a batch of small rows may become large images.
+PIECE_ROWS, PIECE_BYTES = 1_000, 4 << 20
 # The five artefacts of a sample and their file types.
 ARTEFACT_KINDS = {"person": "jpg", "garment": "jpg", "person_pose": "png", "garment_pose": "png", "parse": "png"}
 
@@ -48,30 +50,39 @@ def map_rows(
     """Apply a Python function to each row and capture failures instead of stopping.
 
     ``load`` builds the function once per task, for functions that own a model. The result has the ``keep``
-    columns, the function's columns (NULL on failure), ``ok`` and ``error`` as ``Type: message``.
+    columns, the function's columns (NULL on failure), ``ok`` and ``error`` as ``Type: message``. Results leave
+    the task in pieces of bounded size.
     """
     kept = [df.schema[c] for c in keep]
     schema = T.StructType([*kept, *result.fields, T.StructField(ok, T.BooleanType()),
                            T.StructField(error, T.StringType())])
     names = [f.name for f in result.fields]
     whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    columns = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = load() if load is not None else fn
         for batch in batches:
-            batch.attrs["whole"] = whole
-            rows = []
-            for record in plain(batch):
-                out = {c: record[c] for c in keep}
-                try:
-                    values = call(record)
-                    out.update({n: values.get(n) for n in names})
-                    out[ok], out[error] = True, None
-                except Exception as e:  # one bad row must not end the job
-                    out.update({n: None for n in names})
-                    out[ok], out[error] = False, f"{type(e).__name__}: {e}"
-                rows.append(out)
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields], dtype=object)
+            rows, held = [], 0
+            for low in range(0, len(batch), PIECE_ROWS):
+                piece = batch.iloc[low:low + PIECE_ROWS]
+                piece.attrs["whole"] = whole
+                for record in plain(piece):
+                    out = {c: record[c] for c in keep}
+                    try:
+                        values = call(record)
+                        out.update({n: values.get(n) for n in names})
+                        out[ok], out[error] = True, None
+                    except Exception as e:  # one bad row must not end the job
+                        out.update({n: None for n in names})
+                        out[ok], out[error] = False, f"{type(e).__name__}: {e}"
+                    rows.append(out)
+                    held += sum(len(v) for v in out.values() if isinstance(v, (bytes, bytearray, str)))
+                    if len(rows) >= PIECE_ROWS or held >= PIECE_BYTES:
+                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return map_batches(df, run, schema)
 

@@ -14,6 +14,8 @@ _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
 
 SIDE = 8
+# Canvases in one task: 7 MB of pixels.
+CANVASES = 1_000
 
 
 def _binary(numbers: Column) -> Column:
@@ -24,8 +26,8 @@ def _bytes_of(vector: str) -> Column:
     return F.transform(vector, lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255.0), F.lit(0)), F.lit(255)).cast("int"))
 
 
-def rasters(spark: SparkSession, sf: str) -> DataFrame:
-    b = spread(table(spark, sf, "embeddings")).select("vec_id", _bytes_of("embedding").alias("b"))
+def rasters(spark: SparkSession, sf: str, task_rows: int | None = None) -> DataFrame:
+    b = spread(table(spark, sf, "embeddings"), task_rows).select("vec_id", _bytes_of("embedding").alias("b"))
     at = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
 
     def shifted(i: Column, by: int) -> Column:
@@ -47,7 +49,7 @@ px AS MATERIALIZED (SELECT vec_id, i // 8 AS y, i % 8 AS x, v[i + 1] AS r, v[(i
 
 def canvases(spark: SparkSession, sf: str) -> DataFrame:
     """The rasters on a 48 x 48 canvas, where each of their pixels covers 6 x 6."""
-    placed = raster.to_canvas(rasters(spark, sf).select("vec_id", "height", "width", "data"), 48, 48, id_col="vec_id")
+    placed = raster.to_canvas(rasters(spark, sf, CANVASES).select("vec_id", "height", "width", "data"), 48, 48, id_col="vec_id")
     return placed.select("vec_id", F.col("out_height").alias("height"), F.col("out_width").alias("width"),
                          F.col("out_data").alias("data"))
 

@@ -37,6 +37,33 @@ def test_a_function_is_loaded_once_per_task(spark):
     assert {r["size"] for r in got.collect()} == {1}
 
 
+def test_results_leave_a_task_in_pieces(spark):
+    def grown(row):
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * 4096
+        return {"data": bytes([row["id"] % 256]) * 1_000_000, "held": held}
+
+    result = struct_of("data binary, held bigint")
+    made = inc.map_rows(spark.range(400).coalesce(1), grown, result, ["id"])
+    got = made.select("id", "ok", "held", F.length("data").alias("n"), F.hex(F.substring("data", 1, 1)).alias("first")).collect()
+    assert sorted((r["id"], r["ok"], r["n"], r["first"]) for r in got) == [(i, True, 1_000_000, f"{i % 256:02X}") for i in range(400)]
+    assert max(r["held"] for r in got) - min(r["held"] for r in got) < 150_000_000
+
+
+def test_small_results_keep_their_values_across_pieces(spark):
+    n = 2 * inc.PIECE_ROWS + 7
+    some = spark.range(n).coalesce(1).select("id", F.when(F.col("id") % 3 != 0, F.col("id")).alias("part"))
+
+    def probe(row):
+        if row["id"] % 1_000 == 999:
+            raise ValueError("bad")
+        assert row["part"] is None or type(row["part"]) is int
+        return {"size": row["part"]}
+
+    got = rows(inc.map_rows(some, probe, RESULT, ["id"]), "id", "ok")
+    assert got == [(i, i % 1_000 != 999) for i in range(n)]
+
+
 def test_refresh_probes_only_what_is_missing(spark, out):
     cache = f"{out}/stats"
     inc.refresh_stats(table(spark, "a", "bad1"), cache, RESULT, probe)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairset.operators import pixels, raster
+from pairset.plans.catalogue import raster as catalogue
 from pairset.sources.tables import read_images
 from tests.conftest import rows
 
@@ -38,6 +39,16 @@ def test_image_stats(spark):
     assert got["2"]["colorfulness"] == pytest.approx(want)
 
 
+def test_canvases_are_made_in_tasks_of_bounded_size(spark, out):
+    n = 4 * catalogue.CANVASES + 900
+    vector = F.array(*[((F.col("id") + i) % 64 / 64.0 - 0.5).cast("float") for i in range(64)])
+    spark.range(n).coalesce(1).select(F.col("id").alias("vec_id"), vector.alias("embedding")).write.parquet(f"{out}/embeddings.parquet")
+    made = catalogue.canvases(spark, out).select("vec_id", F.length("data").alias("n"), F.spark_partition_id().alias("task"))
+    per_task = made.groupBy("task").agg(F.count("*").alias("rows"), F.countDistinct("vec_id").alias("ids"), F.min("n").alias("n")).collect()
+    assert sum(r["ids"] for r in per_task) == n and {r["n"] for r in per_task} == {48 * 48 * 3}
+    assert max(r["rows"] for r in per_task) <= catalogue.CANVASES + 1
+
+
 def test_damaged_rows_are_captured(spark):
     bad = spark.createDataFrame([("x", 4, 4, b"123")], "id string, height int, width int, data binary")
     row = raster.image_stats(bad).first()
